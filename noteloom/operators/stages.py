@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions.text import ascii_lower
 
-PER_QUERY = Window.partitionBy("query_id")
+def per_query():
+    return Window.partitionBy("query_id")
+
+
 #: Positions that no cut may hide: the best of either source.
 CHAMPION = 3
 #: The knee: least rows on either side, least drop (ten percent), and three robust deviations.
@@ -20,7 +23,7 @@ SIDE, MAD_SCALE, SIGMA = 3, 1.4826, 3.0
 
 
 def renumbered(d: DataFrame) -> DataFrame:
-    return d.withColumn("pos", F.row_number().over(PER_QUERY.orderBy("pos")))
+    return d.withColumn("pos", F.row_number().over(per_query().orderBy("pos")))
 
 
 def since(d: DataFrame, cutoff: int | None) -> DataFrame:
@@ -71,7 +74,7 @@ def score_floor(d: DataFrame, floor: float | None) -> DataFrame:
     """Keeps rows of at least floor percent of the first row that is left."""
     if floor is None:
         return d
-    top = F.first("score").over(PER_QUERY.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = F.first("score").over(per_query().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return d.withColumn("__p", numbers.percent(F.col("score"), top)).where(F.col("__p") >= floor).drop("__p")
 
 
@@ -92,10 +95,10 @@ def tidy_lengths(d: DataFrame, champions: bool = True) -> DataFrame:
     All n rows are kept where the list is short, a score is missing, not finite, not positive or larger than the one
     before it, where no drop stands out, or where a source's champion stands behind the drop.
     """
-    order = PER_QUERY.orderBy("pos")
+    order = per_query().orderBy("pos")
     s = F.col("rrf").cast("double")
     nxt = F.lead(s).over(order)
-    last = F.row_number().over(PER_QUERY.orderBy(F.desc("pos"))) == 1
+    last = F.row_number().over(per_query().orderBy(F.desc("pos"))) == 1
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf"))
     bad = ~F.coalesce(fine(s), F.lit(False)) | (~last & ~F.coalesce(fine(nxt) & (nxt <= s), F.lit(False)))
     g = d.select("query_id", "pos", *(["bm25_rank", "cosine_rank"] if champions else []), s.alias("rrf"), F.when(~last, F.log(s / nxt)).alias("gap"), bad.alias("bad"))
@@ -134,7 +137,7 @@ def reranked(d: DataFrame, cap: int, logit: str = "logit") -> DataFrame:
     Rows of the prefix without a logit come after those with one.
     """
     head = F.col("pos") <= cap
-    order = PER_QUERY.orderBy(F.when(head, 0).otherwise(1), F.when(head, F.col(logit)).desc_nulls_last(), "pos")
+    order = per_query().orderBy(F.when(head, 0).otherwise(1), F.when(head, F.col(logit)).desc_nulls_last(), "pos")
     d = d.withColumn("__p", F.row_number().over(order))
     scored = head & F.col(logit).isNotNull()
     return d.withColumns(

@@ -408,7 +408,7 @@ def oracle_sql() -> dict[str, str]:
               path LIKE '%_.md' AND NOT starts_with(path, '/') AS owned FROM p""",
         "chunk_ids": f"WITH {_CH} SELECT id, sha256(path || '#' || ord) = id AS fits FROM ch",
         "folder_list": """WITH p AS (SELECT DISTINCT split_part(path, '/', 1) AS a, CASE WHEN length(path) - length(replace(path, '/', '')) > 1 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) END AS b FROM files WHERE contains(path, '/')),
-            s AS (SELECT a, bool_or(b IS NOT NULL) AS some FROM p WHERE a IN ('10-Projects', '20-Areas', '30-Resources', '40-Archive') GROUP BY 1) SELECT DISTINCT coalesce(b, a) AS folder FROM p JOIN s USING (a) WHERE b IS NOT NULL OR NOT some""",
+            s AS (SELECT a, bool_or(b IS NOT NULL) AS several FROM p WHERE a IN ('10-Projects', '20-Areas', '30-Resources', '40-Archive') GROUP BY 1) SELECT DISTINCT coalesce(b, a) AS folder FROM p JOIN s USING (a) WHERE b IS NOT NULL OR NOT several""",
         "unit_vectors": f"WITH {_CH}, v AS (SELECT id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM ch WHERE {_OK}) SELECT id, round(n, 4) AS norm, 1.0::DOUBLE AS unit_norm FROM v",
         "unembedded_paths": "SELECT DISTINCT path FROM chunks WHERE embedding IS NULL",
         "query_variants": f"WITH {_Q} SELECT query_id, 'lex' AS kind, 'about ' || query AS text FROM q UNION ALL SELECT query_id, 'hyde', 'A passage.' FROM q",
