@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 #: Encodings that were used wrongly, and those that texts had.
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "iso8859-15")
 MEANT = ("utf-8", "cp1252", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "shift_jis", "euc_jp", "iso8859-5")
+DOUBLE_BYTE = ("shift_jis", "euc_jp")
 LOST = "�"
 #: Bytes that Windows-1252 leaves undefined.
 UNSHOWN = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
@@ -198,7 +199,13 @@ class Model:
             if t is None or t == token:
                 continue
             if t not in seen:
-                seen[t] = self.score(t) - base + UTF8_WORTH * (meant == "utf-8")
+                gain = self.score(t) - base
+                if meant == "utf-8":
+                    gain += UTF8_WORTH
+                elif sum(self.counts.get(p, 0) > RARE for p in pieces(t)) < (4 if meant in DOUBLE_BYTE else 1):
+                    # bytes nearly always decode into a code page, so only known words (or several known signs) speak for one
+                    gain = min(gain, 0.0) - 1.0
+                seen[t] = gain
             out.append((k, seen[t], t))
         return tuple(out)
 
