@@ -32,33 +32,35 @@ ELEMENTS = (
 ).split()
 BARE = "async|autofocus|checked|controls|defer|disabled|hidden|multiple|nowrap|readonly|required|reversed|selected"
 
-_ATTR = rf"(?:\s+(?:[A-Za-z_:][-\w:.]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+)|(?:{BARE})(?=[\s/>])))*"
+_ATTR = rf"(?:\s+(?:[A-Za-z_:][-\w:.]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+)|(?:{BARE})(?=[\s/>])))*+"
 TAG = rf"(?i:</?(?:{'|'.join(ELEMENTS)}){_ATTR}\s*/?>)"
 COMMENT = r"<!--[\s\S]*?-->"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 HTML = rf"{COMMENT}|{TAG}|{REFERENCE}"
 
-_IN = r"(?:(?!\n[ \t\r]*\n)[^{no}])"
-_W = r"\p{L}\p{N}_"
-STAR = rf"(?<![{_W}*\\])\*{{1,3}}(?=[^\s*]){_IN.format(no='*')}*?(?<=[^\s*])\*{{1,3}}(?![{_W}*])"
+_W = r"\p{L}\p{N}"
+#: Marks inside one paragraph; repetitions are of single characters, which Java runs as loops whatever the length.
+STAR = rf"(?<![{_W}_*\\])\*{{1,3}}(?=[^\s*])[^*]*?(?<=[^\s*])\*{{1,3}}(?![{_W}_*])"
 STAR_CJK = r"(?<![\w*\\])\*{2,3}(?=[^\s*])[^*\n]*?(?<=[^\s*])\*{2,3}(?![\w*])"
-UNDER = rf"(?<![{_W}\\/.])_{{1,3}}(?=[^\s_])(?:(?!\n[ \t\r]*\n)(?:[^_]|(?<=[{_W}])_(?=[{_W}])))*?(?<=[^\s_])_{{1,3}}(?![{_W}]|\.[A-Za-z])"
-STRIKE = rf"(?<!~)~~(?=[^\s~]){_IN.format(no='~')}*?(?<=[^\s~])~~(?!~)"
-CODE = r"(?<!`)(?:`(?!`)(?:(?!\n[ \t\r]*\n)[^`])+`(?!`)|``(?!`)(?:(?!\n[ \t\r]*\n)[\s\S])+?(?<!`)``(?!`))"
+INNER = rf"(?<=[{_W}])_(?=[{_W}])"
+UNDER = rf"(?<![{_W}_\\/.])_{{1,3}}(?=[^\s_])[^_]*?(?<=[^\s_])_{{1,3}}(?![{_W}_]|\.[A-Za-z])"
+STRIKE = r"(?<!~)~~(?=[^\s~])[^~]*?(?<=[^\s~])~~(?!~)"
+CODE = r"(?<!`)(?:`(?!`)[^`]+`(?!`)|``(?!`)[\s\S]+?(?<!`)``(?!`))"
 LINK = r"(?<![\w\])])!?\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)"
 LINK_REF = r"(?<![\w\])\[])!?\[[^\[\]\n^][^\[\]\n]*\]\[[^\[\]\n]*\]"
 LINK_DEF = r"(?m:^ {0,3}\[[^\[\]\n^][^\[\]\n]*\]:[ \t]+\S+)"
 AUTO = r"<(?:https?|ftp|mailto):[^\s<>]+>"
 NOTE = r"\[\^[\p{L}\p{N}_-]+\]"
-MD_TABLE = r"(?m:^[ \t]*\|?[^|\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t\r]*$)"
-MARKDOWN = "|".join((STAR, STAR_CJK, STRIKE, CODE, LINK, LINK_REF, LINK_DEF, AUTO, NOTE, MD_TABLE))
+MD_TABLE = r"(?m:^[ \t]*\|?[^|\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*\|[ \t|:\-\r]*$)"
+MARKS = "|".join((STAR, STAR_CJK, STRIKE, CODE))
+MARKDOWN = "|".join((LINK, LINK_REF, LINK_DEF, AUTO, NOTE, MD_TABLE))
 
 WIKI_LINK = r"\[\[[^\[\]\n]+\]\]"
 TEMPLATE = r"\{\{[^{}]+\}\}"
 WIKI_TABLE = r"(?m:^[ \t]*\{\|)"
-APOS = r"(?<![\w'])'{2,5}(?=[^\s'])(?:(?!\n[ \t\r]*\n)[\s\S])*?(?<=[^\s'])'{2,5}(?!')"
+APOS = r"(?<![\w'])'{2,5}(?=[^\s'])[\s\S]*?(?<=[^\s'])'{2,5}(?!')"
 WIKI_HEAD = r"(?m:^[ \t]*(={2,6})(?!=)[ \t]*[^=\n][^\n]*?[ \t]*\1(?!=)[ \t\r]*$)"
-WIKI = "|".join((WIKI_LINK, TEMPLATE, WIKI_TABLE, APOS))
+WIKI = "|".join((WIKI_LINK, TEMPLATE, WIKI_TABLE))
 
 FORMULA = r"\$\$[\s\S]*?\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$])\$(?![\w$])"
 PATHS = r"(?<![A-Za-z0-9])[A-Za-z]:\\[^\s]*|\\\\[A-Za-z0-9_.-]+\\[^\s]*"
@@ -71,10 +73,13 @@ def languages(text: Column) -> Column:
     """The languages of LANGUAGES that hold a construct in the text, fenced blocks aside."""
     rest = F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, "\n")
     plain = F.regexp_replace(rest, FORMULA, " ")
+    # emphasis doesn't reach over a blank line; its marks are looked for only where there are any
+    paragraphs = lambda t: F.split(t, r"\n[ \t\r]*\n")
+    inside = lambda t, sign, p: F.contains(t, F.lit(sign)) & F.exists(paragraphs(t), lambda x: x.rlike(p))
     holds = (
         rest.rlike(HTML),
-        rest.rlike(MARKDOWN) | plain.rlike(UNDER),
-        rest.rlike(WIKI) | rest.rlike(WIKI_HEAD),
+        rest.rlike(MARKDOWN) | (rest.rlike("[*`]|~~") & F.exists(paragraphs(rest), lambda x: x.rlike(MARKS))) | inside(F.regexp_replace(plain, INNER, ""), "_", UNDER),
+        rest.rlike(WIKI) | rest.rlike(WIKI_HEAD) | inside(rest, "''", APOS),
         F.regexp_replace(plain, PATHS, " ").rlike(LATEX),
     )
     return F.filter(F.array(*[F.when(h, F.lit(n)) for n, h in zip(LANGUAGES, holds, strict=True)]), lambda x: x.isNotNull())
@@ -89,7 +94,15 @@ def residue(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
 
 _CLEANING = regex.compile(r"[<&*_~`\[{\\|]|''|^[ \t]*==", regex.M)
 _SEGMENT = regex.compile(rf"({FENCE}|{FORMULA})")
-_INLINE = {k: regex.compile(v) for k, v in {"star": STAR, "star2": STAR_CJK, "under": UNDER, "strike": STRIKE, "apos": APOS}.items()}
+_INLINE = {k: regex.compile(v) for k, v in {"star": STAR, "star2": STAR_CJK, "under": UNDER.replace("[^_]*?", rf"(?:[^_]|{INNER})*?"), "strike": STRIKE, "apos": APOS, "code": CODE}.items()}
+_BLANK = regex.compile(r"(\n[ \t\r]*\n)")
+
+
+def _marks(t: str, name: str, sign: str) -> str:
+    """One kind of mark taken off, paragraph by paragraph."""
+    if sign not in t:
+        return t
+    return "".join(_INLINE[name].sub(lambda m: m[0].strip(sign), p) for p in _BLANK.split(t))
 _NAMES = {"textemdash": "—", "textendash": "–", "ldots": "…", "dots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "quad": " ", "newline": "\n", "par": "\n\n"}
 
 
@@ -117,7 +130,7 @@ def _wiki(t: str) -> str:
             break
     rows = lambda m: "\n".join(" | ".join(c.strip() for c in r.strip().lstrip("|!").split("||")) for r in regex.split(r"\n\|-[^\n]*", m[1])[1:] if r.strip())
     t = regex.sub(r"(?m)^[ \t]*\{\|([\s\S]*?)\n[ \t]*\|\}", rows, t)
-    return _INLINE["apos"].sub(lambda m: m[0].strip("'"), t)
+    return _marks(t, "apos", "'")
 
 
 def _latex(t: str) -> str:
@@ -143,12 +156,12 @@ def _markdown(t: str) -> str:
     t = regex.sub(AUTO, lambda m: m[0][1:-1], t)
     t = regex.sub(r"(?m)^" + NOTE + r":[ \t]*", "", t)
     t = regex.sub(NOTE, "", t)
-    t = regex.sub(r"(?m)^[ \t]*\|(?:[ \t]*:?-+:?[ \t]*\|)+[ \t\r]*\n?", "", t)
-    t = regex.sub(CODE, lambda m: m[0].strip("`"), t)
+    t = regex.sub(r"(?m)^[ \t]*\|[ \t]*:?-+:?[ \t]*\|[ \t|:\-\r]*\n?", "", t)
+    t = _marks(t, "code", "`")
     for _ in range(3):  # marks inside marks
         was = t
         for k, c in (("star", "*"), ("star2", "*"), ("under", "_"), ("strike", "~")):
-            t = _INLINE[k].sub(lambda m, c=c: m[0].strip(c), t)
+            t = _marks(t, k, c)
         if t == was:
             break
     return t

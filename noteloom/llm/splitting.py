@@ -23,7 +23,8 @@ LIMIT_TOKENS = 900
 OVERLAP_TOKENS = 128
 
 #: A fenced block: from a line that starts with three backticks to the next line of three backticks alone.
-FENCE = r"(?m:^```[^\n]*\n(?:(?!```[ \t\r]*$)[^\n]*\n)*+```[ \t\r]*$)"
+#: The repetition is possessive, which Java runs as a loop: a plain one would take a stack frame per line.
+FENCE = r"(?<![^\n])```[^\n]*\n(?:(?!```[ \t\r]*(?:\n|\z))[^\n]*\n)*+```[ \t\r]*(?=\n|\z)"
 
 
 def chars(tokens: int) -> int:
@@ -46,10 +47,9 @@ def pattern(limit: int) -> str:
 
 def units(text: Column, limit: int) -> Column:
     """Fenced blocks that fit and the stretches between them, each of at most limit characters."""
-    fence = r"```[^\n]*\n(?:(?!```[ \t\r]*(?:\n|\z))[^\n]*\n)*+```[ \t\r]*(?:\n|\z)"
-    # a stretch runs up to the next line that opens a block; a block that never closes is plain text
-    stretch = rf"(?:(?!(?<![^\n]){fence})[^\n]*(?:\n|\z)(?<=[\s\S]))+?(?=(?<![^\n]){fence}|\z)"
-    parts = F.regexp_extract_all(text, F.lit(rf"(?:(?<![^\n]){fence})|{stretch}"), F.lit(0))
+    block = FENCE + r"\n?"
+    around, blocks = F.split(text, block, -1), F.regexp_extract_all(text, F.lit(block), F.lit(0))
+    parts = F.flatten(F.transform(F.arrays_zip(around.alias("a"), blocks.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit("")))))
     cut = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(pattern(limit)), F.lit(0)))))
     return F.filter(cut, lambda p: F.length(p) > 0)
 
