@@ -104,7 +104,7 @@ def human_size(n: Column) -> Column:
 
 def owned_path(path: Column) -> Column:
     """Whether a path is relative, normal and a Markdown note: no empty, dot or parent parts, no leading slash."""
-    return path.rlike(r"^(?!/)(?:(?!\.{1,2}(?:/|$))[^/\x00]+/)*(?!\.{1,2}$)[^/\x00]+\.md$")
+    return path.rlike(r"^(?!/)(?:(?!\.{1,2}(?:/|$))[^/\x00]+/)*+(?!\.{1,2}$)[^/\x00]+\.md$")
 
 
 def producer_key(key: Column) -> Column:

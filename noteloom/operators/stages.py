@@ -101,7 +101,7 @@ def tidy_lengths(d: DataFrame, champions: bool = True) -> DataFrame:
     last = F.row_number().over(per_query().orderBy(F.desc("pos"))) == 1
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf"))
     bad = ~F.coalesce(fine(s), F.lit(False)) | (~last & ~F.coalesce(fine(nxt) & (nxt <= s), F.lit(False)))
-    g = d.select("query_id", "pos", *(["bm25_rank", "cosine_rank"] if champions else []), s.alias("rrf"), F.when(~last, F.log(s / nxt)).alias("gap"), bad.alias("bad"))
+    g = d.select("query_id", "pos", *(["bm25_rank", "cosine_rank"] if champions else []), s.alias("rrf"), F.when(~last & ~bad, F.log(F.try_divide(s, nxt))).alias("gap"), bad.alias("bad"))
     center = g.groupBy("query_id").agg(F.median("gap").alias("center"), F.count(F.lit(1)).cast("int").alias("n"), F.max(F.col("bad")).alias("bad"))
     if champions:
         center = center.join(champion_through(g), "query_id")

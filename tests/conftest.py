@@ -8,11 +8,10 @@ DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from noteloom import session
 
     s = session.build("tests", cores=4, partitions=4, memory="4g")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
