@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 12
-PASSAGE = 48
-BLOCK = 16
+PASSAGE = 24
+BLOCK = 4
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 
@@ -74,38 +74,50 @@ class ItemIndex:
         """(text number, item id) of all pairs with a common run."""
         if not self.ids:
             return []
-        seqs, owner, parts = [], [], []
-        size = max(PASSAGE, 2 * self.run)
+        size = max(PASSAGE, self.run + 4)
         step = size - self.run + 1
+        get = self.terms.get
+        seqs, owner = [], []
         for k, t in enumerate(texts):
-            if not t:
-                continue
-            seq = [self.terms.get(x, -1) for x in words(t)]
-            if len(seq) < self.run:
-                continue
-            a = np.array(seq, np.int64)
-            for j in range(0, max(1, len(a) - self.run + 1), step):
+            w = words(t) if t else []
+            if len(w) >= self.run:
                 owner.append(k)
-                seqs.append(a[j : j + size])
-                parts.append(np.unique(seqs[-1][seqs[-1] >= 0]))
-        if not parts:
+                seqs.append(np.array([get(x, -1) for x in w], np.int64))
+        if not seqs:
             return []
+        # passages of all texts: (text, first word, words), and their different terms, numbered through
+        count = [1 + max(0, -(-(len(a) - size) // step)) for a in seqs]
+        of = np.repeat(np.arange(len(seqs)), count)
+        start = np.concatenate([np.arange(c) * step for c in count])
+        length = np.minimum(size, np.array([len(a) for a in seqs])[of] - start)
+        base = np.cumsum([0, *[len(a) for a in seqs[:-1]]])[of]
+        at = np.repeat(np.arange(len(of)), length)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+        term = np.concatenate(seqs)[(base + start)[at] + inner]
+        known = term >= 0
+        pair = np.unique(at[known] * np.int64(len(self.terms)) + term[known])
+        at, term = pair // len(self.terms), pair % len(self.terms)
         # first bound: every term at its best anywhere
-        n = np.array([len(p) for p in parts])
-        flat = np.concatenate(parts)
-        at = np.repeat(np.arange(len(parts)), n)
-        bound = np.bincount(at, weights=self.term_max[flat], minlength=len(parts))
-        alive = np.flatnonzero(bound >= 1 - 1e-4)
+        alive = np.bincount(at, weights=self.term_max[term], minlength=len(of)) >= 1 - 1e-4
+        keep = alive[at]
+        at, term = at[keep], term[keep]
         found = set()
-        for q in alive:
-            terms = parts[q]
+        for p0 in range(0, len(of), 4_096):  # a bounded part of the passages at a time
+            lo, hi = np.searchsorted(at, (p0, p0 + 4_096))
+            if lo == hi:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], at[lo + 1 : hi] != at[lo : hi - 1]]))
             # second bound: every term at its best in the block
-            for b in np.flatnonzero(self.block_max[terms].sum(axis=0) >= 1 - 1e-4):
-                cols = slice(b * self.block, (b + 1) * self.block)
-                for i in np.flatnonzero(self.impact[terms, cols].sum(axis=0) >= 1 - 1e-4):
+            blocks = np.add.reduceat(self.block_max[term[lo:hi]], first, axis=0) >= 1 - 1e-4
+            last = np.append(first[1:], hi - lo)
+            for q, b in zip(*np.nonzero(blocks), strict=True):
+                terms, p = term[lo + first[q] : lo + last[q]], at[lo + first[q]]
+                score = self.impact[terms, b * self.block : (b + 1) * self.block].sum(axis=0)
+                for i in np.flatnonzero(score >= 1 - 1e-4):
                     k = b * self.block + i
-                    if k < len(self.ids) and (owner[q], self.ids[k]) not in found and self._holds(seqs[q], k):
-                        found.add((owner[q], self.ids[k]))
+                    t = owner[of[p]]
+                    if k < len(self.ids) and (t, self.ids[k]) not in found and self._holds(seqs[of[p]][start[p] : start[p] + length[p]], k):
+                        found.add((t, self.ids[k]))
         return sorted(found, key=lambda x: (x[0], str(x[1])))
 
     def _holds(self, seq: np.ndarray, k: int) -> bool:
