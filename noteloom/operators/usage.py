@@ -7,6 +7,8 @@ rename, so a batch is there whole or not at all. User data is kept apart from wh
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,35 @@ TICKS = "path string, count long, first_used long, last_used long"
 EVENTS = "run_id long, path string, fusion_rank int, bm25_rank int, cosine_rank int, rerank_rank int, final_rank int, rerank_scored tinyint"
 
 
+MOST_PAYLOAD, MOST_QUERY = 1_000_000, 16_384
+
+
+def payload(content: str, store_query: bool = False, query: str | None = None) -> tuple[dict, list[str], str | None]:
+    """A presentation as an agent reports it: its batch, its paths, and the query only when it is to be kept.
+
+    ValueError for more than a megabyte, a query of more than 16 KB, unknown fields, or a batch that fails its checks.
+    """
+    if len(content.encode()) > MOST_PAYLOAD:
+        raise ValueError("payload too large")
+    batch = json.loads(content)
+    if not isinstance(batch, dict) or set(batch) != {"run", "events"} or any(set(e) != {"path", "provenance"} for e in batch["events"]):
+        raise ValueError("a payload has run and events, an event path and provenance")
+    if store_query and (query is None or not query.strip() or len(query.encode()) > MOST_QUERY):
+        raise ValueError("a query to be kept must be there and not too long")
+    provenance.check_batch(batch)
+    return batch, [note_path(e["path"]) for e in batch["events"]], query if store_query else None
+
+
+def note_path(path: str) -> str:
+    """A note's relative path in normal form; ValueError when it isn't one."""
+    p = path.strip().replace("\\", "/")
+    while p.startswith("./"):
+        p = p[2:]
+    if not p.endswith(".md") or p.startswith("/") or any(x in ("", ".", "..") for x in p.split("/")):
+        raise ValueError(f"not a note's path: {path!r}")
+    return p
+
+
 def counters(log: DataFrame) -> DataFrame:
     """One row per path: counts added up, the first and the last use. Combined before the shuffle."""
     return log.where("path is not null").groupBy("path").agg(F.sum("count").alias("count"), F.min("first_used").alias("first_used"), F.max("last_used").alias("last_used"))
@@ -93,8 +124,6 @@ def record(batch: dict | None, paths: list[str], now: int, store: str, spark, qu
         raise ValueError("a stored query needs a run")
     if batch is not None:
         provenance.check_batch(batch)
-    import json
-
     tag = place(spark, "x").rsplit("-", 1)[1]
     run_id = int(tag[:15], 16)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -118,3 +147,8 @@ def record(batch: dict | None, paths: list[str], now: int, store: str, spark, qu
 def recorded(spark, store: str, what: str) -> DataFrame:
     """All published rows: ticks, runs or events."""
     return spark.read.parquet(f"{store.rstrip('/')}/batch-*/{what}")
+
+
+def with_days(d: DataFrame, *columns: str) -> DataFrame:
+    """Epoch seconds beside their day (UTC) as <column>_day, for display."""
+    return d.withColumns({f"{c}_day": F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd") for c in columns})

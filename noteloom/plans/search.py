@@ -195,6 +195,25 @@ def chunk_lists(hits: DataFrame, most: int = 3) -> DataFrame:
     return stages.per_note_display(hits, most)
 
 
+#: Fields of a hit that a result has; fields without a value are left out of its JSON.
+HIT = ("chunk_id", "path", "heading", "score", "relevance", "rrf", "cosine", "bm25", "rerank", "snippet", "body", "created", "source", "siblings")
+
+
+def as_json(hits: DataFrame) -> DataFrame:
+    """(query_id, hits): one JSON array per query, in order; ranks stay internal. A list is at most the limit long."""
+    one = F.struct("pos", F.struct(*[c for c in HIT if c in hits.columns]).alias("hit"))
+    return hits.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["hit"])).alias("hits"))
+
+
+def with_event_ids(hits: DataFrame, run: dict) -> DataFrame:
+    """Hits with final_rank, rerank_scored and the id that binds their ranks to the run."""
+    from ..operators.provenance import event_ids
+
+    d = hits.withColumns({"final_rank": F.col("pos"), "rerank_scored": F.col("rerank_rank").isNotNull()})
+    ranks = F.struct("fusion_rank", "bm25_rank", "cosine_rank", "rerank_rank", "final_rank", F.col("rerank_scored").cast("int").alias("rerank_scored"))
+    return d.withColumn("event_id", event_ids(F.lit(run["pipeline_id"]), F.lit(run["corpus_sha256"]), "path", F.lit(run["returned"]), F.lit(run["scope_elided"]), ranks))
+
+
 #: A search that may fail over: the smart one, then the plain reranked one.
 def with_fallback(smart: Callable[[], DataFrame], plain: Callable[[], DataFrame]) -> DataFrame:
     """The first of two plans that can be made; only planning errors count."""

@@ -145,6 +145,33 @@ def test_a_batch_is_there_whole_or_not(spark, tmp_path):
     assert json.loads(usage.recorded(spark, store, "runs").first().provenance_json)["limit"] == 10
 
 
+def test_payload():
+    b, paths, q = usage.payload(json.dumps(batch()), True, "words")
+    assert paths == ["a.md"] and q == "words" and usage.payload(json.dumps(batch()))[2] is None
+    for bad in (" " * 1_000_001, "{}", json.dumps(batch() | {"x": 1}), json.dumps(batch(limit=0))):
+        with pytest.raises(ValueError):
+            usage.payload(bad)
+    with pytest.raises(ValueError):
+        usage.payload(json.dumps(batch()), True, "x" * 16_385)
+    assert usage.note_path(" ./a/b.md ") == "a/b.md"
+    for bad in ("/a.md", "a/../b.md", "a.txt", ""):
+        with pytest.raises(ValueError):
+            usage.note_path(bad)
+
+
+def test_event_ids_of_a_table(spark):
+    from noteloom.plans import search
+
+    r = provenance_run()
+    d = spark.createDataFrame([("q", 1, "a.md", 2, 1, None, 1), ("q", 2, "b.md", 25, None, 3, None)], "query_id string, pos int, path string, fusion_rank int, bm25_rank int, cosine_rank int, rerank_rank int")
+    got = {x.path: x for x in search.with_event_ids(d, r).collect()}
+    for x in got.values():
+        ranks = {k: x[k] for k in ("fusion_rank", "bm25_rank", "cosine_rank", "rerank_rank", "final_rank", "rerank_scored")}
+        assert x.event_id == provenance.event_id(r["pipeline_id"], r["corpus_sha256"], x.path, r["returned"], r["scope_elided"], ranks)
+    assert json.loads(search.as_json(d).first().hits) == [{"path": "a.md"}, {"path": "b.md"}]
+    assert usage.with_days(spark.createDataFrame([(86_400,)], "ts long"), "ts").first().ts_day == "1970-01-02"
+
+
 def test_event_problems(spark):
     rows = [(1, "a", 1, 1, 1, 1, 1, 1), (1, "b", 2, 0, 1, None, 2, 0), (2, "a", None, 1, 1, None, 1, 1), (2, "a", 1, 1, 1, 1, 2, 0)]
     got = {(r.run_id, r.path, r.final_rank): set(r.problems) for r in provenance.event_problems(spark.createDataFrame(rows + rows[:1], usage.EVENTS)).collect()}
