@@ -182,7 +182,7 @@ def pivots(c: DataFrame, n: int, width: int, probes: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, width)
 
 
-def join(df: DataFrame, key: str, vector: str, width: int, k: int = 10, floor: float = 0.92, probes: int = 4, block: int = BLOCK) -> DataFrame:
+def join(df: DataFrame, key: str, vector: str, width: int, k: int = 10, floor: float = 0.92, probes: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, cos): per usable vector its k most similar others among those of at least floor.
 
     Every equal vector is a neighbour with cosine 1 (within rounding); ids of one class come in their order.
