@@ -51,6 +51,7 @@ def pieces(token: str) -> list[str]:
     return [p for p in _PIECE.findall(token) if not p.isascii()]
 
 
+@lru_cache(4_096)
 def _bytes(token: str, enc: str) -> list[int] | None:
     """The bytes of a token as read by enc; -1 for a lost byte. None where enc has no such character."""
     if LOST not in token:
@@ -206,14 +207,22 @@ class Model:
                     # bytes nearly always decode into a code page, so only known words (or several known signs) speak for one
                     gain = min(gain, 0.0) - 1.0
                 seen[t] = gain
-            out.append((k, seen[t], t))
+            # a worse word is passed at less cost by leaving the channel and coming back
+            if seen[t] > -(BEGIN + END):
+                out.append((k, seen[t], t))
         return tuple(out)
 
     def repair(self, text: str) -> tuple[str, float]:
         """The text as it was meant, and how much likelier (in nats) the damage is than the text as it stands."""
         found = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
         ways = [self.ways(t) for *_, t in found]
-        if not any(g > 0 for w in ways for _, g, _ in w):
+        # all that a channel can gain in this text; below the cost of its beginning no path through it wins
+        most: dict[int, float] = {}
+        for w in ways:
+            for k, g, _ in w:
+                if g > 0:
+                    most[k] = most.get(k, 0.0) + g
+        if max(most.values(), default=0.0) <= BEGIN:
             return self._filled(text, found), 0.0
         # Viterbi; state -1 is the text as it stands
         score: dict[int, float] = {-1: 0.0}
