@@ -62,3 +62,9 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the written intermediate tables of this folder; no plan that reads them may be run afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/noteloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
