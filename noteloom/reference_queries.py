@@ -34,7 +34,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> search.Corpus:
-    return search.Corpus.of(table(spark, d, "chunks"), WIDTH)
+    return search.Corpus.of(table(spark, d, "chunks", True), WIDTH)
 
 
 def _hits(spark: SparkSession, d: str, pool: int = POOL) -> DataFrame:
@@ -50,7 +50,7 @@ def _hits(spark: SparkSession, d: str, pool: int = POOL) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    got = lexical.search(lexical.build(table(spark, d, "chunks")), lexical.plain_terms(_queries(spark, d), "query_id", "query"), LIMIT)
+    got = lexical.search(lexical.build(table(spark, d, "chunks", True)), lexical.plain_terms(_queries(spark, d), "query_id", "query"), LIMIT)
     return got.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 

@@ -59,9 +59,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the supplied tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One of the supplied tables.
+
+    heavy: for work that costs far more than moving the rows. A file that can't be split would leave most cores idle,
+    so a scan of no more than half as many partitions as there are cores is spread over them; larger scans, which are
+    all that matter at scale, stay as they are.
+    """
+    d = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if heavy and 2 * d.rdd.getNumPartitions() <= cores else d
 
 
 def clear(spark: SparkSession) -> None:
