@@ -15,7 +15,7 @@ SCORES = ("bm25", "cosine", "rrf")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.found(table(spark, d, "chunks"), "id", "embedding", WIDTH)
+    return neighbours.found(table(spark, d, "chunks", True), "id", "embedding", WIDTH)
 
 
 def p1_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -35,26 +35,26 @@ def p2_fused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.residue(table(spark, d, "chunks"), "id", ["body", "heading_path"])
+    return markup.residue(table(spark, d, "chunks", True), "id", ["body", "heading_path"])
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("id", "body", "heading_path").dropDuplicates(["id"])
+    c = table(spark, d, "chunks", True).select("id", "body", "heading_path").dropDuplicates(["id"])
     return markup.clean(c, ["body", "heading_path"]).select("id", "body_clean", "heading_path_clean")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(table(spark, d, "chunks"), "id", "body")
+    return splitting.oversized(table(spark, d, "chunks", True), "id", "body")
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("id", "path", "ord", "heading_path", "body").dropDuplicates(["id"])
+    c = table(spark, d, "chunks", True).select("id", "path", "ord", "heading_path", "body").dropDuplicates(["id"])
     return splitting.split(c, "body").select("id", "path", "ord", "heading_path", "piece_no", "piece", "overlap_chars")
 
 
 def p5_rejoined(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: the pieces' own parts, put together again."""
-    c = table(spark, d, "chunks").select("id", "body").dropDuplicates(["id"])
+    c = table(spark, d, "chunks", True).select("id", "body").dropDuplicates(["id"])
     own = F.array_sort(F.collect_list(F.struct("piece_no", "piece_own")))
     whole = F.array_join(F.transform(own, lambda x: x["piece_own"]), "")
     got = splitting.split(c, "body").groupBy("id").agg(whole.alias("t"))
@@ -62,33 +62,33 @@ def p5_rejoined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.found(table(spark, d, "chunks"))
+    return neardup.found(table(spark, d, "chunks", True))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Five words and a similarity of 0.8: every chunk with a copy, its group and its number of partners."""
-    return neardup.grouped(table(spark, d, "chunks").where("kind = 0"), "id", "body")
+    return neardup.grouped(table(spark, d, "chunks", True).where("kind = 0"), "id", "body")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return leakage.leaks(table(spark, d, "documents", True), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).select(F.col("doc").alias("doc_id"), "src", "tokens", "copies")
+    return mixing.mix(table(spark, d, "documents", True), table(spark, d, "mix_targets")).select(F.col("doc").alias("doc_id"), "src", "tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(table(spark, d, "documents"), t), t)
+    return mixing.shares(mixing.mix(table(spark, d, "documents", True), t), t)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restored(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "lossy")
+    return mojibake.restored(table(spark, d, "documents", True), "doc_id", "text").select("doc_id", "lossy")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restored(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "restored", "lossy")
+    return mojibake.restored(table(spark, d, "documents", True), "doc_id", "text").select("doc_id", "restored", "lossy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
