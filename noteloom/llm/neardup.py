@@ -8,9 +8,10 @@ member that is frequent is so at any scale, and the order only steers the work,
 * Texts with the same words are one class; classes are what is compared. A group of exact copies, however large, is
   one row from here on; it is counted and reduced before the shuffle.
 * Classes with the same prefix and the same number of members are one group. Groups are joined by the members of
-  their prefixes; sizes, the positions of the common member and bitmaps of the sets bound the overlap inside the
-  join, and a pair needs as many common members as its sizes ask for.
-* The pairs of groups that are left are expanded to pairs of classes, and their sets are compared exactly.
+  their prefixes; sizes and the positions of the common member bound the overlap inside the join, and a pair needs as
+  many common members as its sizes ask for. Bitmaps of the sets bound it there for groups of one class only.
+* The pairs of groups that are left are expanded to pairs of classes, which the classes' own bitmaps bound, and their
+  sets are compared exactly.
 
 A member that stands in the prefixes of very many groups is cut into salted blocks by its counter, so that no task
 holds all of its groups.
@@ -38,6 +39,7 @@ SKETCH = 1 << 18
 EXPANDED = 32
 #: Bits of the sets' bitmaps, and buckets of the filter in front of the last join.
 BITS, FILTER = 192, 1 << 20
+MAPS = ["b0", "b1", "b2"]
 #: So many members of a set make one more common member in the prefixes a condition.
 PER_MATCH = 32
 #: Groups per block of a frequent member.
@@ -182,10 +184,21 @@ def prefixes(classes: DataFrame, width: int, t: float, counts: np.ndarray) -> Da
     return classes.select("c", "w").mapInArrow(cut, "c binary, g long, n int, p array<int>, b0 long, b1 long, b2 long")
 
 
+def apart() -> F.Column:
+    """In how many bits the bitmaps of sides a and b differ."""
+    x, *rest = [F.bit_count(F.col(f"{b}a").bitwiseXOR(F.col(f"{b}b"))) for b in MAPS]
+    return sum(rest, x)
+
+
+def common(t: float) -> F.Column:
+    """How many members sets of na and nb members must share for a similarity of t."""
+    return F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
+
+
 def group_pairs(leaders: DataFrame, t: float, counts: np.ndarray) -> DataFrame:
-    """(ga, gb): pairs of groups (ga < gb) whose members may reach t; leaders has one class per group."""
+    """(ga, gb): pairs of groups (ga < gb) whose members may reach t; leaders has one class per group, lone where it is the only one."""
     spark = leaders.sparkSession
-    bits = ["b0", "b1", "b2"]
+    bits = [*MAPS, "lone"]
     e = leaders.select("g", "n", *bits, F.posexplode("p").alias("pos", "tok"))
     # counters over HOT, with their number of blocks: part of a table of fixed size
     hot = [(int(k), int(-(-counts[k] // HOT))) for k in np.flatnonzero(counts > HOT)]
@@ -198,12 +211,12 @@ def group_pairs(leaders: DataFrame, t: float, counts: np.ndarray) -> DataFrame:
         e = e.select("tok", "g", "n", *bits, "pos", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
         keys = ["tok", "bi", "bj"]
     named = lambda s: e.select(*keys, F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), *[F.col(x).alias(f"{x}{s}") for x in bits])
-    both = F.col("na") + F.col("nb")
-    need = F.ceil(both * (t / (1 + t)) - 1e-9)
+    need = common(t)
     k = F.lit(1) + F.floor(F.least("na", "nb") / PER_MATCH)
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    apart = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in bits[1:]), F.bit_count(F.col("b0a").bitwiseXOR(F.col("b0b"))))
-    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & (apart <= both - 2 * need)
+    # members of a group share size and prefix, not the bitmap: a leader's says nothing about the others
+    mapped = ~(F.col("lonea") & F.col("loneb")) | (apart() <= F.col("na") + F.col("nb") - 2 * need)
+    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & mapped
     met = named("a").join(named("b"), keys).where(near).select("ga", "gb", k.cast("int").alias("k"))
     return met.groupBy("ga", "gb", "k").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.col("k")).select("ga", "gb").distinct()
 
@@ -216,8 +229,10 @@ def class_pairs(classes: DataFrame, width: int, t: float) -> DataFrame:
     # of a group of several classes one leads; the others, which are few as a rule, leave the join of the prefixes
     several = member.groupBy("g").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     others = member.join(several, "g").where("c != first").select("c", "g")
-    across = group_pairs(cut.join(others.select("c"), "c", "left_anti"), t, counts)
-    across = across.join(member.select(F.col("g").alias("ga"), F.col("c").alias("x")), "ga").join(member.select(F.col("g").alias("gb"), F.col("c").alias("y")), "gb").select("x", "y")
+    leaders = cut.join(others.select("c"), "c", "left_anti").join(several.select("g", F.lit(True).alias("led")), "g", "left")
+    across = group_pairs(leaders.withColumn("lone", F.col("led").isNull()), t, counts)
+    side = lambda s, x: cut.select(F.col("g").alias(f"g{s}"), F.col("c").alias(x), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{b}{s}") for b in MAPS])
+    across = across.join(side("a", "x"), "ga").join(side("b", "y"), "gb").where(apart() <= F.col("na") + F.col("nb") - 2 * common(t)).select("x", "y")
     inner = member.join(several.select("g"), "g", "left_semi")
     inside = inner.select("g", F.col("c").alias("x")).join(inner.select("g", F.col("c").alias("y")), "g").where("x < y").select("x", "y")
     pairs = across.unionByName(inside).select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()

@@ -217,6 +217,20 @@ def test_similar_against_brute_force(spark, width, t):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 5
 
 
+def test_groups_of_several_classes_lose_no_pair(spark):
+    # x0 and x1 have the same rare words in front, so one prefix, but other common words behind; y is near x1 alone
+    rows = []
+    say = lambda x, n: " ".join(f"{x}n{i}" for i in range(n))
+    for g in range(8):
+        head = [f"h{g}n{i}" for i in range(18)]
+        tails = [f"in between {say(f'b{g}t{k}', 22)}" for k in range(2)]
+        rows += [(f"x{g}{k}", f"{' '.join(head)} {tails[k]}") for k in range(2)]
+        rows.append((f"y{g}", f"{say(f'o{g}', 8)} {' '.join(head[8:])} {tails[1]}"))
+        rows += [(f"z{g}{k}{i}", f"{say(f'z{g}t{k}i{i}', 60)} {tails[k]}") for k in range(2) for i in range(4)]
+    got = {(r.id_a, r.id_b) for r in neardup.similar(spark.createDataFrame(rows, "id string, body string"), "id", "body", None, 3, 0.6).collect()}
+    assert got == {(f"x{g}1", f"y{g}") for g in range(8)}
+
+
 def test_a_large_class_keeps_its_links(spark):
     text = " ".join(f"w{i}" for i in range(40))
     near = text.replace("w20 ", "zz ")
