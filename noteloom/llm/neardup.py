@@ -17,9 +17,8 @@ A member that stands in the prefixes of very many groups is cut into salted bloc
 holds all of its groups.
 
 Defined results: null texts, null keys and texts with fewer than least words (or than width) have no partner; case and
-punctuation make no difference; a repeated row counts once; ids with the same words are similar with 1. Pairs of a
-class: of the EXPANDED smallest keys of a class each is paired with each and with those of similar classes; every
-further copy is linked to the first of them with another origin, so no link between different texts is lost.
+punctuation make no difference; a repeated row counts once; ids with the same words are similar with 1. ``similar``
+gives all pairs of ids, also n (n - 1) / 2 for n copies of one text; ``grouped`` counts them by class.
 """
 
 from __future__ import annotations
@@ -36,7 +35,8 @@ from pyspark.sql import functions as F
 from ..session import written
 
 SKETCH = 1 << 18
-EXPANDED = 32
+#: Ids of a class that are paired at once; a class of more is cut into such parts.
+PART = 256
 #: Bits of the sets' bitmaps, and buckets of the filter in front of the last join.
 BITS, FILTER = 192, 1 << 20
 MAPS = ["b0", "b1", "b2"]
@@ -288,30 +288,53 @@ def classes_of(texts: DataFrame) -> DataFrame:
     return texts.join(extra, "uid", "left_anti").select("c", "w")
 
 
+def parts_of(rows: DataFrame) -> DataFrame:
+    """(c, part, only, m): the ids of a class with their origins, in parts of about PART; all in part 0 as a rule.
+
+    An origin with more than PART ids in a class has parts of its own, named in ``only``: their ids aren't compared with
+    one another. What a row must know of large classes is joined by class and salt, as such a class may hold a third of all rows.
+    """
+    salts = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    sizes = rows.groupBy("c", "o").agg(F.count(F.lit(1)).alias("n"))
+    cut = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    hot = sizes.where(F.col("n") > PART).select("c", F.struct("o").alias("only"), cut("n").alias("own"))
+    large = sizes.where(F.col("n") <= PART).groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") > PART).select("c", cut("n").alias("blocks"))
+    d = rows.select("c", "id", "o", F.struct("o").alias("only"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
+    d = d.join(salts(hot), ["c", "only", "salt"], "left").join(salts(large), ["c", "salt"], "left")
+    # another seed than the salt's, which would leave blocks empty
+    block = F.pmod(F.xxhash64("id", F.lit("part")), F.coalesce("own", "blocks", F.lit(1))).cast("int")
+    part = F.when(F.col("own").isNotNull(), F.xxhash64("only", block)).otherwise(block.cast("long"))
+    only = F.when(F.col("own").isNotNull(), F.col("only"))
+    return d.select("c", part.alias("part"), only.alias("only"), F.struct("id", "o").alias("x")).groupBy("c", "part", "only").agg(F.collect_set("x").alias("m"))
+
+
+def id_pairs(rows: DataFrame, sims: DataFrame) -> DataFrame:
+    """(id_a, id_b, sim), id_a < id_b: all pairs of ids of different origins, in a class or in similar classes."""
+    parts = written(parts_of(rows), "parts")
+    named = lambda s: parts.select(F.col("c").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("only").alias(f"o{s}"), F.size("m").alias(f"n{s}"))
+    apart = F.col("oa").isNull() | F.col("ob").isNull() | (F.col("oa") != F.col("ob"))
+    # which parts meet is settled on short rows; the lists follow by class and part, so a large class is spread
+    cross = sims.join(named("a"), "ca").join(named("b"), "cb").where(F.coalesce(apart, F.lit(True)))
+    few = parts.groupBy("c").agg(F.sum(F.size("m")).alias("n")).where("n > 1").select("c")
+    inner = named("a").join(few.select(F.col("c").alias("ca")), "ca").join(named("b").withColumnRenamed("cb", "ca"), "ca")
+    inner = inner.where(F.coalesce(apart, F.lit(True)) & ((F.col("pa") < F.col("pb")) | ((F.col("pa") == F.col("pb")) & (F.col("na") > 1))))
+    meet = cross.select("ca", "pa", "cb", "pb", "sim").unionByName(inner.select("ca", "pa", F.col("ca").alias("cb"), "pb", F.lit(1.0).alias("sim")))
+    lists = lambda s: parts.select(F.col("c").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("m").alias(f"m{s}"))
+    ab = meet.join(lists("a"), ["ca", "pa"]).join(lists("b"), ["cb", "pb"])
+    met = ab.withColumn("same", (F.col("ca") == F.col("cb")) & (F.col("pa") == F.col("pb"))).select("sim", "same", F.explode("ma").alias("x"), "mb").select("sim", "same", "x", F.explode("mb").alias("y"))
+    met = met.where((F.col("x.id") != F.col("y.id")) & ~F.col("x.o").eqNullSafe(F.col("y.o")) & (~F.col("same") | (F.col("x.id") < F.col("y.id"))))
+    return met.select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"), "sim").groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
+
+
+def texts_and_pairs(df: DataFrame, key: str, text: str, origin: str | None, width: int, t: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, o, c) of all texts, and the similar classes."""
+    texts = written(worded_rows(df, key, text, origin, max(least, width)).withColumn("uid", F.monotonically_increasing_id()), "texts")
+    return texts.select("id", "o", "c"), class_pairs(classes_of(texts), width, t)
+
+
 def similar(df: DataFrame, key: str, text: str, origin: str | None = None, width: int = 5, t: float = 0.8, least: int = 0) -> DataFrame:
     """(id_a, id_b, sim), id_a < id_b: similar texts; with origin, only of different origins."""
-    texts = written(worded_rows(df, key, text, origin, max(least, width)).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    classes = classes_of(texts)
-    rows = texts.select("id", "o", "c")
-    # cut by rank before the shuffle as well, so a class of any size sends EXPANDED rows per task
-    w = Window.partitionBy("c").orderBy("id", "o")
-    few = rows.withColumn("n", F.dense_rank().over(w)).where(F.col("n") <= EXPANDED + 1)
-    lists = few.groupBy("c").agg(F.array_sort(F.collect_set(F.struct("id", "o"))).alias("m"))
-    head = lists.select("c", F.slice("m", 1, EXPANDED).alias("m"), (F.size("m") > EXPANDED).alias("more"))
-    pair = lambda x, y, s: F.struct(F.least(x["id"], y["id"]).alias("id_a"), F.greatest(x["id"], y["id"]).alias("id_b"), s.alias("sim"))
-    differ = lambda p, q: (p["id"] != q["id"]) & ~(p["o"].eqNullSafe(q["o"]))
-    sims = class_pairs(classes, width, t)
-    ab = sims.join(head.select(F.col("c").alias("ca"), F.col("m").alias("ma")), "ca").join(head.select(F.col("c").alias("cb"), F.col("m").alias("mb")), "cb")
-    cross = ab.select("sim", F.explode("ma").alias("x"), "mb").select("sim", "x", F.explode("mb").alias("y")).where(differ(F.col("x"), F.col("y")))
-    own = head.where(F.size("m") > 1).select(F.lit(1.0).alias("sim"), F.explode("m").alias("x"), F.col("m").alias("mb")).select("sim", "x", F.explode("mb").alias("y")).where(differ(F.col("x"), F.col("y")) & (F.col("x")["id"] < F.col("y")["id"]))
-    out = cross.unionByName(own).select(pair(F.col("x"), F.col("y"), F.col("sim")).alias("p")).select("p.*")
-    # further copies: a class of more than EXPANDED ids is rare, its ids may be a third of all rows, so they are joined in salted parts
-    big = head.where("more").select("c", "m", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    rest = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(big, ["c", "salt"]).where(~F.exists("m", lambda y: y["id"] == F.col("id")))
-    link = F.element_at(F.filter("m", lambda y: ~y["o"].eqNullSafe(F.col("o"))), 1)
-    tail = rest.withColumn("y", F.when(F.exists("m", lambda y: ~y["o"].eqNullSafe(F.col("o"))), link)).where("y is not null")
-    tail = tail.select(F.least("id", "y.id").alias("id_a"), F.greatest("id", "y.id").alias("id_b"), F.lit(1.0).alias("sim"))
-    return out.unionByName(tail).groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
+    return id_pairs(*texts_and_pairs(df, key, text, origin, width, t, least))
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
@@ -343,10 +366,18 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
 
 def grouped(df: DataFrame, key: str, text: str, width: int = 5, t: float = 0.8) -> DataFrame:
     """(key, group_id, links): every text that has a similar one, with the smallest key of its group and its number of partners."""
-    pairs = written(similar(df, key, text, None, width, t), "similar")
-    ends = pairs.select(F.col("id_a").alias(key)).unionByName(pairs.select(F.col("id_b").alias(key))).groupBy(key).agg(F.count(F.lit(1)).alias("links"))
-    c = components(pairs, "id_a", "id_b")
-    return c.select(F.col("node").alias(key), F.col("group").alias("group_id")).join(ends, key)
+    rows, sims = texts_and_pairs(df, key, text, None, width, t, 0)
+    # by class, as the pairs of ids grow with the square of the copies; class and id stand for one another in the links
+    rows, sims = written(rows.select("id", "c").distinct(), "ids"), written(sims.select("ca", "cb"), "class-links")
+    sizes = rows.groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    either = sims.unionByName(sims.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+    near = either.join(sizes.select(F.col("c").alias("cb"), "n"), "cb").groupBy(F.col("ca").alias("c")).agg(F.sum("n").alias("near"))
+    links = sizes.join(near, "c", "left").select("c", "first", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0")
+    grouped_by = components(sims, "ca", "cb").select(F.col("node").alias("c"), F.col("group").alias("root"))
+    c = links.join(grouped_by, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least_id = c.groupBy("root").agg(F.min("first").alias("group_id"))
+    per = c.join(least_id, "root").select("c", "group_id", "links")
+    return rows.join(per, "c").select(F.col("id").alias(key), "group_id", "links")
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -242,6 +242,24 @@ def test_a_large_class_keeps_its_links(spark):
     assert {r.group for r in neardup.components(links, "id_a", "id_b").collect()} == {"c000"}
 
 
+@pytest.mark.parametrize("part", [256, 7])
+def test_copies_give_all_pairs(spark, monkeypatch, part):
+    # most copies lie under one path; the few others have the largest ids
+    monkeypatch.setattr(neardup, "PART", part)
+    a = " ".join(f"w{i}" for i in range(40))
+    b = a.replace("w20 ", "zz ")
+    rows = [(f"{'y' if i > 37 else 'a'}{i:03d}", f"p{i}" if i > 37 else "hot", a) for i in range(40)]
+    rows += [(f"{'z' if i > 37 else 'b'}{i:03d}", f"q{i % 2}" if i > 37 else "hot", b) for i in range(40)]
+    rows += [(f"c{i:02d}", f"r{i}", "other " + a[4:]) for i in range(33)]
+    d = spark.createDataFrame(rows + rows[:5], "id string, path string, body string")
+    got = [(r.id_a, r.id_b) for r in neardup.similar(d, "id", "body", "path", 3, 0.6).collect()]
+    sets = {i: (p, shingles(t, 3)) for i, p, t in rows}
+    want = {(x, y) for x, (p, u) in sets.items() for y, (q, v) in sets.items() if x < y and p != q and len(u & v) >= 0.6 * len(u | v) - 1e-9}
+    assert len(got) == len(set(got)) and set(got) == want
+    g = neardup.grouped(d, "id", "body", 3, 0.6).collect()
+    assert sorted(r.id for r in g) == sorted(sets) and {(r.group_id, r.links) for r in g} == {("a000", len(sets) - 1)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")], "a string, b string")
     got = {r.node: r.group for r in neardup.components(links, "a", "b").collect()}
