@@ -8,8 +8,10 @@ encoding can't show, or for any character. The words that come out are weighed b
 corpus, and Viterbi search finds the likeliest states; changing the state costs, since damage covers a text or one
 passage of it, not single words here and there.
 
-The corpus statistics are counts of words over all texts, combined before the shuffle; of them the ``vocabulary``
-most frequent words (by default 200,000, some 10 MB) are broadcast, a bound that doesn't grow with the data.
+The corpus statistics are counts of words over all texts, combined before the shuffle. Of them the most frequent
+words (by default 200,000, some 10 MB) are broadcast, a bound that doesn't grow with the data. Where there are more,
+the texts are judged in blocks: a block asks for the words that it lacks, gets their counts by a join, and is judged
+again, until it asks nothing. So every count that a verdict rests on is exact, as are the totals.
 
 Defined results: null and empty texts, and texts in ASCII, are whole. A text that holds U+FFFD is damaged and its
 ``lossy`` is 1. Where a lost character can't be told, U+FFFD stays. Repeated rows are judged alike.
@@ -22,10 +24,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Encodings that were used wrongly, and those that texts had.
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "iso8859-15")
 MEANT = ("utf-8", "cp1252", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "shift_jis", "euc_jp", "iso8859-5")
@@ -38,6 +44,8 @@ BEGIN, END, UTF8_WORTH = 8.0, 2.0, 5.0
 LEAST_GAIN = 1.0
 #: Words of so few sightings, or of more characters, are judged by their characters.
 RARE, LONGEST = 2, 24
+#: Texts of a block are 2 ** BLOCK; slots of the filter of all words, which only saves questions.
+BLOCK, SLOTS = 11, 1 << 24
 
 TOKEN = re.compile(r"[^\t\n\r\f\v ]*[^\x00-\x7f][^\t\n\r\f\v ]*")
 #: Characters that are written without spaces between words; each counts on its own.
@@ -78,18 +86,38 @@ def _bytes(token: str, enc: str) -> list[int] | None:
     return out
 
 
+def agrees(word: str, w: str) -> bool | None:
+    """Whether w, of the same length, can be word with its lost characters: True to the letter, False but for case, None not."""
+    if LOST in w or any(w[i].isascii() for i, ch in enumerate(word) if ch == LOST):
+        return None
+    known = [(i, ch) for i, ch in enumerate(word) if ch != LOST]
+    if all(w[i] == ch for i, ch in known):
+        return True
+    return False if all(w[i].lower() == ch.lower() for i, ch in known) else None
+
+
+def merged(word: str, w: str) -> str:
+    return "".join(ch if ch != LOST else w[i] for i, ch in enumerate(word))
+
+
+def slot(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w) & (SLOTS - 1)
+
+
 class Model:
     """Word frequencies, and the likeliest way back for a token through each channel."""
 
-    def __init__(self, counts: list[tuple[str, int]]):
+    def __init__(self, counts: list[tuple[str, int]], whole: tuple[int, dict[str, int]] | None = None):
+        """whole: the number of words and of each character, where counts don't hold all words."""
         self.counts = dict(counts)
-        self.total = max(1, sum(self.counts.values()))
+        self.total = max(1, whole[0] if whole else sum(self.counts.values()))
         chars: dict[str, int] = {}
         self.by_size: dict[int, list[str]] = {}
         for w, c in self.counts.items():
             self.by_size.setdefault(len(w), []).append(w)
             for ch in w:
                 chars[ch] = chars.get(ch, 0) + c
+        chars = whole[1] if whole else chars
         self.chars, self.char_total = chars, max(1, sum(chars.values()))
         self.ways = lru_cache(200_000)(self._ways)
         self.score = lru_cache(200_000)(self._score)
@@ -114,19 +142,14 @@ class Model:
 
     def _fill(self, word: str) -> str | None:
         """The most frequent word that agrees with word but for its lost characters (one for one); case comes second."""
-        known = [(i, ch) for i, ch in enumerate(word) if ch != LOST]
-        if not any(ch.isalpha() for _, ch in known):
+        if not any(ch.isalpha() for ch in word if ch != LOST):
             return None
         best, most = None, (False, 0)
         for w in self.by_size.get(len(word), ()):
-            if LOST in w or any(w[i].isascii() for i, ch in enumerate(word) if ch == LOST):
-                continue
-            exact = all(w[i] == ch for i, ch in known)
-            if (exact, self.counts[w]) > most and (exact or all(w[i].lower() == ch.lower() for i, ch in known)):
+            exact = agrees(word, w)
+            if exact is not None and (exact, self.counts[w]) > most:
                 best, most = w, (exact, self.counts[w])
-        if best is not None and not most[0]:
-            best = "".join(ch if ch != LOST else best[i] for i, ch in enumerate(word))
-        return best
+        return None if best is None else merged(word, best)
 
     def _through(self, token: str, read: str, meant: str) -> str | None:
         raw = _bytes(token, read)
@@ -266,18 +289,111 @@ class Model:
         return re.sub(r"(?:[A-Za-z]|[^\x00-\x7f])*�(?:[A-Za-z]|[^\x00-\x7f])*", lambda m: self.fill(m.group()) or m.group(), token)
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = 200_000) -> list[tuple[str, int]]:
-    """The most frequent words with non-ASCII characters and their counts over all texts, at most size of them."""
+class Known(dict):
+    """Counts at hand; a word that isn't, but may be one of the corpus, is asked for and counts 0 until then."""
+
+    def __init__(self, counts: dict[str, int], on: np.ndarray):
+        super().__init__(counts)
+        self.on, self.asked = on, set()
+
+    def get(self, w: str, default: int = 0) -> int:
+        n = super().get(w)
+        if n is None:
+            k = slot(w)
+            if self.on[k >> 3] >> (7 - (k & 7)) & 1:
+                self.asked.add(w)
+        return n or default
+
+
+class Asking(Model):
+    """A model with some counts, and with answers: (word, count, None), or (word with lost characters, 0, the word that fits)."""
+
+    def __init__(self, head: list[tuple[str, int]], whole: tuple[int, dict[str, int]], on: np.ndarray, answers: list[tuple[str, int, str | None]]):
+        super().__init__([], whole)
+        self.counts = Known(dict(head), on)
+        self.counts.update((w, n) for w, n, _ in answers if LOST not in w)
+        self.fits = {w: fit for w, _, fit in answers if LOST in w}
+
+    def _fill(self, word: str) -> str | None:
+        if not any(ch.isalpha() for ch in word if ch != LOST):
+            return None
+        if word not in self.fits:
+            self.counts.asked.add(word)
+        fit = self.fits.get(word)
+        return None if fit is None else merged(word, fit)
+
+
+def vocabulary(docs: DataFrame, text: str) -> DataFrame:
+    """(w, n): the words with non-ASCII characters and their counts over all texts."""
     tokens = F.regexp_extract_all(F.col(text), F.lit(_RUN), F.lit(0))
     worded = F.filter(tokens, lambda w: w.rlike(r"[^\x00-\x7f]") & ~w.contains(LOST))
-    counted = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.explode(worded).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [(r.w, r.n) for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.explode(worded).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(words: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of words, and of each character in them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars: dict[str, int] = {}
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for ch in w:
+                    chars[ch] = chars.get(ch, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(chars), pa.string()), pa.array(list(chars.values()), pa.int64())], names=["ch", "n"])
+
+    chars = words.select("w", "n").mapInArrow(count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).collect()
+    return words.agg(F.sum("n")).first()[0], {r.ch: r.n for r in chars}
+
+
+def slots(words: DataFrame) -> np.ndarray:
+    """A bit per slot that a word falls on."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([slot(w) for w in b.column(0).to_pylist()], pa.int32())], names=["k"])
+
+    on = np.zeros(SLOTS, bool)
+    on[np.asarray(words.select("w").mapInArrow(scan, "k int").distinct().toArrow()["k"])] = True
+    return np.packbits(on)
+
+
+def fitting(lost: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, n, fit): the most frequent word that agrees with w but for its lost characters; they meet by length and one character."""
+
+    def places(one: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, keys = [], []
+                for row, w in enumerate(b.column(0).to_pylist()):
+                    mine = [f"{len(w)} {i} {ch.lower()}" for i, ch in enumerate(w) if ch.isalpha()]
+                    mine = mine[:1] if one else mine
+                    at += [row] * len(mine)
+                    keys += mine
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in b.columns], pa.array(keys, pa.string())], names=[*b.schema.names, "k"])
+
+        return scan
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            how = [agrees(p, w) for p, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            at = pa.array([i for i, x in enumerate(how) if x is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array([int(x) for x in how if x is not None], pa.int32())], names=["w", "fit", "n", "exact"])
+
+    p = lost.select("w").distinct().mapInArrow(places(True), "w string, k string")
+    v = words.select(F.col("w").alias("fit"), "n").mapInArrow(places(False), "fit string, n long, k string")
+    met = p.join(v, "k").select("w", "fit", "n").mapInArrow(match, "w string, fit string, n long, exact int")
+    best = met.groupBy("w").agg(F.min(F.struct(-F.col("exact"), -F.col("n"), "fit")).alias("b"))
+    return best.select("w", F.lit(0).cast("long").alias("n"), F.col("b.fit").alias("fit"))
 
 
 def restored(docs: DataFrame, key: str, text: str, size: int = 200_000) -> DataFrame:
-    """(key, text, restored, gain, lossy) of the damaged texts; lossy is 1 where the text holds U+FFFD."""
+    """(key, text, restored, gain, lossy) of the damaged texts; lossy is 1 where the text holds U+FFFD. size words are broadcast."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(vocabulary(docs, text, size))
+    words = written(vocabulary(docs, text), "words")
+    head = [(r.w, r.n) for r in words.orderBy(F.desc("n"), "w").limit(size + 1).collect()]
+    if len(head) > size:
+        return in_blocks(docs, key, text, words, head[:size])
+    held = spark.sparkContext.broadcast(head)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}[key]
     d = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("__k"), F.col(text).alias("__t"))
 
@@ -294,3 +410,45 @@ def restored(docs: DataFrame, key: str, text: str, size: int = 200_000) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ts), pa.array(ms), pa.array(gs, pa.float64()), pa.array(ls, pa.int32())], names=[key, "text", "restored", "gain", "lossy"])
 
     return d.mapInArrow(scan, f"`{key}` {kind}, text string, restored string, gain double, lossy int")
+
+
+def in_blocks(docs: DataFrame, key: str, text: str, words: DataFrame, head: list[tuple[str, int]]) -> DataFrame:
+    """What ``restored`` gives, where the head isn't all words."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((head, totals(words), slots(words)))
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}[key]
+    d = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]")).select(F.shiftright(F.monotonically_increasing_id(), BLOCK).alias("b"), F.col(key).alias("__k"), F.col(text).alias("__t"))
+    left = written(d, "blocks")
+    answers = spark.createDataFrame([], "b long, w string, n long, fit string")
+    names = [key, "text", "restored", "gain", "lossy"]
+
+    def judge(block: pa.Table, known: pa.Table) -> pa.Table:
+        model = Asking(*held.value, list(zip(*[known[c].to_pylist() for c in ("w", "n", "fit")], strict=True)))
+        rows = []
+        for i, t in enumerate(block["__t"].to_pylist()):
+            meant, gain = model.repair(t)
+            if gain > 0 or LOST in t:
+                rows.append((i, t, meant, gain, int(LOST in t)))
+        asked = sorted(model.counts.asked)
+        if asked:
+            rows = [(None, None, None, None, None)] * len(asked)
+        at, ts, ms, gs, ls = zip(*rows, strict=True) if rows else [()] * 5
+        b = block["b"][0].as_py() if block.num_rows else None
+        cols = [pa.array([b] * len(rows), pa.int64()), block["__k"].combine_chunks().take(pa.array(at, pa.int64())), pa.array(ts, pa.string()), pa.array(ms, pa.string()), pa.array(gs, pa.float64()), pa.array(ls, pa.int32()), pa.array(asked or [None] * len(rows), pa.string())]
+        return pa.table(cols, names=["b", *names, "asked"])
+
+    out = None
+    while True:
+        got = written(left.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(judge, f"b long, `{key}` {kind}, text string, restored string, gain double, lossy int, asked string"), "judged")
+        done = got.where("asked is null").select(*[F.col(f"`{c}`") for c in names])
+        out = done if out is None else out.unionByName(done)
+        asked = got.where("asked is not null").select("b", F.col("asked").alias("w"))
+        if asked.isEmpty():
+            return out
+        lost = asked.where(F.col("w").contains(LOST))
+        plain = asked.where(~F.col("w").contains(LOST)).join(words, "w", "left").select("b", "w", F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast("string").alias("fit"))
+        fits = lost.join(fitting(lost, words), "w", "left").select("b", "w", F.coalesce("n", F.lit(0)).alias("n"), "fit")
+        open_ = asked.select("b").distinct()
+        # only blocks that asked are judged again
+        answers = written(answers.join(open_, "b", "left_semi").unionByName(plain).unionByName(fits), "answers")
+        left = left.join(open_, "b", "left_semi")

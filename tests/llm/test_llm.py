@@ -387,3 +387,24 @@ def test_restoring(spark):
     assert whole >= 0.85 * len(want), [(got[k].restored, t) for k, (t, _) in want.items() if k in got and not got[k].restored.endswith(t)][:5]
     assert all(got[k].lossy == lossy for k, (_, lossy) in want.items() if k in got)
     assert mojibake.restored(spark.createDataFrame([], "id long, text string"), "id", "text").collect() == []
+
+
+def test_words_beyond_the_broadcast_count(spark):
+    rows = []
+    for n in range(12):
+        for lang, t in CLEAN.items():
+            w = t.split()
+            rows.append(f"Note {n}\n\n" + (" ".join(w[n % 5 :] + w[: n % 5]) if lang != "ja" else t))
+    for t in CLEAN.values():
+        for true, read in DAMAGE:
+            try:
+                rows.append(f"Plain words first.\n\n{t.encode(true).decode(read)}")
+            except UnicodeError:
+                pass
+    t = CLEAN["de"]
+    rows += ["First. " + t.encode("cp1252").decode("utf-8", "replace"), "First. " + t.encode().decode("cp1252").encode().decode("cp1252", "replace"), "First. " + CLEAN["ru"].encode().decode("cp1252", "replace")]
+    d = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    whole, few = ({tuple(r) for r in mojibake.restored(d, "id", "text", size).collect()} for size in (200_000, 10))
+    assert len(whole) > 15 and {r[:3] + r[4:] for r in few} == {r[:3] + r[4:] for r in whole}
+    gain = {r[0]: r[3] for r in few}
+    assert all(gain[r[0]] == pytest.approx(r[3]) for r in whole)
