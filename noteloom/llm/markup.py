@@ -124,10 +124,9 @@ def _wiki(t: str) -> str:
     t = regex.sub(WIKI_HEAD, lambda m: "#" * len(m[1]) + " " + m[0].strip().strip("=").strip(), t)
     t = regex.sub(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]", "", t)
     t = regex.sub(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]+)\]\]", r"\1", t)
-    for _ in range(4):  # templates inside templates
+    n = 1
+    while n:  # templates inside templates; each round shortens the text
         t, n = regex.subn(TEMPLATE, "", t)
-        if not n:
-            break
     rows = lambda m: "\n".join(" | ".join(c.strip() for c in r.strip().lstrip("|!").split("||")) for r in regex.split(r"\n\|-[^\n]*", m[1])[1:] if r.strip())
     t = regex.sub(r"(?m)^[ \t]*\{\|([\s\S]*?)\n[ \t]*\|\}", rows, t)
     return _marks(t, "apos", "'")
@@ -141,10 +140,9 @@ def _latex(t: str) -> str:
     t = regex.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]\n]*\])?[ \t]*\n?", "", t)
     t = regex.sub(r"~?\\(?:cite[pt]?|ref|eqref|label|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", "", t)
     t = regex.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", t)
-    for _ in range(4):
+    n = 1
+    while n:  # commands inside commands
         t, n = regex.subn(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", lambda m: _NAMES.get(regex.match(r"\\([A-Za-z]+)", m[0])[1], m[1]), t)
-        if not n:
-            break
     t = regex.sub(r"(?<![\w:\\])\\([A-Za-z]{2,})\*?(?![A-Za-z\\])[ \t]?", lambda m: _NAMES.get(m[1], ""), t)
     return regex.sub(r"\\([%&#_{}$])", r"\1", t)
 
@@ -158,12 +156,11 @@ def _markdown(t: str) -> str:
     t = regex.sub(NOTE, "", t)
     t = regex.sub(r"(?m)^[ \t]*\|[ \t]*:?-+:?[ \t]*\|[ \t|:\-\r]*\n?", "", t)
     t = _marks(t, "code", "`")
-    for _ in range(3):  # marks inside marks
+    was = None
+    while t != was:  # marks inside marks
         was = t
         for k, c in (("star", "*"), ("star2", "*"), ("under", "_"), ("strike", "~")):
             t = _marks(t, k, c)
-        if t == was:
-            break
     return t
 
 

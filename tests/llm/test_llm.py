@@ -151,6 +151,14 @@ def test_cleaning_keeps_structure(spark):
     assert d[1][0] is None and d[2][0] == "" and d[3][0] == "plain " * 50_000
 
 
+def test_cleaning_reaches_any_depth(spark):
+    deep = 9
+    wiki = "a " + "{{box|x=" * deep + "z" + "}}" * deep + " b"
+    latex = "a " + "\\emph{" * deep + "z" + "}" * deep + " b"
+    got = [r[0] for r in spark.createDataFrame([(0, wiki), (1, latex)], "i int, t string").orderBy("i").select(markup.cleaned(F.col("t"))).collect()]
+    assert got == ["a  b", "a z b"]
+
+
 # ---- 5 splitting
 
 
