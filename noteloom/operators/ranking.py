@@ -9,9 +9,13 @@ group has at most a few thousand buckets with values.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def finite(v: Column) -> Column:
     """v as a double where it is a finite number, else null."""
@@ -38,3 +42,21 @@ def positions(df: DataFrame, keys: list[str], value: str, weight: str | None = N
     higher = counted.groupBy(*keys, "__b").agg(F.sum("__n").alias("__t")).withColumn("__above", F.coalesce(F.sum("__t").over(above), F.lit(0))).drop("__t")
     ranked = counted.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(higher, [*keys, "__b"])
     return ranked.select(*keys, value, (F.col("__in") + F.col("__above") + 1).alias(out))
+
+
+def numbered(df: DataFrame, group: str, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """df with the place of each row in its group, from 1, by order (which should tell all rows of a group apart).
+
+    A total sort: the rows are cut into ranges of (group, order), however many equal values one of its columns has, and
+    sorted inside. A row's place is its number in its range less where the group begins there, plus what earlier
+    ranges hold of the group: one short row per range and group. No task holds a group.
+    """
+    keys = [F.col(group).asc(), *order]
+    # the ranges are drawn from a sample of the rows, so these are written first
+    rows = written(df, "to-number")
+    cut = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    cut = cut.withColumn("__p", F.shiftright("__m", 33))
+    held = cut.groupBy(group, "__p").agg(F.min("__m").alias("__lo"), F.count(F.lit(1)).alias("__k"))
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("__b", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
+    return cut.join(held, [group, "__p"]).withColumn(out, F.col("__m") - F.col("__lo") + F.col("__b") + 1).drop("__m", "__p", "__lo", "__b")
