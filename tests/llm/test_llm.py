@@ -93,7 +93,8 @@ def test_search_is_exact(spark):
 # ---- 2 fusion
 
 
-def test_fusion_against_brute_force(spark):
+@pytest.mark.parametrize("one_task", [200_000, 90, 1])
+def test_fusion_against_brute_force(spark, one_task):
     rng = random.Random(2)
     val = lambda: rng.choice([None, float("nan"), float("inf"), 1.0, 2.0, rng.random() * 1e4, -rng.random()])
     rows = [(rng.choice([1, 1, 1, 2, None]), f"i{rng.randrange(60)}", val(), val(), val(), "x") for _ in range(300)]
@@ -105,8 +106,9 @@ def test_fusion_against_brute_force(spark):
             for k, x in enumerate(v):
                 if x is not None and math.isfinite(x):
                     o[k] = x if o[k] is None else max(o[k], x)
-    got = {(r.run, r.id): r for r in fusion.fuse(d, "run", "id", ["a", "b", "c"]).collect()}
-    assert set(got) == set(best)
+    every = fusion.fuse(d, "run", "id", ["a", "b", "c"], one_task=one_task).collect()
+    got = {(r.run, r.id): r for r in every}
+    assert set(got) == set(best) and len(every) == len(got)
     for run in (1, 2):
         mine = {i: v for (r, i), v in best.items() if r == run}
         pos = {i: [None if v[k] is None else 1 + sum(w[k] is not None and w[k] > v[k] for w in mine.values()) for k in range(3)] for i, v in mine.items()}
@@ -114,12 +116,20 @@ def test_fusion_against_brute_force(spark):
         order = sorted(mine, key=lambda i: (-round(fused[i], 12), i))
         for i in mine:
             r = got[run, i]
-            assert [r.a_pos, r.b_pos, r.c_pos] == pos[i] and r.fused == pytest.approx(fused[i], abs=1e-12)
+            assert [r.a_pos, r.b_pos, r.c_pos] == pos[i] and r.n == len(mine) and r.fused == pytest.approx(fused[i], abs=1e-12)
         assert sorted(mine, key=lambda i: got[run, i].place) == order
         n = math.ceil(len(mine) / 10)
         want = {i for i, p in pos.items() if all(x is not None and x <= n for x in p)}
-        assert {r.id for r in fusion.best_by_all(d, "run", "id", ["a", "b", "c"]).where(f"run = {run}").collect()} == want
-    assert fusion.fuse(d.limit(0), "run", "id", ["a", "b", "c"]).collect() == []
+        assert {r.id for r in fusion.best_by_all(d, "run", "id", ["a", "b", "c"], one_task=one_task).where(f"run = {run}").collect()} == want
+    assert fusion.fuse(d.limit(0), "run", "id", ["a", "b", "c"], one_task=one_task).collect() == []
+
+
+@pytest.mark.parametrize("one_task", [200_000, 10])
+def test_a_run_of_equal_scores_is_ordered_by_item(spark, one_task):
+    d = spark.createDataFrame([(1, f"i{k:04d}", 1.0, None) for k in range(500)] + [(2, "x", 1.0, None)], "run int, id string, a double, b double").repartition(4)
+    got = fusion.fuse(d, "run", "id", ["a", "b"], one_task=one_task)
+    assert [r.id for r in got.where("run = 1").orderBy("place").collect()] == [f"i{k:04d}" for k in range(500)]
+    assert {(r.place, r.a_pos) for r in got.where("run = 2").collect()} == {(1, 1)} and got.agg(F.max("place")).first()[0] == 500
 
 
 # ---- 3 markup
