@@ -61,6 +61,12 @@ def p5_rejoined(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of all pieces: the limit, the order, the overlaps, the whole text, and whole fenced blocks."""
+    c = table(spark, d, "chunks", True).where("id is not null").select("id", "body").dropDuplicates(["id"])
+    return splitting.kept(c, "id", "body")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(table(spark, d, "chunks", True))
 
@@ -92,7 +98,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 _SCORED = """
@@ -125,6 +131,9 @@ def oracle_sql() -> dict[str, str]:
                          list_max(list_transform(regexp_split_to_array(regexp_replace(body, '{_FENCE}', chr(10), 'g'), '\\s+'), lambda x: length(x))) AS run FROM c)
             SELECT id, CASE WHEN longest > 3150 THEN 'fence' WHEN run > 3150 THEN 'run' ELSE 'plain' END AS cut FROM f""",
         "p5_rejoined": "SELECT id, length(body) AS n_chars, md5(body) AS digest FROM (SELECT DISTINCT id, body FROM chunks) WHERE trim(body) <> ''",
+        "p5_kept": f"""
+            SELECT id, length(body) AS n_chars, len(list_filter(regexp_extract_all(body, '{_FENCE}'), lambda x: length(x) <= 3150)) AS n_fences, true AS within, true AS in_order, true AS overlaps_fit
+            FROM (SELECT DISTINCT id, body FROM chunks WHERE id IS NOT NULL) WHERE trim(body) <> ''""",
         "p7_found": f"""
             WITH c AS (SELECT id, any_value(path) AS path, any_value({w}) AS w FROM chunks WHERE kind = 0 AND id IS NOT NULL GROUP BY id),
             s AS (SELECT DISTINCT id, path, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM c, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 45),

@@ -176,6 +176,8 @@ def test_splitting(spark):
     rng = random.Random(4)
     fence = "```\n" + "code\n\n" * 40 + "```\n"
     texts = ["", "  ", None, "short", "x" * 9_000, ("word " * 30 + "\n\n") * 60, "🙂é\n" * 3_000, fence * 30, "```\n" + "y\n" * 4_000 + "```\n", "a. " * 3_000, "\r\n".join(["line " * 20] * 90), "z" * 3_150, "z" * 3_151]
+    block = lambda n: "```\n" + "k\n" * n + "```"
+    texts += ["a. " * 900 + "\n" + block(1_500) + "\n" + "b. " * 900, block(1_440) + "\n" + "e " * 2_000]
     texts += ["".join(rng.choice([" ", "\n\n", "ab", "。", "```\n", "# H\n", "x" * 300]) for _ in range(900)) for _ in range(6)]
     d = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "id int, body string, piece_text string")
     got = {}
@@ -192,7 +194,12 @@ def test_splitting(spark):
             assert b.piece == b.piece[: b.overlap_chars] + b.piece_own and (a.piece + "").endswith(b.piece[: b.overlap_chars][-50:])
     assert len(got[3]) == 1 and len(got[11]) == 1 and len(got[12]) == 2 and len(got[4]) >= 3
     own = [p.piece_own for p in got[7]]
-    assert all(o.count("```") % 2 == 0 for o in own)  # blocks that fit aren't cut
+    assert all(o.count("```") % 2 == 0 for o in own)
+    for i, n in ((13, 1_500), (14, 1_440)):  # blocks that fit aren't cut, even where they leave less room than an overlap
+        assert any(block(n) in p.piece_own for p in got[i]) and len(got[i]) > 1
+    k = splitting.kept(d, "id", "body").collect()
+    assert all(r.within and r.in_order and r.overlaps_fit and r.n_chars == len(texts[r.id]) for r in k) and len(k) == len(got)
+    assert {r.id: r.n_fences for r in k}[13] == 1 and {r.id: r.n_fences for r in k}[7] == 30
     assert all(o.endswith("\n\n") for o in [p.piece_own for p in got[5]])
 
 
