@@ -7,7 +7,7 @@ the drawn tokens and documents hit their targets but for a few documents per sou
 scatter.
 
 The flight phase runs in blocks of a source (cut by hash, so that a source with a third of all documents is many
-tasks). A block leaves at most as many undecided documents as there are constraints; these go on to the next level, in
+tasks), a task per block; inside a block, lanes of a few documents take their steps together, as arrays. A block leaves at most as many undecided documents as there are constraints; these go on to the next level, in
 blocks of blocks, until one block per source is left. What that leaves is the landing: the token constraint is let
 go, then the count, and the last document is drawn by its own probability.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ..session import written
 
 BLOCK = 10_000
+#: Units of a lane; all lanes of a block fly at once.
+LANE = 32
 EPS = 1e-9
 #: The word pattern of the byte-level vocabulary, as its publisher gives it; taken from the tokenizer's own package where there is one.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,6 +109,42 @@ def flight(pi: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) ->
         hand = [i for i, v in zip(hand, x, strict=True) if 0 < v < 1]
 
 
+def flight_in_lanes(pi: np.ndarray, constraints: np.ndarray, rng: np.random.Generator, lane: int = LANE) -> np.ndarray:
+    """The flight under two constraints, in lanes of ``lane`` units that take each step together.
+
+    Every lane keeps three units in hand and moves them along their one null direction; a unit that is decided is
+    replaced by the lane's next. A lane leaves two undecided at most, which go into the lanes of the next round.
+    """
+    pi = pi.astype(np.float64).copy()
+    while True:
+        left = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
+        n = len(left) // lane
+        if n < 4:
+            return flight(pi, constraints, rng)
+        units = rng.permutation(left)[: n * lane].reshape(n, lane)
+        hand, nxt, on = units[:, :3].copy(), np.full(n, 3), np.arange(n)
+        while len(on):
+            h = hand[on]
+            a, b = constraints[0][h], constraints[1][h]
+            u = np.cross(a, b)
+            flat = np.abs(u).max(axis=1) < 1e-12  # the constraints say the same of these three, so one of them does
+            u[flat] = np.stack([a[flat, 1], -a[flat, 0], np.zeros(flat.sum())], axis=1)
+            u /= np.abs(u).max(axis=1, keepdims=True)
+            x = pi[h]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > EPS, (1 - x) / u, np.where(u < -EPS, -x / u, np.inf)).min(axis=1)
+                down = np.where(u > EPS, x / u, np.where(u < -EPS, (x - 1) / u, np.inf)).min(axis=1)
+            x = np.clip(x + np.where(rng.random(len(on)) * (up + down) < down, up, -down)[:, None] * u, 0, 1)
+            x[x < EPS], x[x > 1 - EPS] = 0, 1
+            pi[h] = x
+            for k in range(3):
+                lane_no = on[(x[:, k] == 0) | (x[:, k] == 1)]
+                more = lane_no[nxt[lane_no] < lane]
+                hand[more, k] = units[more, nxt[more]]
+                nxt[lane_no] += 1
+            on = on[nxt[on] <= lane]
+
+
 def land(pi: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Decides the last ones: with the count alone, then each by itself."""
     pi = flight(pi, np.ones((1, len(pi))), rng)
@@ -130,7 +168,7 @@ def drawn(units: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
             mix = rng.permutation(len(pi))
             c = np.vstack([np.ones(len(pi)), tok / max(1.0, tok.mean() if len(tok) else 1.0)])[:, mix]
             out = np.empty(len(pi))
-            out[mix] = flight(pi[mix], c, rng)
+            out[mix] = flight_in_lanes(pi[mix], c, rng)
             if final:
                 out = land(out, tok, rng)
             return t.set_column(t.schema.get_field_index("pi"), "pi", pa.array(out))
@@ -144,7 +182,8 @@ def drawn(units: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
     done = None
     while True:
         final = blocks == 1
-        flown = d.groupBy("src", "blk").applyInArrow(fly(final), schema)
+        # so many partitions as blocks: left to itself, the engine puts the short rows of all blocks into one task
+        flown = d.repartition(max(1, blocks * len(sizes)), "src", "blk").groupBy("src", "blk").applyInArrow(fly(final), schema)
         if final:
             return (flown if done is None else done.unionByName(flown)).select("doc", "src", "tokens", F.round("pi").cast("int").alias("take"))
         flown = written(flown, "flight")
@@ -202,3 +241,17 @@ def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     # one row per target source, so a window over all of them is a handful of rows
     whole = F.sum("tokens").over(Window.partitionBy())
     return d.select("src_name", "target_share", F.coalesce(F.try_divide("tokens", whole), F.lit(0.0)).alias("reached_share"), "docs", "copies", "tokens")
+
+
+def kept(selection: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src_name, given, share_met, cap_kept): whether a target source is in the selection, meets its share, and keeps its cap.
+
+    The share is that among the sources with documents; it is met if it is off by at most three of the source's longest documents.
+    """
+    t = targets.select(source_name(F.col("src_name")).alias("src"), "src_name", "target_share", "max_repeats")
+    got = selection.groupBy("src").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("most"), F.max("tokens").alias("long"))
+    d = t.join(got, "src", "left")
+    w = Window.partitionBy()  # one row per target source
+    d = d.withColumns({"whole": F.sum("t").over(w), "live": F.sum(F.when(F.col("t") > 0, F.col("target_share"))).over(w)})
+    off = F.abs(F.col("t") - F.col("whole") * F.col("target_share") / F.col("live"))
+    return d.select("src_name", F.col("t").isNotNull().alias("given"), F.coalesce(off <= 3 * F.col("long"), F.lit(True)).alias("share_met"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("cap_kept"))

@@ -89,6 +89,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents", True), t), t)
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mix: shares, caps, and which sources have documents."""
+    t = table(spark, d, "mix_targets")
+    return mixing.kept(mixing.mix(table(spark, d, "documents", True), t), t)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents", True), "doc_id", "text").select("doc_id", "lossy")
 
@@ -98,7 +104,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p9_kept, p10_found, p10_restored)}
 
 
 _SCORED = """
@@ -145,4 +151,7 @@ def oracle_sql() -> dict[str, str]:
             dg AS (SELECT DISTINCT i, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(k)),
             eg AS (SELECT DISTINCT i, array_to_string(w[k:k + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS u(k))
             SELECT DISTINCT dg.i AS doc_id, eg.i AS item_id FROM dg JOIN eg USING (g)""",
+        "p9_kept": """
+            WITH d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g') AS src FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND text <> '')
+            SELECT src_name, regexp_replace(lower(trim(src_name)), '[_\\s]+', '-', 'g') IN (SELECT src FROM d) AS given, true AS share_met, true AS cap_kept FROM mix_targets""",
     }

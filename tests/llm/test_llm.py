@@ -337,13 +337,14 @@ def test_leaks_against_brute_force(spark):
 # ---- 9 mixing
 
 
-def test_cube_keeps_the_totals():
+@pytest.mark.parametrize("fly", [mixing.flight, mixing.flight_in_lanes])
+def test_cube_keeps_the_totals(fly):
     rng = np.random.default_rng(9)
     pi = np.full(400, 0.3)
     tok = rng.integers(1, 500, 400).astype(float)
     tokens, counts = [], []
     for s in range(60):
-        out = mixing.land(mixing.flight(pi, np.vstack([np.ones(400), tok]), np.random.default_rng(s)), tok, np.random.default_rng(s + 1000))
+        out = mixing.land(fly(pi, np.vstack([np.ones(400), tok]), np.random.default_rng(s)), tok, np.random.default_rng(s + 1000))
         assert set(np.unique(out)) <= {0.0, 1.0}
         tokens.append((out * tok).sum())
         counts.append(out.sum())
@@ -352,6 +353,12 @@ def test_cube_keeps_the_totals():
     assert abs(np.mean(tokens) - 0.3 * tok.sum()) < 0.02 * tok.sum()
 
 
+def test_lanes_of_equal_units_draw_fairly():
+    tok = np.full(1_000, 7.0)
+    taken = sum(mixing.land(mixing.flight_in_lanes(np.full(1_000, 0.25), np.vstack([np.ones(1_000), tok / 7]), np.random.default_rng(s)), tok, np.random.default_rng(s)) for s in range(200))
+    assert taken.sum() == 200 * 250 and abs(taken[:500].sum() - taken[500:].sum()) < 1_500 and taken.max() < 90 and taken.min() > 20
+
+
 def test_mix(spark):
     rows = [(i, "word " * (1 + i % 7), ("A", "a ", "b_c", "B-c", None, "zz")[i % 6]) for i in range(600)] + [(1, "word " * 2, "a "), (700, None, "a"), (None, "x", "a")]
     d = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, tokens int")
