@@ -1,18 +1,25 @@
-"""Evaluation texts inside training texts (problem 8): a BM25 index of the test items, searched with every passage.
+"""Evaluation texts inside training texts (problem 8): a BM25 inverted index of the test items, searched by block-max WAND.
 
-The items are indexed once: postings hold each term's BM25 impact in each item, and blocks of items hold the largest
-impact of a term in the block. Every training text is cut into overlapping passages, and every passage is a query.
-A passage is dropped when the sum of its terms' largest impacts can't reach the threshold; then the blocks whose
-maxima can't reach it; the items of the blocks that are left are scored in full, and those above the threshold go to
-the exact check of consecutive words. The bounds are computed for all passages of a batch at once.
+The items are indexed once: the postings of a term are the items that hold it, in order, each with the term's BM25
+impact; blocks of items hold the largest impact of a term in the block. What is kept grows with the postings. Every
+passage of every training text is a query, and all items that score the threshold or more come out:
+
+* A passage is a window of ``run`` words; neighbouring windows that may reach the threshold are searched together, as
+  one query of up to PASSAGE words. A window may reach it if its words' largest impacts anywhere add up to it.
+* Each term of a query has a cursor in its postings. The lists, ordered by the items that their cursors are at, are added
+  up by their largest impacts; the item at which the sum reaches the threshold is the pivot, no earlier item can reach it.
+  If the block maxima at the pivot don't reach it either, the cursors jump behind the block, else they move up to
+  the pivot, and an item that all lists before it have reached is scored in full. The cursors of many queries move
+  together, as arrays; a query leaves when it has no pivot.
+* Items above the threshold go to the exact check of consecutive words.
 
 The threshold loses nothing: an item's impacts are divided by the smallest score that any run of ``run`` words of it
-gives, so a passage that holds such a run scores 1 at least. Passages overlap by run - 1 words or more, so that
-every run lies in one passage whole.
+gives, so a passage that holds such a run scores 1 at least. Passages overlap by run - 1 words, so that every run lies
+in one passage whole.
 
 The test items are a stated set, far smaller than the corpus. They are broadcast in shards of at most
-``shard_words`` words, one pass over the corpus per shard, so what a task holds is bounded whatever their number.
-The corpus isn't shuffled.
+``shard_words`` words, one pass over the corpus per shard: 16 bytes per posting, some 32 MB for a full shard of
+2,000,000 words. The corpus isn't shuffled.
 
 Defined results: null or empty texts match nothing; an item of fewer words than ``run`` can't be held to leak;
 repeated items are matched each by its own id; a text matches an item once, however often it holds it.
@@ -31,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 12
-PASSAGE = 24
-BLOCK = 4
+#: Words of a query at most, items of a block, and queries whose cursors move together.
+PASSAGE, BLOCK, TOGETHER = 24, 16, 8_192
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
+#: Sums of single-precision impacts may fall short of 1 by so much.
+NEAR = 1 - 1e-4
 
 
 def words(text: str) -> list[str]:
@@ -43,86 +52,132 @@ def words(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """Impacts of the items' terms, scaled so that 1 is each item's threshold."""
+    """Postings of the items' terms; impacts are scaled so that 1 is each item's threshold."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN, block: int = BLOCK):
-        self.run = run
+        self.run, self.block = run, block
         kept = [(i, w) for i, t in sorted(items, key=lambda x: str(x[0])) if len(w := words(t or "")) >= run]
         self.ids = [i for i, _ in kept]
         self.terms: dict[str, int] = {}
-        for _, w in kept:
-            for x in w:
-                self.terms.setdefault(x, len(self.terms))
-        n, blocks = len(kept), -(-len(kept) // block) if kept else 0
-        self.block, self.blocks = block, blocks
-        self.impact = np.zeros((len(self.terms), blocks * block), np.float32)
-        self.runs: list[set[tuple[int, ...]]] = []
-        df = Counter(x for _, w in kept for x in set(w))
-        mean = sum(len(w) for _, w in kept) / n if n else 1.0
-        for k, (_, w) in enumerate(kept):
-            tf = Counter(w)
-            score = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
-            least = min(sum(score[x] for x in set(w[j : j + run])) for j in range(len(w) - run + 1))
-            for x, s in score.items():
-                self.impact[self.terms[x], k] = s / least
-            t = [self.terms[x] for x in w]
-            self.runs.append({tuple(t[j : j + run]) for j in range(len(t) - run + 1)})
-        self.block_max = self.impact.reshape(len(self.terms), blocks, block).max(axis=2) if n else np.zeros((0, 0), np.float32)
-        self.term_max = self.block_max.max(axis=1) if n else np.zeros(0, np.float32)
+        self.seqs = [np.array([self.terms.setdefault(x, len(self.terms)) for x in w], np.int32) for _, w in kept]
+        self.n, self.blocks = len(kept), -(-len(kept) // block)
+        df = Counter(t for s in self.seqs for t in set(s.tolist()))
+        mean = sum(map(len, self.seqs)) / self.n if self.n else 1.0
+        term, item, impact = [], [], []
+        for k, s in enumerate(self.seqs):
+            w = s.tolist()
+            score = {t: math.log(1 + (self.n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
+            least = min(sum(score[t] for t in set(w[j : j + run])) for j in range(len(w) - run + 1))
+            term += score
+            item += [k] * len(score)
+            impact += [x / least for x in score.values()]
+        key = np.array(term, np.int64) * self.n + np.array(item, np.int64)
+        order = np.argsort(key, kind="stable")
+        #: Postings by term and item in one array of keys; a term's are those from first[term] on.
+        self.key, self.impact = key[order], np.array(impact, np.float32)[order]
+        self.first = np.searchsorted(self.key, np.arange(len(self.terms) + 1, dtype=np.int64) * max(self.n, 1))
+        # one entry per term and block with a posting
+        at = self.key // max(self.n, 1) * self.blocks + self.key % max(self.n, 1) // block if self.n else self.key
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if self.n else np.zeros(0, np.int64)
+        self.block_key = at[start]
+        self.block_max = np.maximum.reduceat(self.impact, start) if self.n else self.impact
+        self.term_max = np.maximum.reduceat(self.impact, self.first[:-1]) if self.n else self.impact
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(text number, item id) of all pairs with a common run."""
-        if not self.ids:
+        if not self.n:
             return []
-        size = max(PASSAGE, self.run + 4)
-        step = size - self.run + 1
-        get = self.terms.get
-        seqs, owner = [], []
+        get, flat, owner, count = self.terms.get, [], [], []
         for k, t in enumerate(texts):
             w = words(t) if t else []
             if len(w) >= self.run:
                 owner.append(k)
-                seqs.append(np.array([get(x, -1) for x in w], np.int64))
-        if not seqs:
+                count.append(len(w) + 1)
+                flat += [get(x, -1) for x in w]
+                flat.append(-1)  # nothing runs on over the end of a text
+        if not owner:
+            return []
+        flat, count = np.array(flat, np.int32), np.array(count)
+        # windows whose words are all of some item, and whose largest impacts reach the threshold
+        impact = np.concatenate([self.term_max, np.zeros(1, np.float32)])[flat].astype(np.float64)
+        total = np.concatenate([[0.0], np.cumsum(impact)])
+        foreign = np.concatenate([[0], np.cumsum(flat < 0)])
+        may = (total[self.run :] - total[: -self.run] >= NEAR) & (foreign[self.run :] == foreign[: -self.run])
+        begin = np.flatnonzero(may)
+        if not len(begin):
             return []
-        # passages of all texts: (text, first word, words), and their different terms, numbered through
-        count = [1 + max(0, -(-(len(a) - size) // step)) for a in seqs]
-        of = np.repeat(np.arange(len(seqs)), count)
-        start = np.concatenate([np.arange(c) * step for c in count])
-        length = np.minimum(size, np.array([len(a) for a in seqs])[of] - start)
-        base = np.cumsum([0, *[len(a) for a in seqs[:-1]]])[of]
-        at = np.repeat(np.arange(len(of)), length)
-        inner = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        term = np.concatenate(seqs)[(base + start)[at] + inner]
-        known = term >= 0
-        pair = np.unique(at[known] * np.int64(len(self.terms)) + term[known])
-        at, term = pair // len(self.terms), pair % len(self.terms)
-        # first bound: every term at its best anywhere
-        alive = np.bincount(at, weights=self.term_max[term], minlength=len(of)) >= 1 - 1e-4
-        keep = alive[at]
-        at, term = at[keep], term[keep]
+        # neighbouring windows as passages of up to PASSAGE words
+        size = max(PASSAGE, self.run)
+        fresh = np.concatenate([[True], np.diff(begin) != 1])
+        stretch = np.maximum.accumulate(np.where(fresh, begin, 0))
+        lead = fresh | ((begin - stretch) % (size - self.run + 1) == 0)
+        lo = begin[lead]
+        last = np.concatenate([np.flatnonzero(lead)[1:] - 1, [len(begin) - 1]])
+        hi = begin[last] + self.run
+        text = np.array(owner)[np.searchsorted(np.cumsum(count), lo, side="right")]
         found = set()
-        for p0 in range(0, len(of), 4_096):  # a bounded part of the passages at a time
-            lo, hi = np.searchsorted(at, (p0, p0 + 4_096))
-            if lo == hi:
-                continue
-            first = np.flatnonzero(np.concatenate([[True], at[lo + 1 : hi] != at[lo : hi - 1]]))
-            # second bound: every term at its best in the block
-            blocks = np.add.reduceat(self.block_max[term[lo:hi]], first, axis=0) >= 1 - 1e-4
-            last = np.append(first[1:], hi - lo)
-            for q, b in zip(*np.nonzero(blocks), strict=True):
-                terms, p = term[lo + first[q] : lo + last[q]], at[lo + first[q]]
-                score = self.impact[terms, b * self.block : (b + 1) * self.block].sum(axis=0)
-                for i in np.flatnonzero(score >= 1 - 1e-4):
-                    k = b * self.block + i
-                    t = owner[of[p]]
-                    if k < len(self.ids) and (t, self.ids[k]) not in found and self._holds(seqs[of[p]][start[p] : start[p] + length[p]], k):
-                        found.add((t, self.ids[k]))
+        for p in range(0, len(lo), TOGETHER):
+            a, b = lo[p : p + TOGETHER], hi[p : p + TOGETHER]
+            query = self._queries(flat, a, b, size)
+            for q, k in self._wand(query):
+                pair = (int(text[p + q]), self.ids[k])
+                if pair not in found and self._holds(flat[a[q] : b[q]], k):
+                    found.add(pair)
         return sorted(found, key=lambda x: (x[0], str(x[1])))
 
-    def _holds(self, seq: np.ndarray, k: int) -> bool:
-        s, runs = seq.tolist(), self.runs[k]
-        return any(tuple(s[j : j + self.run]) in runs for j in range(len(s) - self.run + 1))
+    def _queries(self, flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
+        """The different terms of each passage in a row, -1 where there are fewer."""
+        at = lo[:, None] + np.arange(size)
+        q = np.where(at < hi[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
+        q.sort(axis=1)
+        q[:, 1:][q[:, 1:] == q[:, :-1]] = -1
+        return q
+
+    def _wand(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(query, item) with a score of 1 or more."""
+        n = np.int64(self.n)
+        own = np.arange(len(query))
+        live = query >= 0
+        term = np.where(live, query, 0).astype(np.int64)
+        most = np.where(live, self.term_max[term], 0).astype(np.float32)
+        end = self.first[term + 1]
+        cur = np.where(live, self.first[term], end)
+        item = np.where(cur < end, self.key[np.minimum(cur, len(self.key) - 1)] - term * n, n)
+        while len(own):
+            # the lists in the order of the items they are at
+            order = np.argsort(item, axis=1, kind="stable")
+            reach = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1) >= NEAR
+            col = reach.argmax(axis=1)
+            here = np.take_along_axis(item, order, axis=1)
+            pivot = here[np.arange(len(own)), col]
+            on = reach[:, -1] & (pivot < n)
+            if not on.all():
+                own, term, most, end, cur, item, pivot, here = (x[on] for x in (own, term, most, end, cur, item, pivot, here))
+                if not len(own):
+                    return
+            upto = item <= pivot[:, None]
+            # what the lists up to the pivot can give in its block
+            r, c = np.nonzero(upto)
+            k = term[r, c] * self.blocks + pivot[r] // self.block
+            at = np.minimum(np.searchsorted(self.block_key, k), len(self.block_key) - 1)
+            bound = np.bincount(r, weights=np.where(self.block_key[at] == k, self.block_max[at], 0), minlength=len(own))
+            good = bound >= NEAR
+            whole = good & (here[:, 0] == pivot)
+            if whole.any():
+                mine = whole[r] & (item[r, c] == pivot[r])
+                score = np.bincount(r[mine], weights=self.impact[cur[r[mine], c[mine]]], minlength=len(own))
+                for q in np.flatnonzero(whole & (score >= NEAR)):
+                    yield int(own[q]), int(pivot[q])
+            behind = np.minimum(np.where(upto, n, item).min(axis=1), (pivot // self.block + 1) * self.block)
+            target = np.where(whole, pivot + 1, np.where(good, pivot, behind))
+            move = item[r, c] < target[r]
+            r, c = r[move], c[move]
+            cur[r, c] = np.minimum(np.searchsorted(self.key, term[r, c] * n + np.minimum(target[r], n)), end[r, c])
+            item[r, c] = np.where(cur[r, c] < end[r, c], self.key[np.minimum(cur[r, c], len(self.key) - 1)] - term[r, c] * n, n)
+
+    def _holds(self, passage: np.ndarray, k: int) -> bool:
+        windows = lambda s: {s[j : j + self.run].tobytes() for j in range(len(s) - self.run + 1)}
+        return not windows(passage).isdisjoint(windows(self.seqs[k]))
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = RUN, shard_words: int = 2_000_000) -> DataFrame:
@@ -138,11 +193,12 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     schema = f"`{doc_id}` {kind}, `{item_id}` {ikind}"
     out = None
     for s in range(shards):
+        # a shard's items, of at most about shard_words words; the index is made once and sent as it is
         part = clean.where(F.pmod(F.xxhash64(item_id), F.lit(shards)) == s).collect()
-        held = spark.sparkContext.broadcast([tuple(r) for r in part])
+        held = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part], run))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(held.value, run)
+            index = held.value
             for b in batches:
                 ids, texts = b.column(0), b.column(1).to_pylist()
                 for lo in range(0, len(texts), 512):
