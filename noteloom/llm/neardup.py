@@ -2,8 +2,9 @@
 
 A text is the set of its runs of ``width`` consecutive words. Two sets with a Jaccard similarity of at least t share
 one of the first |x| - ceil(t |x|) + 1 members in any fixed order of all members, so only these prefixes are
-joined. The order puts rare members first, by counts over all texts in SKETCH counters (a table of fixed size: a
-member that is frequent is so at any scale, and the order only steers the work, never the result).
+joined. The order puts rare members first, by counts over all texts in a count-min sketch: LINES lines of SKETCH
+counters, of which a member takes its least. Counters fill up as the corpus grows, all of them by about the same, so
+members above the common level still come last; the order only steers the work, never the result.
 
 * Texts with the same words are one class; classes are what is compared. A group of exact copies, however large, is
   one row from here on; it is counted and reduced before the shuffle.
@@ -13,8 +14,8 @@ member that is frequent is so at any scale, and the order only steers the work,
 * The pairs of groups that are left are expanded to pairs of classes, which the classes' own bitmaps bound, and their
   sets are compared exactly.
 
-A member that stands in the prefixes of very many groups is cut into salted blocks by its counter, so that no task
-holds all of its groups.
+A member that stands in more than HOT prefixes, which are counted exactly, is cut into salted blocks, so that no task
+holds all of its groups; so is a group of very many classes.
 
 Defined results: null texts, null keys and texts with fewer than least words (or than width) have no partner; case and
 punctuation make no difference; a repeated row counts once; ids with the same words are similar with 1. ``similar``
@@ -24,6 +25,7 @@ gives all pairs of ids, also n (n - 1) / 2 for n copies of one text; ``grouped``
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-SKETCH = 1 << 18
+#: The sketch: 16 MB on the driver and on each executor, whatever the data.
+LINES, SKETCH, CHUNK = 2, 1 << 20, 1 << 11
 #: Ids of a class that are paired at once; a class of more is cut into such parts.
 PART = 256
 #: Bits of the sets' bitmaps, and buckets of the filter in front of the last join.
@@ -42,8 +45,8 @@ BITS, FILTER = 192, 1 << 20
 MAPS = ["b0", "b1", "b2"]
 #: So many members of a set make one more common member in the prefixes a condition.
 PER_MATCH = 32
-#: Groups per block of a frequent member.
-HOT = 20_000
+#: Groups per block of a frequent member, classes per block of a group, and rows of prefix members per task of their join.
+HOT, GROUP, TASK = 20_000, 2_000, 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -109,23 +112,39 @@ def worded_rows(df: DataFrame, key: str, text: str, origin: str | None, least: i
     return d.mapInArrow(scan, f"id {types[key]}, o {types[o]}, c binary, w string")
 
 
+def lines(h: np.ndarray) -> list[np.ndarray]:
+    """Every line's counter for each member."""
+    with np.errstate(over="ignore"):
+        return [((h * np.uint64(m)) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[:LINES]]
+
+
 def sketch(classes: DataFrame, width: int) -> np.ndarray:
-    """How often members fall on each of SKETCH counters, over all classes."""
+    """How often members fall on each counter of each line, over all classes. Tasks send their counters packed, in chunks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, total = Shingler(width), np.zeros(SKETCH, np.int64)
+        s, total = Shingler(width), np.zeros((LINES, SKETCH), np.int64)
         for b in batches:
             col = b.column(0)
             for lo in range(0, len(col), 4_096):
                 _, h = s.sets(col.slice(lo, 4_096).to_pylist())
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["k", "n"])
-
-    got = classes.select("w").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH, np.int64)
-    out[np.asarray(got["k"])] = np.asarray(got["n"])
-    return out
+                for i, at in enumerate(lines(h)):
+                    total[i] += np.bincount(at, minlength=SKETCH)
+        if total.any():
+            parts = total.reshape(-1, CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["k", "d"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for x in t["d"]:
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"k": t["k"][:1], "d": pa.array([total.tobytes()], pa.binary())})
+
+    # so many rows as chunks, whatever the data
+    got = classes.select("w").mapInArrow(count, "k int, d binary").groupBy("k").applyInArrow(add, "k int, d binary").toArrow()
+    out = np.zeros((LINES * SKETCH // CHUNK, CHUNK), np.int64)
+    for k, d in zip(got["k"].to_pylist(), got["d"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(d, np.int64)
+    return out.reshape(LINES, SKETCH)
 
 
 def parities(doc: np.ndarray, bit: np.ndarray, rows: int, bits: int) -> np.ndarray:
@@ -166,7 +185,8 @@ def prefixes(classes: DataFrame, width: int, t: float, counts: np.ndarray) -> Da
                 part = b.slice(lo, 4_096)
                 doc, h = s.sets(part.column(1).to_pylist())
                 n = np.bincount(doc, minlength=part.num_rows)
-                order = np.lexsort((h, c[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
+                seen = np.min([c[i][at] for i, at in enumerate(lines(h))], axis=0)
+                order = np.lexsort((h, seen, doc))
                 h, doc = h[order], doc[order]
                 keep = np.where(n > 0, np.minimum(n, n - ceil_share(t, n) + wanted(n)), 0)
                 start = np.cumsum(n) - n
@@ -195,32 +215,44 @@ def common(t: float) -> F.Column:
     return F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
 
 
-def group_pairs(leaders: DataFrame, t: float, counts: np.ndarray) -> DataFrame:
+def blocked(d: DataFrame, key: str, member: str, sizes: DataFrame, most: int) -> DataFrame:
+    """d with the pair of blocks (bi, bj) and the own block b of every row; keys that sizes (key, n) names are cut into blocks of ``most``."""
+    cut = sizes.select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    d = d.join(cut, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    d = d.withColumn("b", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return d.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")}).drop("blocks", "o")
+
+
+def group_pairs(leaders: DataFrame, t: float, cut: DataFrame) -> DataFrame:
     """(ga, gb): pairs of groups (ga < gb) whose members may reach t; leaders has one class per group, lone where it is the only one."""
-    spark = leaders.sparkSession
     bits = [*MAPS, "lone"]
     e = leaders.select("g", "n", *bits, F.posexplode("p").alias("pos", "tok"))
-    # counters over HOT, with their number of blocks: part of a table of fixed size
-    hot = [(int(k), int(-(-counts[k] // HOT))) for k in np.flatnonzero(counts > HOT)]
-    keys = ["tok"]
-    if hot:
-        blocks = spark.createDataFrame(hot, "k int, blocks int")
-        e = e.withColumn("k", F.col("tok").bitwiseAND(SKETCH - 1).cast("int")).join(F.broadcast(blocks), "k", "left")
-        e = e.withColumn("b", F.pmod(F.xxhash64("g"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        e = e.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        e = e.select("tok", "g", "n", *bits, "pos", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-        keys = ["tok", "bi", "bj"]
-    named = lambda s: e.select(*keys, F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), *[F.col(x).alias(f"{x}{s}") for x in bits])
+    per = cut.select(F.explode("p").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(per.where(F.col("n") > HOT), "hot-members")
+    if hot.isEmpty():
+        e = e.withColumns({"bi": F.lit(0), "bj": F.lit(0), "b": F.lit(0)})
+    else:
+        e = blocked(e, "tok", "g", hot, HOT)
+    keys = ["tok", "bi", "bj"]
+    rows = cut.agg(F.sum(F.size("p"))).first()[0] or 0
+    e = e.repartition(max(int(leaders.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK), *keys)
+    named = lambda s: e.select(*keys, F.col("b").alias(f"own{s}"), F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), *[F.col(x).alias(f"{x}{s}") for x in bits])
     need = common(t)
     k = F.lit(1) + F.floor(F.least("na", "nb") / PER_MATCH)
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     # members of a group share size and prefix, not the bitmap: a leader's says nothing about the others
     mapped = ~(F.col("lonea") & F.col("loneb")) | (apart() <= F.col("na") + F.col("nb") - 2 * need)
-    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & mapped
+    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & mapped & _once()
     met = named("a").join(named("b"), keys).where(near).select("ga", "gb", k.cast("int").alias("k"))
     return met.groupBy("ga", "gb", "k").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.col("k")).select("ga", "gb").distinct()
 
 
+def _once() -> F.Column:
+    """Rows of one block meet where it meets itself alone."""
+    return (F.col("owna") != F.col("ownb")) | (F.col("bi") == F.col("bj"))
+
+
 def class_pairs(classes: DataFrame, width: int, t: float) -> DataFrame:
     """(ca, cb, sim): pairs of classes (ca < cb) with a similarity of at least t, by the exact sets."""
     counts = sketch(classes, width)
@@ -230,11 +262,13 @@ def class_pairs(classes: DataFrame, width: int, t: float) -> DataFrame:
     several = member.groupBy("g").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     others = member.join(several, "g").where("c != first").select("c", "g")
     leaders = cut.join(others.select("c"), "c", "left_anti").join(several.select("g", F.lit(True).alias("led")), "g", "left")
-    across = group_pairs(leaders.withColumn("lone", F.col("led").isNull()), t, counts)
+    across = group_pairs(leaders.withColumn("lone", F.col("led").isNull()), t, cut)
     side = lambda s, x: cut.select(F.col("g").alias(f"g{s}"), F.col("c").alias(x), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{b}{s}") for b in MAPS])
     across = across.join(side("a", "x"), "ga").join(side("b", "y"), "gb").where(apart() <= F.col("na") + F.col("nb") - 2 * common(t)).select("x", "y")
-    inner = member.join(several.select("g"), "g", "left_semi")
-    inside = inner.select("g", F.col("c").alias("x")).join(inner.select("g", F.col("c").alias("y")), "g").where("x < y").select("x", "y")
+    # classes of a group share its prefix; the rest is bounded by their bitmaps, and large groups meet in blocks
+    inner = blocked(cut.join(several.select("g"), "g", "left_semi"), "g", "c", several.where(F.col("m") > GROUP).select("g", F.col("m").alias("n")), GROUP)
+    part = lambda s, x: inner.select("g", "bi", "bj", F.col("b").alias(f"own{s}"), F.col("c").alias(x), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{b}{s}") for b in MAPS])
+    inside = part("a", "x").join(part("b", "y"), ["g", "bi", "bj"]).where((F.col("x") < F.col("y")) & _once() & (apart() <= F.col("na") + F.col("nb") - 2 * common(t))).select("x", "y")
     pairs = across.unionByName(inside).select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
     pairs = written(pairs, "class-pairs")
     texts = only(classes, pairs)
@@ -279,12 +313,10 @@ def only(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def classes_of(texts: DataFrame) -> DataFrame:
-    """(c, w): one row per class of (uid, c, w). Rows that repeat a class are few as a rule, and then only their numbers move, not the texts."""
+    """(c, w): one row per class of (uid, c, w). The numbers of the rows that repeat a class are taken out, so that texts needn't move to be compared."""
     slim = texts.select("uid", "c")
     copied = slim.groupBy("c").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     extra = written(slim.join(copied, "c").where("uid != first").select("uid"), "copies")
-    if extra.count() > 1_000_000:
-        return written(texts.select("c", "w").dropDuplicates(["c"]), "text-classes")
     return texts.join(extra, "uid", "left_anti").select("c", "w")
 
 
@@ -337,7 +369,7 @@ def similar(df: DataFrame, key: str, text: str, origin: str | None = None, width
     return id_pairs(*texts_and_pairs(df, key, text, origin, width, t, least))
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, group): the smallest node that links lead to, by alternating large and small stars.
 
     Links to larger neighbours are drawn to the smallest neighbour, then links to smaller ones, until nothing moves;
@@ -346,7 +378,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """
     e = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     last = None
-    for _ in range(rounds):
+    while True:
         for large in (True, False):
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
             low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -146,6 +146,12 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
             b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.id < y.id AND x.path <> y.path GROUP BY 1, 2)
             SELECT id_a, id_b FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE k >= 0.6 * (p.n + q.n - k) - 1e-9""",
+        "p7_groups": f"""
+            WITH RECURSIVE c AS (SELECT id, any_value({w}) AS w FROM chunks WHERE kind = 0 AND id IS NOT NULL GROUP BY id),
+            s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS t FROM c, unnest(range(1, len(w) - 3)) AS u(i)), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+            b AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.id <> y.id GROUP BY 1, 2), e AS (SELECT a, b FROM b JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k >= 0.8 * (p.n + q.n - k) - 1e-9),
+            r AS (SELECT a AS id, a AS z FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.z = e.a), g AS (SELECT id, min(z) AS group_id FROM r GROUP BY id)
+            SELECT id, group_id, (SELECT count(*) FROM e WHERE e.a = g.id) AS links FROM g""",
         "p8_found": f"""
             WITH d AS (SELECT doc_id AS i, {_WORDS.format("text")} AS w FROM documents), e AS (SELECT item_id AS i, {_WORDS.format("text")} AS w FROM eval_items),
             dg AS (SELECT DISTINCT i, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS u(k)),

@@ -242,7 +242,9 @@ def test_similar_against_brute_force(spark, width, t):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 5
 
 
-def test_groups_of_several_classes_lose_no_pair(spark):
+@pytest.mark.parametrize("group", [2_000, 1])
+def test_groups_of_several_classes_lose_no_pair(spark, monkeypatch, group):
+    monkeypatch.setattr(neardup, "GROUP", group)
     # x0 and x1 have the same rare words in front, so one prefix, but other common words behind; y is near x1 alone
     rows = []
     say = lambda x, n: " ".join(f"{x}n{i}" for i in range(n))
@@ -256,6 +258,15 @@ def test_groups_of_several_classes_lose_no_pair(spark):
     assert got == {(f"x{g}1", f"y{g}") for g in range(8)}
 
 
+def test_a_large_group_of_near_classes_meets_in_blocks(spark, monkeypatch):
+    # all begin with the same rare words and end in one of a few common ones: classes of one prefix and size
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    head = " ".join(f"r{i}" for i in range(40))
+    rows = [(f"d{k:02d}", f"{head} c{k}") for k in range(20)] + [(f"o{k:02d}{j}", f"c{k} o{k}x{j} " * 25) for k in range(20) for j in range(3)]
+    got = neardup.similar(spark.createDataFrame(rows, "id string, body string"), "id", "body", None, 3, 0.8)
+    assert {(r.id_a, r.id_b) for r in got.collect() if r.id_a[0] == "d"} == {(f"d{a:02d}", f"d{b:02d}") for a in range(20) for b in range(a + 1, 20)}
+
+
 def test_a_large_class_keeps_its_links(spark):
     text = " ".join(f"w{i}" for i in range(40))
     near = text.replace("w20 ", "zz ")
@@ -334,6 +345,30 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(d, "doc_id", "text", e.limit(0), "item_id", "text").collect() == []
 
 
+def test_wand_finds_what_all_scores_give():
+    rng = random.Random(81)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(12, 40)))) for i in range(70)]
+    index = leakage.ItemIndex(items, block=4)
+    queries = np.full((60, 24), -1, np.int32)
+    for q in queries:
+        terms = sorted(rng.sample(range(40), rng.randrange(4, 20)))
+        q[: len(terms)] = terms
+    full = np.zeros((40, index.n))
+    full[index.key // index.n, index.key % index.n] = index.impact
+    want = {(q, k) for q in range(60) for k in np.flatnonzero(full[queries[q][queries[q] >= 0]].sum(axis=0) >= leakage.NEAR)}
+    assert set(index._wand(queries)) == want and len(want) > 60
+
+
+def test_an_index_of_many_items_is_small():
+    rng = np.random.default_rng(82)
+    items = [(k, " ".join(f"t{x}" for x in w)) for k, w in enumerate(rng.zipf(1.2, size=(40_000, 50)) % 100_000)]
+    index = leakage.ItemIndex(items)
+    held = sum(x.nbytes for x in (index.key, index.impact, index.first, index.block_key, index.block_max, index.term_max, *index.seqs))
+    assert held < 100_000_000
+    assert [b for _, b in index.search([f"so {items[123][1]} it is"])] == [123]
+
+
 # ---- 9 mixing
 
 
