@@ -230,27 +230,25 @@ def group_pairs(leaders: DataFrame, t: float, cut: DataFrame) -> DataFrame:
     e = leaders.select("g", "n", *bits, F.posexplode("p").alias("pos", "tok"))
     per = cut.select(F.explode("p").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     hot = written(per.where(F.col("n") > HOT), "hot-members")
-    if hot.isEmpty():
-        e = e.withColumns({"bi": F.lit(0), "bj": F.lit(0), "b": F.lit(0)})
-    else:
-        e = blocked(e, "tok", "g", hot, HOT)
-    keys = ["tok", "bi", "bj"]
+    keys, own = ["tok"], []
+    if not hot.isEmpty():
+        e, keys, own = blocked(e, "tok", "g", hot, HOT), ["tok", "bi", "bj"], ["b"]
     rows = cut.agg(F.sum(F.size("p"))).first()[0] or 0
     e = e.repartition(max(int(leaders.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK), *keys)
-    named = lambda s: e.select(*keys, F.col("b").alias(f"own{s}"), F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), *[F.col(x).alias(f"{x}{s}") for x in bits])
+    named = lambda s: e.select(*keys, F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), *[F.col(x).alias(f"{x}{s}") for x in bits + own])
     need = common(t)
     k = F.lit(1) + F.floor(F.least("na", "nb") / PER_MATCH)
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     # members of a group share size and prefix, not the bitmap: a leader's says nothing about the others
     mapped = ~(F.col("lonea") & F.col("loneb")) | (apart() <= F.col("na") + F.col("nb") - 2 * need)
-    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & mapped & _once()
+    near = (F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - k + 1) & mapped & (_once() if own else F.lit(True))
     met = named("a").join(named("b"), keys).where(near).select("ga", "gb", k.cast("int").alias("k"))
     return met.groupBy("ga", "gb", "k").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.col("k")).select("ga", "gb").distinct()
 
 
 def _once() -> F.Column:
     """Rows of one block meet where it meets itself alone."""
-    return (F.col("owna") != F.col("ownb")) | (F.col("bi") == F.col("bj"))
+    return (F.col("ba") != F.col("bb")) | (F.col("bi") == F.col("bj"))
 
 
 def class_pairs(classes: DataFrame, width: int, t: float) -> DataFrame:
@@ -267,7 +265,7 @@ def class_pairs(classes: DataFrame, width: int, t: float) -> DataFrame:
     across = across.join(side("a", "x"), "ga").join(side("b", "y"), "gb").where(apart() <= F.col("na") + F.col("nb") - 2 * common(t)).select("x", "y")
     # classes of a group share its prefix; the rest is bounded by their bitmaps, and large groups meet in blocks
     inner = blocked(cut.join(several.select("g"), "g", "left_semi"), "g", "c", several.where(F.col("m") > GROUP).select("g", F.col("m").alias("n")), GROUP)
-    part = lambda s, x: inner.select("g", "bi", "bj", F.col("b").alias(f"own{s}"), F.col("c").alias(x), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{b}{s}") for b in MAPS])
+    part = lambda s, x: inner.select("g", "bi", "bj", F.col("b").alias(f"b{s}"), F.col("c").alias(x), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{b}{s}") for b in MAPS])
     inside = part("a", "x").join(part("b", "y"), ["g", "bi", "bj"]).where((F.col("x") < F.col("y")) & _once() & (apart() <= F.col("na") + F.col("nb") - 2 * common(t))).select("x", "y")
     pairs = across.unionByName(inside).select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
     pairs = written(pairs, "class-pairs")
