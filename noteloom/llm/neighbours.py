@@ -1,18 +1,22 @@
 """The most similar vectors of every vector (problem 1): a block matrix join.
 
 Vectors are brought to unit length, and equal ones are one class. Blocks of vectors are multiplied as matrices of
-int8; the rounding errors of both sides bound the true cosine, and only pairs whose upper bound reaches the floor
-and the k-th best lower bound of their row are recomputed from the floats. Each block pair keeps k per row (a heap
-by (cosine, key)), and the heaps of all block pairs of a row are merged in the end.
+int8; the rounding errors of both sides bound the true cosine. Rows move as int8 (a quarter of the bytes of floats);
+only those with a pair whose upper bound reaches the floor are sent again as floats, and of these only pairs whose
+upper bound reaches the floor and the k-th best lower bound of their row are recomputed from the floats. Each block pair
+keeps k per row (a heap by (cosine, key)), and the heaps of all block pairs of a row are merged in the end: no pairs
+but these leave a task, however dense a cloud of vectors is.
 
 Which block pairs are multiplied:
 
 * ``join``: every vector is a query. A block is a cell of nearest pivots: a vector is at home with its nearest
   pivot and a guest with the next ``probes - 1``; home rows are multiplied with home rows and guests. With a floor
   on the cosine near vectors share a cell but for a small part, measured in the tests (recall 0.9 is the least). The
-  number of pivots grows with the square root of the rows up to MAX_PIVOTS (4 MB at 64 wide), so the work grows as
-  rows^1.5 and what is broadcast is bounded. A cell over ``block`` rows is cut into blocks, and every pair of
-  its blocks is a task of its own, so a hot cell is many tasks.
+  number of pivots grows with the square root of the rows, and in proportion to them where cells would outgrow
+  ``block``, up to MAX_PIVOTS (32 MB at 64 wide as they are sent); over FLAT of them a vector looks for its pivots below the
+  BEAM nearest of the square root of their number. A cell over ``block`` rows is cut into blocks, and every pair of
+  its blocks is a task of its own, so a hot cell is many tasks. With ``exact`` all vectors are one cell, cut so: nothing
+  is lost, and the work is that of all pairs, never emitted.
 * ``search``: a stated set of queries against all rows, exactly: query blocks times row blocks.
 
 Defined results: null, wrong-width, non-finite and all-zero vectors, and null ids, are not usable: they are no
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-MAX_PIVOTS = 16_384
+MAX_PIVOTS = 1 << 18
+#: So many pivots are compared with every vector; of more, those below the BEAM nearest leading ones.
+FLAT, BEAM = 4_096, 12
 BLOCK = 16_384
 #: Rows of a float tile of products, so that a task holds some tens of MB.
 TILE = 1_024
@@ -175,19 +181,81 @@ def _emit(best: Best, src: list[bytes], dst: list[bytes]) -> pa.Table:
     return pa.table({"src": pa.array([src[i] for i in rows], pa.binary()), "dst": pa.array([dst[i] for i in who], pa.binary()), "cos": pa.array(cos, pa.float64())})
 
 
-def pivots(c: DataFrame, n: int, width: int, probes: int) -> np.ndarray:
-    """Pivots are different vectors of the collection, taken by the smallest hash: about sqrt(probes * n), bounded."""
-    k = int(min(MAX_PIVOTS, max(1, math.sqrt(probes * n))))
-    got = c.select("__v").orderBy(F.xxhash64("__v"), "__v").limit(k).collect()
-    return np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, width)
+class Pivots:
+    """The nearest pivots of vectors. Many pivots hang below leading ones, each below its nearest."""
+
+    def __init__(self, p: np.ndarray):
+        self.p = p.astype(np.float16)
+        lead = int(math.sqrt(len(p))) if len(p) > FLAT else 0
+        self.lead = p[:lead].astype(np.float32)
+        if lead:
+            of = np.concatenate([np.argmax(p[lo : lo + 8_192] @ self.lead.T, axis=1) for lo in range(0, len(p), 8_192)])
+            order = np.argsort(of, kind="stable")
+            self.below = np.split(order, np.searchsorted(of[order], np.arange(1, lead)))
+
+    def nearest(self, m: np.ndarray, take: int) -> np.ndarray:
+        """Per vector the numbers of its ``take`` nearest pivots, the nearest first."""
+        take = min(take, len(self.p))
+        if not len(self.lead):
+            s = m @ self.p.astype(np.float32).T
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(self.p) else np.tile(np.arange(len(self.p)), (len(m), 1))
+            return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
+        s = m @ self.lead.T
+        beam = np.argpartition(-s, min(BEAM, s.shape[1] - 1), axis=1)[:, :BEAM]
+        best, who = np.full((len(m), take), -9, np.float32), np.zeros((len(m), take), np.int64)
+        for k in np.unique(beam):
+            rows = np.flatnonzero((beam == k).any(axis=1))
+            s = m[rows] @ self.p[self.below[k]].astype(np.float32).T
+            both = np.concatenate([best[rows], s], axis=1)
+            names = np.concatenate([who[rows], np.broadcast_to(self.below[k], s.shape)], axis=1)
+            top = np.argsort(-both, axis=1, kind="stable")[:, :take]
+            best[rows], who[rows] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+        return who
+
+
+def pivots(c: DataFrame, n: int, width: int, probes: int, block: int) -> np.ndarray:
+    """Pivots are different vectors of the collection, taken by the smallest hash; their number is bounded."""
+    k = int(min(MAX_PIVOTS, max(1, math.sqrt(probes * n), 2 * probes * n / block)))
+    got = c.select("__v").orderBy(F.xxhash64("__v"), "__v").limit(k).toArrow()
+    return np.frombuffer(b"".join(got["__v"].to_pylist()), np.float32).reshape(-1, width)
+
+
+def packed(m: np.ndarray) -> pa.Array:
+    """Rows as int8 with their scale and rounding error."""
+    q, scale, err = quantised(m)
+    d = np.concatenate([q.view(np.uint8), np.stack([scale, err], axis=1).view(np.uint8)], axis=1)
+    return pa.array([r.tobytes() for r in d], pa.binary())
+
+
+def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width + 8)
+    tail = d[:, width:].copy().view(np.float32)
+    return d[:, :width].view(np.int8), tail[:, 0], tail[:, 1]
+
+
+def reaching(a: tuple, b: tuple, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a and of b have a partner in the other with an upper bound of floor or more. same: a is b."""
+    (qa, sa, ea), (qb, sb, eb) = a, b
+    fb = qb.astype(np.float32).T.copy()
+    on_a, on_b = np.zeros(len(qa), bool), np.zeros(len(qb), bool)
+    for lo in range(0, len(qa), TILE):
+        hi = min(lo + TILE, len(qa))
+        up = (qa[lo:hi].astype(np.float32) @ fb) * sa[lo:hi, None] * sb[None, :]
+        up += (1 + ea[lo:hi, None]) * eb[None, :] + ea[lo:hi, None] + np.float32(1e-5)
+        if same:
+            up[np.arange(hi - lo), np.arange(lo, hi)] = -4
+        ok = up >= floor
+        on_a[lo:hi] = ok.any(axis=1)
+        on_b |= ok.any(axis=0)
+    return on_a, on_b
 
 
-def join(df: DataFrame, key: str, vector: str, width: int, k: int = 10, floor: float = 0.92, probes: int = 5, block: int = BLOCK) -> DataFrame:
+def join(df: DataFrame, key: str, vector: str, width: int, k: int = 10, floor: float = 0.92, probes: int = 5, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """(id, neighbour, cos): per usable vector its k most similar others among those of at least floor.
 
     Every equal vector is a neighbour with cosine 1 (within rounding); ids of one class come in their order.
     """
-    pairs, cls, rows = _class_pairs(df, key, vector, width, k, floor, probes, block)
+    pairs, cls, rows = _class_pairs(df, key, vector, width, k, floor, 1 if exact else probes, block, exact)
     ids = cls.select("__r", "ids")
     near = pairs.join(ids.select(F.col("__r").alias("dst"), F.col("ids").alias("others")), "dst")
     # at most k classes of at most k + 1 ids each
@@ -207,68 +275,76 @@ def join(df: DataFrame, key: str, vector: str, width: int, k: int = 10, floor: f
     return small.select(key, F.explode(others).alias("n")).select(key, F.col("n.id").alias("neighbour"), F.col("n.cos").alias("cos"))
 
 
-def _class_pairs(df: DataFrame, key: str, vector: str, width: int, k: int, floor: float, probes: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sides(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Which rows of a block pair are multiplied with which: home rows with home rows and with guests; True for a block with itself."""
+    home, left = np.asarray(t["home"]), np.asarray(t["left"])
+    h, g = np.flatnonzero(home), np.flatnonzero(~home)
+    if t["bi"][0].as_py() == t["bj"][0].as_py():
+        some = [(h, h, True), (h, g, False)]
+    else:
+        some = [(h[left[h]], h[~left[h]], False), (h[left[h]], g[~left[g]], False), (h[~left[h]], g[left[g]], False)]
+    return [(x, y, same) for x, y, same in some if len(x) and len(y) and not (same and len(x) < 2)]
+
+
+def _class_pairs(df: DataFrame, key: str, vector: str, width: int, k: int, floor: float, probes: int, block: int, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(src, dst, cos) between classes, the classes, and the usable rows."""
     spark = df.sparkSession
     rows = usable(df, key, vector, width)
     cls = written(classes(rows, k), "vector-classes")
     n = cls.count()
-    held = spark.sparkContext.broadcast(pivots(cls, n, width, probes))
     blocks = max(1, int(block))
+    first = np.ones((1, width), np.float32) if exact else pivots(cls, n, width, probes, blocks)
+    held = spark.sparkContext.broadcast(Pivots(first))
+
+    def place(d: DataFrame, coarse: bool) -> DataFrame:
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = held.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 8_192):
+                    part = b.slice(lo, 8_192)
+                    m = _matrix(part.column(1), width)
+                    top = p.nearest(m, probes)
+                    take = top.shape[1]
+                    at = pa.array(np.repeat(np.arange(len(m)), take))
+                    home = np.tile(np.arange(take) == 0, len(m))
+                    data = packed(m) if coarse else part.column(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(home), part.column(0).take(at), data.take(at)], names=["cell", "home", "r", "v"])
+
+        return d.select("__r", "__v").mapInArrow(assign, "cell int, home boolean, r binary, v binary")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = held.value
-        take = min(probes, len(p))
-        for b in batches:
-            for lo in range(0, b.num_rows, 2_048):
-                part = b.slice(lo, 2_048)
-                m = _matrix(part.column(1), width)
-                s = m @ p.T
-                top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(p) else np.tile(np.arange(len(p)), (len(m), 1))
-                order = np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable")
-                top = np.take_along_axis(top, order, axis=1)
-                at = pa.array(np.repeat(np.arange(len(m)), take))
-                home = np.tile(np.arange(take) == 0, len(m))
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(home), part.column(0).take(at), part.column(1).take(at)], names=["cell", "home", "r", "v"])
-
-    placed = cls.select("__r", "__v").mapInArrow(assign, "cell int, home boolean, r binary, v binary")
     # blocks per cell: one short row per pivot, at most MAX_PIVOTS of them
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > blocks).collect() if n > blocks else []
+    coarse = place(cls, True)
+    sizes = coarse.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > blocks).collect() if n > blocks else []
     cuts = {r.cell: -(-r.n // blocks) for r in sizes}
-    if cuts:
-        placed = _spread(placed, cuts)
-        keys = ["cell", "bi", "bj"]
-    else:
-        placed = placed.withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0)).withColumn("left", F.lit(True))
-        keys = ["cell"]
+    keys = ["cell", "bi", "bj"] if cuts else ["cell"]
+    cut = lambda d: _spread(d, cuts) if cuts else d.withColumns({"bi": F.lit(0), "bj": F.lit(0), "left": F.lit(True)})
+
+    def sift(_: tuple, t: pa.Table) -> pa.Table:
+        on = np.zeros(t.num_rows, bool)
+        if t.num_rows:
+            q, scale, err = unpacked(t["v"], width)
+            for x, y, same in _sides(t):
+                a, b = reaching((q[x], scale[x], err[x]), (q[y], scale[y], err[y]), floor, same)
+                on[x[a]] = True
+                on[y[b]] = True
+        return pa.table({"r": t["r"].filter(pa.array(on))})
+
+    near = written(cut(coarse).groupBy(*keys).applyInArrow(sift, "r binary").distinct(), "near-vectors")
+    placed = cut(place(cls.join(near.withColumnRenamed("r", "__r"), "__r", "left_semi"), False))
 
     def tile(_: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         if not t.num_rows:
             return _emit(Best(0, k), [], [])
-        home, left = np.asarray(t["home"]), np.asarray(t["left"])
         keys_, m = t["r"].to_pylist(), _matrix(t["v"], width)
         order = _order(keys_)
-        one = t["bi"][0].as_py() == t["bj"][0].as_py()
         outs = []
-
-        def run(x: np.ndarray, y: np.ndarray, same: bool) -> None:
-            if not len(x) or not len(y) or (same and len(x) < 2):
-                return
+        for x, y, same in _sides(t):
             kx, ky = [keys_[i] for i in x], [keys_[i] for i in y]
             a, b = products(m[x], m[y], k, floor, not same, same, order[x], order[y])
             outs.append(_emit(a, kx, ky))
             if b is not None:
                 outs.append(_emit(b, ky, kx))
-
-        h, g = np.flatnonzero(home), np.flatnonzero(~home)
-        if one:
-            run(h, h, True)
-            run(h, g, False)
-        else:
-            run(h[left[h]], h[~left[h]], False)
-            run(h[left[h]], g[~left[g]], False)
-            run(h[~left[h]], g[left[g]], False)
         return pa.concat_tables(outs) if outs else _emit(Best(0, k), [], [])
 
     pairs = placed.groupBy(*keys).applyInArrow(tile, "src binary, dst binary, cos double")

@@ -25,6 +25,11 @@ def p1_knn(spark: SparkSession, d: str) -> DataFrame:
     return got.select("vec_id", "neighbour", F.round("cos", 5).alias("cos"))
 
 
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors against all by the same block products in one cell that is cut into block pairs: no loss, for tables that can bear it."""
+    return neighbours.join(table(spark, d, "embeddings"), "vec_id", "embedding", WIDTH, 10, 0.2, exact=True).select("vec_id", "neighbour", F.round("cos", 5).alias("cos"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.best_by_all(table(spark, d, "scored"), "run_id", "id", SCORES)
 
@@ -104,7 +109,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p9_kept, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p1_exact, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p9_kept, p10_found, p10_restored)}
 
 
 _SCORED = """
@@ -128,6 +133,10 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT q.vec_id, a.vec_id AS neighbour, list_cosine_similarity(q.e, a.e) AS cos FROM q, a WHERE q.vec_id <> a.vec_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, neighbour) AS n FROM c)
             SELECT vec_id, neighbour, round(cos, 5) AS cos FROM r WHERE n <= 10""",
+        "p1_exact": """
+            WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT q.vec_id, a.vec_id AS neighbour, list_cosine_similarity(q.e, a.e) AS cos FROM a q, a WHERE q.vec_id <> a.vec_id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, neighbour) AS n FROM c WHERE cos >= 0.2)
+            SELECT vec_id, neighbour, round(cos, 5) AS cos FROM r WHERE n <= 10""",
         "p2_found": f"WITH {_SCORED} SELECT run_id, id FROM s1 WHERE bm25_pos <= ceil(n / 10.0) AND cosine_pos <= ceil(n / 10.0) AND rrf_pos <= ceil(n / 10.0)",
         "p2_fused": f"""WITH {_SCORED}, s2 AS (SELECT *, 0.0::DOUBLE + coalesce(1.0::DOUBLE / (60 + bm25_pos), 0) + coalesce(1.0::DOUBLE / (60 + cosine_pos), 0) + coalesce(1.0::DOUBLE / (60 + rrf_pos), 0) AS f FROM s1)
             SELECT run_id, id, bm25_pos, cosine_pos, rrf_pos, round(f, 9) AS fused, row_number() OVER (PARTITION BY run_id ORDER BY f DESC, id) AS place FROM s2""",

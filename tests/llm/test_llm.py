@@ -33,8 +33,9 @@ def brute(m, ids, k, floor):
     return out
 
 
-@pytest.mark.parametrize("width", [16, 64, 100])
-def test_join_recall(spark, width):
+@pytest.mark.parametrize(("width", "flat"), [(16, 4_096), (64, 4_096), (100, 4_096), (64, 20)])
+def test_join_recall(spark, monkeypatch, width, flat):
+    monkeypatch.setattr(neighbours, "FLAT", flat)  # pivots over it hang below leading ones
     m = planted(np.random.default_rng(width), 1500, width, 60)
     ids = [f"v{i:05d}" for i in range(len(m))]
     d = spark.createDataFrame([(i, v.tolist(), "x") for i, v in zip(ids, m, strict=True)], "id string, embedding array<float>, cell string").repartition(5)
@@ -43,6 +44,25 @@ def test_join_recall(spark, width):
     assert len(want) > 100 and len(got & want) / len(want) >= 0.9 and len(got - want) <= 0.01 * len(want)
 
 
+def test_an_exact_join_finds_all(spark):
+    m = planted(np.random.default_rng(60), 700, 16, 40)
+    ids = [f"v{i:05d}" for i in range(len(m))]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "id string, embedding array<float>")
+    got = {tuple(sorted((r.id, r.neighbour))) for r in neighbours.join(d, "id", "embedding", 16, block=100, exact=True).collect()}
+    assert got == brute(m, ids, 10, 0.92) and len(got) > 50
+
+
+def test_sifting_keeps_all_that_reach_the_floor():
+    rng = np.random.default_rng(61)
+    m = rng.normal(size=(1_500, 12)).astype("f4")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    q = neighbours.unpacked(neighbours.packed(m), 12)
+    on, _ = neighbours.reaching(q, q, 0.8, True)
+    s = m.astype("f8") @ m.T.astype("f8")
+    np.fill_diagonal(s, -2)
+    assert on[s.max(axis=1) >= 0.8].all() and 0 < on.mean() < 1
+
+
 def test_copies_skew_and_awkward_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=8).astype("f4")
