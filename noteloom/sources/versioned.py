@@ -1,21 +1,25 @@
 """Immutable table versions: data files, deletion vectors and one manifest per version (problem 6).
 
-A version never rewrites a file. It adds a folder of new rows and a folder of deletion vectors (which rows of which
-earlier version are gone), and last of all its manifest, by one rename: without the manifest the version doesn't
-exist, so a run that dies leaves nothing that a reader sees, and its repeat writes new folders. Every manifest also
-names the input version up to which its rows were made, so what was processed and that it was processed become
+A version never rewrites a file. It adds files of new rows and files of deletion vectors (which rows, by file and
+position, of earlier files are gone), and last of all its manifest, by one rename: without the manifest the version
+doesn't exist, so a run that dies leaves nothing that a reader sees, and its repeat writes new files. Every manifest
+also names the input version up to which its rows were made, so what was processed and that it was processed become
 true in the same commit: nothing is skipped or done twice.
 
-``changes`` compares two manifests and reads only the files in which they differ. Manifests hold names, not rows.
+Manifests name files, never rows. A version is read in one scan of the files it names, however many versions they
+come from, less the positions that its vectors name; ``compact`` puts the rows of a version into fresh files. ``changes``
+compares two manifests and reads only the files in which they differ.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 class VersionedTable:
@@ -24,6 +28,9 @@ class VersionedTable:
     Its columns are fixed by the first commit. Repeated keys in a commit are an error of the caller (see ``apply``).
     """
 
+    #: Where a row stands: its file and its place in it, as ``live`` gives them and ``commit`` takes them.
+    AT = ("__file", "__pos")
+
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -56,58 +63,88 @@ class VersionedTable:
         if self._fs.exists(target) or not self._fs.rename(temporary, target):
             raise RuntimeError(f"version {version} was committed by another writer")
 
-    def _read(self, files: list[dict], schema: str) -> DataFrame:
-        """Rows of some entries of a manifest, with the version that added them in __v."""
-        if not files:
-            return self.spark.createDataFrame([], schema + ", __v long")
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{f['name']}").withColumn("__v", F.lit(f["version"]).cast("long")) for f in files]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def _write(self, df: DataFrame, folder: str, version: int) -> list[dict]:
+        """The files that df became."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        found = [s for s in self._fs.listStatus(self._at(folder)) if s.getPath().getName().endswith(".parquet")]
+        return [{"name": f"{folder}/{s.getPath().getName()}", "version": version, "bytes": s.getLen()} for s in found]
+
+    def _read(self, files: Iterable[dict], schema: StructType, places: bool = False) -> DataFrame:
+        """Rows of some files of a manifest in one scan; with places, with AT."""
+        names = [f"{self.path}/{f['name']}" for f in files]
+        if not names:
+            none = StructType([*schema, StructField("__file", StringType()), StructField("__pos", LongType())]) if places else schema
+            return self.spark.createDataFrame([], none)
+        rows = self.spark.read.schema(schema).parquet(*names)
+        # a file's name is unique in the table, as it holds the writing task's own number
+        return rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__pos")) if places else rows
+
+    @staticmethod
+    def _schema(m: dict) -> StructType:
+        return StructType.fromJson(m["schema"])
+
+    def _vectors(self, m: dict, files: Iterable[dict] | None = None) -> DataFrame:
+        """(key, __file, __pos) of some vectors of a manifest, by default of all."""
+        key = next(f for f in self._schema(m) if f.name == self.key)
+        return self._read(m["vectors"] if files is None else files, StructType([StructField(self.key, key.dataType), StructField("__file", StringType()), StructField("__pos", LongType())]))
 
     def commit(self, added: DataFrame, gone: DataFrame | None = None, processed: int | None = None) -> int:
-        """A new version: the rows of added are new, those that gone names (key, __v: as read by ``live``) are no more."""
+        """A new version: the rows of added are new, those that gone names (key and AT, as read by ``live``) are no more."""
         last = self.versions()
         version = last[-1] + 1 if last else 0
-        old = self.manifest(last[-1]) if last else {"data": [], "vectors": [], "schema": None}
+        old = self.manifest(last[-1]) if last else {"data": [], "vectors": [], "schema": None, "compacted": None}
         tag = uuid.uuid4().hex
-        data, vectors = {"name": f"data/{version}-{tag}", "version": version}, {"name": f"vectors/{version}-{tag}", "version": version}
-        added.write.option("compression", "zstd").parquet(f"{self.path}/{data['name']}")
-        content = {"schema": old["schema"] or ", ".join(f"`{n}` {t}" for n, t in added.dtypes), "data": [*old["data"], data], "vectors": old["vectors"], "processed": processed}
+        content = {"schema": old["schema"] or json.loads(added.schema.json()), "vectors": old["vectors"], "processed": processed, "compacted": old["compacted"]}
+        content["data"] = [*old["data"], *self._write(added, f"data/{version}-{tag}", version)]
         if gone is not None:
-            gone.select(self.key, F.col("__v").alias("of")).write.option("compression", "zstd").parquet(f"{self.path}/{vectors['name']}")
-            content["vectors"] = [*old["vectors"], vectors]
+            content["vectors"] = [*old["vectors"], *self._write(gone.select(self.key, *self.AT), f"vectors/{version}-{tag}", version)]
         self._publish(version, content)
         return version
 
+    def compact(self) -> int:
+        """The last version's rows again, in fresh files and without vectors: a version that changes no record."""
+        last = self.versions()[-1]
+        old, version = self.manifest(last), last + 1
+        files = self._write(self.live(last).drop(*self.AT), f"data/{version}-{uuid.uuid4().hex}", version)
+        self._publish(version, {**old, "data": files, "vectors": [], "compacted": version})
+        return version
+
     def live(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the last by default), each with the version that added it in __v."""
+        """The rows of a version (the last by default), each with its AT. Deleted positions are few beside the rows, so taking them out is a filter as a rule."""
         m = self.manifest(self.versions()[-1] if version is None else version)
-        rows = self._read(m["data"], m["schema"])
-        if not m["vectors"]:
-            return rows
-        kind = dict(x.strip("`").split("` ", 1) for x in m["schema"].split(", `")).get(self.key, "string")
-        dead = self._read(m["vectors"], f"`{self.key}` {kind}, of long").select(self.key, F.col("of").alias("__v"))
-        return rows.join(dead, [self.key, "__v"], "left_anti").select(*rows.columns)
+        rows = self._read(m["data"], self._schema(m), True)
+        return rows.join(self._vectors(m).select(*self.AT), list(self.AT), "left_anti") if m["vectors"] else rows
 
     def changes(self, older: int, newer: int) -> DataFrame:
         """Record deltas between two versions: the key, the columns as they became, and verdict new, changed or removed.
 
-        Read are the data folders and the deletion vectors that only the newer manifest has. A key with a row in a
-        new data folder and an entry in a new vector was changed, with the row alone new, with the entry alone
-        removed. Columns of a removed key are null.
+        Read are the data files and the deletion vectors that only the newer manifest has. A key with a row in a new
+        data file and an entry in a new vector was changed, with the row alone new, with the entry alone removed.
+        Columns of a removed key are null. Where a compaction lies between the two, no file is in both, and whole
+        versions are compared.
         """
         a, b = self.manifest(older), self.manifest(newer)
-        had = {f["name"] for f in a["data"]} | {f["name"] for f in a["vectors"]}
+        if a["compacted"] != b["compacted"]:
+            return self._compared(older, newer)
+        had = {f["name"] for f in [*a["data"], *a["vectors"]]}
         more = [f for f in b["data"] if f["name"] not in had]
         less = [f for f in b["vectors"] if f["name"] not in had]
-        kind = dict(x.strip("`").split("` ", 1) for x in b["schema"].split(", `"))[self.key]
-        dead = self._read(less, f"`{self.key}` {kind}, of long").select(self.key, F.col("of").alias("__v"))
-        rows = self._read(more, b["schema"])
-        if len(more) > 1:  # a row that came and went between the two
-            rows = rows.join(dead, [self.key, "__v"], "left_anti").select(*rows.columns)
-        was = dead.where(F.col("__v") <= older).select(self.key).distinct().withColumn("__was", F.lit(True))
-        now = rows.drop("__v").withColumn("__now", F.lit(True))
+        dead, rows = self._vectors(b, less), self._read(more, self._schema(b), True)
+        if less and len({f["version"] for f in more}) > 1:  # a row that came and went between the two
+            rows = rows.join(dead.select(*self.AT), list(self.AT), "left_anti")
+        fresh = [f["name"].rsplit("/", 1)[1] for f in more] if len({f["version"] for f in [*more, *less]}) > 1 else []
+        if fresh:
+            dead = dead.join(self.spark.createDataFrame([(n,) for n in fresh], "__file string"), "__file", "left_anti")
+        was = dead.select(self.key).distinct().withColumn("__was", F.lit(True))
+        now = rows.drop(*self.AT).withColumn("__now", F.lit(True))
         verdict = F.when(F.col("__now") & F.col("__was"), "changed").when(F.col("__now"), "new").otherwise("removed")
         return now.join(was, self.key, "full_outer").withColumn("verdict", verdict).drop("__now", "__was")
+
+    def _compared(self, older: int, newer: int) -> DataFrame:
+        was = self.live(older).drop(*self.AT)
+        now = self.live(newer).drop(*self.AT)
+        others = [c for c in now.columns if c != self.key]
+        was = was.select(self.key, F.struct(*others).alias("__was"))
+        now = now.select(self.key, *others, F.struct(*others).alias("__now"))
+        verdict = F.when(F.col("__was").isNull(), "new").when(F.col("__now").isNull(), "removed").when(~F.col("__was").eqNullSafe(F.col("__now")), "changed")
+        return now.join(was, self.key, "full_outer").withColumn("verdict", verdict).where("verdict is not null").drop("__now", "__was")

@@ -81,5 +81,41 @@ def test_one_writer_per_version(spark, tmp_path):
     assert t.commit(rows) == 0
     with pytest.raises(RuntimeError):
         t._publish(0, {})
-    assert t.live().drop("__v").collect() == rows.collect()
-    assert t.live().where(F.col("__v") != 0).count() == 0
+    assert t.live().drop(*t.AT).collect() == rows.collect()
+    assert t.live().where(F.col("__pos") != 0).count() == 0
+
+
+def test_compaction_changes_no_record(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "k")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    t.commit(rows(("a", 1), ("b", 1), ("c", 1)))
+    t.commit(rows(("a", 2), ("d", 1)), t.live().where("k in ('a', 'b')"))
+    assert t.compact() == 2 and t.changes(1, 2).count() == 0
+    t.commit(rows(("a", 3)), t.live().where("k = 'a'"))
+    assert {tuple(r) for r in t.live().select("k", "v").collect()} == {("a", 3), ("c", 1), ("d", 1)}
+    assert {tuple(r) for r in t.live(1).select("k", "v").collect()} == {("a", 2), ("c", 1), ("d", 1)}
+    want = {("a", "changed"), ("b", "removed"), ("d", "new")}
+    assert {(r.k, r.verdict) for r in t.changes(0, 1).collect()} == want == {(r.k, r.verdict) for r in t.changes(0, 3).collect()}
+    assert {(r.k, r.v, r.verdict) for r in t.changes(2, 3).collect()} == {("a", 3, "changed")}
+
+
+def test_a_replay_that_dies_goes_on_and_its_plan_stays_small(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    runs = spark.createDataFrame([(r, r * 100, r * 100 + 50, "ok") for r in range(1, 9)], RUNS)
+    files = spark.createDataFrame([(f"p{i}", 1.0, rng.choice("abc"), 110) for i in range(20)], FILES)
+    walk = spark.createDataFrame([(r, f"p{i}", 1.0, rng.choice("abc"), r * 100) for r in range(2, 9) for i in rng.sample(range(25), 18)], WALK)
+    straight, steps = changes.replay(files, walk, runs, 2, f"file://{tmp_path}/a", compact=3)
+    # the second dies in run 5, after its data are written
+    publish = VersionedTable._publish
+    monkeypatch.setattr(VersionedTable, "_publish", lambda self, v, c: publish(self, v, c) if c["processed"] != 5 else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        changes.replay(files, walk, runs, 2, f"file://{tmp_path}/b", compact=3)
+    monkeypatch.setattr(VersionedTable, "_publish", publish)
+    again, more = changes.replay(files, walk, runs, 2, f"file://{tmp_path}/b", compact=3)
+    assert [s[0] for s in steps] == list(range(2, 9)) and [s[0] for s in more] == list(range(5, 9))
+    rows = lambda t: {tuple(r) for r in t.live().select("path", "sha256").collect()}
+    assert rows(again) == rows(straight)
+    deltas = lambda t, s: [{(r.path, r.verdict) for r in t.changes(b, a).collect()} for _, b, a in s]
+    assert deltas(again, more) == deltas(straight, steps)[3:]
+    size = lambda v: len(straight.live(v)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(steps[0][2]) == size(steps[1][2]) == size(straight.versions()[-1])
