@@ -4,7 +4,9 @@ A channel is the pair (encoding that was used, encoding that should have been us
 times. The words with non-ASCII characters of a text are the observations of a hidden Markov model whose states are
 "as it was written" and one per channel. Going back through a channel turns a word into bytes and the bytes into
 the word that was meant; a lost byte (U+FFFD) is a wildcard in that lattice and stands for every byte that the
-encoding can't show, or for any character. The words that come out are weighed by their frequency in the whole
+encoding that was used doesn't define, or for any character where the text was read as UTF-8. Through such a lattice
+the most frequent known word that fits is taken, else the likeliest path by characters, found by Viterbi search
+whatever the number of lost bytes. The words that come out are weighed by their frequency in the whole
 corpus, and Viterbi search finds the likeliest states; changing the state costs, since damage covers a text or one
 passage of it, not single words here and there.
 
@@ -19,6 +21,7 @@ Defined results: null and empty texts, and texts in ASCII, are whole. A text tha
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -37,13 +40,11 @@ READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250
 MEANT = ("utf-8", "cp1252", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "shift_jis", "euc_jp", "iso8859-5")
 DOUBLE_BYTE = ("shift_jis", "euc_jp")
 LOST = "�"
-#: Bytes that Windows-1252 leaves undefined.
-UNSHOWN = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 #: Costs in nats: to begin damage, to end it, and what a valid UTF-8 sequence is worth, which chance hardly gives.
 BEGIN, END, UTF8_WORTH = 8.0, 2.0, 5.0
 LEAST_GAIN = 1.0
-#: Words of so few sightings, or of more characters, are judged by their characters.
-RARE, LONGEST = 2, 24
+#: Words of so few sightings are judged by their characters.
+RARE = 2
 #: Texts of a block are 2 ** BLOCK; slots of the filter of all words, which only saves questions.
 BLOCK, SLOTS = 11, 1 << 24
 
@@ -86,10 +87,55 @@ def _bytes(token: str, enc: str) -> list[int] | None:
     return out
 
 
+def undefined(enc: str) -> tuple[int, ...]:
+    """Bytes that an encoding has no character for, so that they are lost when a text is read by it."""
+    out = []
+    for b in range(0x80, 0x100):
+        try:
+            bytes([b]).decode(enc)
+        except UnicodeDecodeError:
+            out.append(b)
+    return tuple(out)
+
+
+UNSHOWN = {enc: undefined(enc) for enc in READ_AS}
+
+
+def one_char(raw: tuple[int, ...], lost: tuple[int, ...], enc: str) -> list[str]:
+    """The single characters that some bytes can be in an encoding; -1 is any of the lost ones."""
+    out = []
+    for b in itertools.product(*[lost if x == -1 else (x,) for x in raw]):
+        try:
+            t = bytes(b).decode(enc)
+        except UnicodeDecodeError:
+            continue
+        if len(t) == 1:
+            out.append(t)
+    return out
+
+
+def asked_of(p: str, here: list[list[str]]) -> str:
+    """A word with lost characters, and what each of these may be."""
+    return "\t".join([p, *["".join(o) for o in here]])
+
+
 def agrees(word: str, w: str) -> bool | None:
-    """Whether w, of the same length, can be word with its lost characters: True to the letter, False but for case, None not."""
-    if LOST in w or any(w[i].isascii() for i, ch in enumerate(word) if ch == LOST):
+    """Whether w, of the same length, can be word with its lost characters: True to the letter, False but for case, None not.
+
+    word may say after tabs what each lost character can be; otherwise it is any that isn't ASCII.
+    """
+    word, *options = word.split("\t")
+    lost = [i for i, ch in enumerate(word) if ch == LOST]
+    if LOST in w or len(w) != len(word):
         return None
+    if not options and any(w[i].isascii() for i in lost):
+        return None
+    if options:
+        if all(w[i] in o for i, o in zip(lost, options, strict=True)) and all(ch in (w[i], LOST) for i, ch in enumerate(word)):
+            return True
+        if not all(w[i].lower() in o.lower() for i, o in zip(lost, options, strict=True)):
+            return None
+        return False if all(ch == LOST or w[i].lower() == ch.lower() for i, ch in enumerate(word)) else None
     known = [(i, ch) for i, ch in enumerate(word) if ch != LOST]
     if all(w[i] == ch for i, ch in known):
         return True
@@ -112,11 +158,13 @@ class Model:
         self.counts = dict(counts)
         self.total = max(1, whole[0] if whole else sum(self.counts.values()))
         chars: dict[str, int] = {}
-        self.by_size: dict[int, list[str]] = {}
+        by_size: dict[int, list[str]] = {}
         for w, c in self.counts.items():
-            self.by_size.setdefault(len(w), []).append(w)
+            by_size.setdefault(len(w), []).append(w)
             for ch in w:
                 chars[ch] = chars.get(ch, 0) + c
+        # the words of a length in one text, so that those of a pattern are found by one scan of it
+        self.lines = {n: "\n".join(ws) for n, ws in by_size.items()}
         chars = whole[1] if whole else chars
         self.chars, self.char_total = chars, max(1, sum(chars.values()))
         self.ways = lru_cache(200_000)(self._ways)
@@ -125,11 +173,9 @@ class Model:
         self.channels = [(r, m, 1) for r in READ_AS for m in MEANT if r != m] + [(r, "utf-8", n) for r in ("cp1252", "latin-1") for n in (2, 3)]
 
     def _word(self, w: str) -> float:
-        """Log frequency. A word seen once or twice, or too long for one, is spelt: its own damage may be all that was seen."""
+        """Log frequency. A word seen once or twice is spelt: its own damage may be all that was seen."""
         spelt = sum(math.log((self.chars.get(ch, 0) + 0.01) / self.char_total) for ch in w)
         c = self.counts.get(w, 0)
-        if len(w) > LONGEST:
-            return spelt
         if c > RARE or (c and len(w) == 1):
             return math.log(c / self.total)
         low = self.counts.get(w.lower(), 0) or self.counts.get(w.capitalize(), 0)
@@ -140,15 +186,24 @@ class Model:
     def _score(self, token: str) -> float:
         return sum(self._word(p) for p in pieces(token)) + (0.0 if token.isprintable() else -6.0 * sum(not ch.isprintable() and ch != "\xa0" for ch in token))
 
+    def _known(self, asked: str) -> str | None:
+        """The most frequent word that agrees with asked (see ``agrees``); case comes second."""
+        word, *options = asked.split("\t")
+        it = iter(options)
+        pattern = "".join((f"[{re.escape(next(it))}]" if options else r"[^\x00-\x7f]") if ch == LOST else re.escape(ch) for ch in word)
+        best, most = None, (False, 0)
+        for m in re.finditer(f"^{pattern}$", self.lines.get(len(word), ""), re.M | re.I):
+            w = m[0]
+            exact = agrees(asked, w)
+            if exact is not None and (exact, self.counts[w]) > most:
+                best, most = w, (exact, self.counts[w])
+        return best
+
     def _fill(self, word: str) -> str | None:
         """The most frequent word that agrees with word but for its lost characters (one for one); case comes second."""
         if not any(ch.isalpha() for ch in word if ch != LOST):
             return None
-        best, most = None, (False, 0)
-        for w in self.by_size.get(len(word), ()):
-            exact = agrees(word, w)
-            if exact is not None and (exact, self.counts[w]) > most:
-                best, most = w, (exact, self.counts[w])
+        best = self._known(word)
         return None if best is None else merged(word, best)
 
     def _through(self, token: str, read: str, meant: str) -> str | None:
@@ -161,57 +216,58 @@ class Model:
             except UnicodeDecodeError:
                 return None
             return out if out != token else None
-        if meant != "utf-8" or read not in ("cp1252", "cp1250"):
+        return self._lattice(raw, UNSHOWN[read], meant) if UNSHOWN[read] else None
+
+    def _spelt(self, ch: str) -> float:
+        return math.log((self.chars.get(ch, 0) + 0.01) / self.char_total)
+
+    def _lattice(self, raw: list[int], lost: tuple[int, ...], meant: str) -> str | None:
+        """Bytes with wildcards: Viterbi over where characters begin and which they are; known words then decide among the characters of a place."""
+        widest = 4 if meant == "utf-8" else 2 if meant in DOUBLE_BYTE else 1
+        # per place the likeliest way to it: its weight, the place before, and the characters that lead here
+        ways: list[tuple[float, int, list[str]] | None] = [(0.0, -1, [])]
+        for i in range(1, len(raw) + 1):
+            best = None
+            for n in range(1, min(widest, i) + 1):
+                if (was := ways[i - n]) is not None and (fit := one_char(tuple(raw[i - n : i]), lost, meant)):
+                    weight = was[0] + max(map(self._spelt, fit))
+                    if best is None or weight > best[0]:
+                        best = (weight, i - n, fit)
+            ways.append(best)
+        if ways[-1] is None:
             return None
-        return self._lattice(raw)
-
-    def _lattice(self, raw: list[int]) -> str | None:
-        """UTF-8 with wildcards: per character all that fit; the word list decides, then the character counts."""
-        chars: list[list[str]] = []
-        i = 0
-        while i < len(raw):
-            lead = raw[i]
-            if 0 <= lead < 128:
-                chars.append([chr(lead)])
-                i += 1
-                continue
-            n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-            if not n or i + n > len(raw):
-                return None
-            options = [bytes([lead])]
-            for b in raw[i + 1 : i + n]:
-                options = [o + bytes([x]) for o in options for x in (UNSHOWN if b == -1 else (b,))]
-            fit = []
-            for o in options:
-                try:
-                    fit.append(o.decode())
-                except UnicodeDecodeError:
-                    pass
-            if not fit:
-                return None
+        chars, i = [], len(raw)
+        while i > 0:
+            _, i, fit = ways[i]
             chars.append(fit)
-            i += n
-        out = "".join(c[0] if len(c) == 1 else LOST for c in chars)
-        opts = iter([c for c in chars if len(c) > 1])
+        chars.reverse()
+        # in a code page a lost byte is a place to be filled even if only one character can stand there
+        single = widest == 1
+        place = [len(c) > 1 or (single and raw[k] == -1) for k, c in enumerate(chars)]
+        out = "".join(LOST if x else c[0] for c, x in zip(chars, place, strict=True))
+        opts = iter([c for c, x in zip(chars, place, strict=True) if x])
         result = []
         for p in re.split(rf"((?:(?![{_SINGLE}])[^\W\d_])*{LOST}(?:(?![{_SINGLE}])[^\W\d_]|{LOST})*)", out):
-            if LOST not in p:
-                result.append(p)
-                continue
-            here = [next(opts) for ch in p if ch == LOST]
-            word = self._best(p, here)
+            word = self._best(p, [next(opts) for ch in p if ch == LOST], widest > 1) if LOST in p else p
+            if word is None:
+                return None
             result.append(word)
         return "".join(result)
 
-    def _best(self, p: str, here: list[list[str]]) -> str:
-        """Viterbi over the lattice of one word: the most frequent known word on a path, else the commonest characters."""
-        paths = [""]
-        for ch in p:
-            step = here[p[: len(paths[0])].count(LOST)] if ch == LOST else [ch]
-            paths = [q + s for q in paths for s in step]
-            if len(paths) > 625:
-                paths = sorted(paths, key=lambda q: -sum(math.log(self.chars.get(c, 0) + 0.01) for c in q))[:625]
-        return max(paths, key=lambda q: (self.counts.get(q, 0) or self.counts.get(q.lower(), 0), sum(math.log(self.chars.get(c, 0) + 0.01) for c in q)))
+    def _best(self, p: str, here: list[list[str]], free: bool) -> str | None:
+        """A word with lost characters: as the most frequent known word that fits, else, if free, by the commonest character of each place.
+
+        A single lost byte is a character of nearly every code page, so that there only a known word is believed, and only
+        if no other word that isn't among its options is seen more often.
+        """
+        asked = asked_of(p, here)
+        known = self._known(asked) if any(ch.isalpha() for ch in p if ch != LOST) else None
+        it = iter(here)
+        if not free and (known is None or self._known(p) != known or not agrees(asked, known)):
+            return None
+        if known is None:
+            return "".join(max(next(it), key=lambda c: (self.chars.get(c, 0), c)) if ch == LOST else ch for ch in p)
+        return "".join(next(c for c in next(it) if c.lower() == known[i].lower()) if ch == LOST else ch for i, ch in enumerate(p)) if agrees(asked, known) is False else known
 
     def _ways(self, token: str) -> tuple[tuple[int, float, str], ...]:
         """(channel, gain over the token as it stands, what was meant) for the channels that can give it."""
@@ -314,13 +370,10 @@ class Asking(Model):
         self.counts.update((w, n) for w, n, _ in answers if LOST not in w)
         self.fits = {w: fit for w, _, fit in answers if LOST in w}
 
-    def _fill(self, word: str) -> str | None:
-        if not any(ch.isalpha() for ch in word if ch != LOST):
-            return None
-        if word not in self.fits:
-            self.counts.asked.add(word)
-        fit = self.fits.get(word)
-        return None if fit is None else merged(word, fit)
+    def _known(self, asked: str) -> str | None:
+        if asked not in self.fits:
+            self.counts.asked.add(asked)
+        return self.fits.get(asked)
 
 
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
@@ -365,6 +418,7 @@ def fitting(lost: DataFrame, words: DataFrame) -> DataFrame:
             for b in batches:
                 at, keys = [], []
                 for row, w in enumerate(b.column(0).to_pylist()):
+                    w = w.split("\t")[0]
                     mine = [f"{len(w)} {i} {ch.lower()}" for i, ch in enumerate(w) if ch.isalpha()]
                     mine = mine[:1] if one else mine
                     at += [row] * len(mine)

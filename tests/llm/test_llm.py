@@ -476,6 +476,18 @@ def test_restoring(spark):
     assert mojibake.restored(spark.createDataFrame([], "id long, text string"), "id", "text").collect() == []
 
 
+def test_each_code_page_loses_its_own_bytes():
+    assert mojibake.UNSHOWN["cp1252"] == (0x81, 0x8D, 0x8F, 0x90, 0x9D) and mojibake.UNSHOWN["cp1250"] == (0x81, 0x83, 0x88, 0x90, 0x98) and not mojibake.UNSHOWN["latin-1"]
+    words = {"Łukasz": 9, "ŁĄŁŁŁŁŁĄ": 5, "zażółć": 9, "Ł": 4, "ł": 9, "Ń": 2, "Schlüssel": 8, "für": 30, "год": 20, "Март": 9}
+    m = mojibake.Model(list(words.items()))
+    for true, read, word in (("utf-8", "cp1250", "Łukasz"), ("utf-8", "cp1250", "ŁĄŁŁŁŁŁĄ"), ("cp437", "cp1252", "Schlüssel"), ("utf-8", "cp1251", "Март")):
+        bad = "".join(bytes([b]).decode(read, "replace") for b in word.encode(true))
+        assert m._through(bad, read, true) == word, (bad, word)
+    # nothing known fits: each place by its commonest character, through many lost bytes as well
+    assert m._through("".join(bytes([b]).decode("cp1250", "replace") for b in "xŁŁŁŁŁŁŁx".encode()), "cp1250", "utf-8") == "xŁŁŁŁŁŁŁx"
+    assert m._through("w�re", "cp1252", "cp437") is None and m._through("�", "cp1252", "cp437") is None
+
+
 def test_words_beyond_the_broadcast_count(spark):
     rows = []
     for n in range(12):
@@ -489,7 +501,7 @@ def test_words_beyond_the_broadcast_count(spark):
             except UnicodeError:
                 pass
     t = CLEAN["de"]
-    rows += ["First. " + t.encode("cp1252").decode("utf-8", "replace"), "First. " + t.encode().decode("cp1252").encode().decode("cp1252", "replace"), "First. " + CLEAN["ru"].encode().decode("cp1252", "replace")]
+    rows += ["First. " + t.encode("cp1252").decode("utf-8", "replace"), "First. " + t.encode().decode("cp1252").encode().decode("cp1252", "replace"), "First. " + CLEAN["ru"].encode().decode("cp1252", "replace"), "First. " + CLEAN["pl"].encode().decode("cp1250", "replace"), "First. " + CLEAN["de"].encode("cp437").decode("cp1252", "replace")]
     d = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
     whole, few = ({tuple(r) for r in mojibake.restored(d, "id", "text", size).collect()} for size in (200_000, 10))
     assert len(whole) > 15 and {r[:3] + r[4:] for r in few} == {r[:3] + r[4:] for r in whole}
