@@ -13,7 +13,6 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
@@ -107,23 +106,21 @@ def rerank_column(model: Reranker):
 
 
 def fit_context(centre: str, before: list[str], after: list[str], budget: int, size=lambda t: math.ceil(len(t) / 3.5)) -> str:
-    """The centre with as many neighbours as fit, nearest first and the earlier of two equally near ones first.
+    """The centre with as many neighbours as fit into the budget as one text, nearest first and the earlier of two equally near ones first.
 
-    A neighbour that doesn't fit ends its side, so that none is skipped; the centre itself is cut to the budget.
+    A neighbour that doesn't fit closes its side, so that none is skipped. A centre over the budget stays whole and alone.
     """
-    if size(centre) >= budget:
-        return centre[: int(budget * 3.5)]
-    left, right, room = [], [], budget - size(centre)
-    a, b = list(reversed(before)), list(after)
-    while a or b:
-        side, kept = (a, left) if a and (not b or len(left) <= len(right)) else (b, right)
-        need = size(side[0]) + 1
-        if need > room:
-            side.clear()
-            continue
-        kept.append(side.pop(0))
-        room -= need
-    return "\n\n".join([*reversed(left), centre, *right])
+    kept = [centre]
+    sides = {"before": iter(reversed(before)), "after": iter(after)} if size(centre) <= budget else {}
+    while sides:
+        for name in list(sides):
+            more = next(sides[name], None)
+            tried = [] if more is None else [more, *kept] if name == "before" else [*kept, more]
+            if tried and size("\n\n".join(tried)) <= budget:
+                kept = tried
+            else:
+                del sides[name]
+    return "\n\n".join(kept)
 
 
 def context_column(radius: int):
@@ -142,7 +139,3 @@ def context_column(radius: int):
         return windows.map(one)
 
     return run
-
-
-def reranked_logits(hits: DataFrame, query_text: Column, document: Column, model: Reranker) -> DataFrame:
-    return hits.withColumn("logit", rerank_column(model)(query_text, document))

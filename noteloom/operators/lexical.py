@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -31,6 +31,20 @@ class Index:
     extra: dict = field(default_factory=dict)
 
 
+def bucket_of(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def of_terms(index: Index, terms: DataFrame) -> DataFrame:
+    """The live postings of some terms (term); of a stored index only the folders of these terms are read."""
+    p, n = index.postings, index.extra.get("buckets")
+    if n:  # at most so many numbers as there are folders
+        p = p.where(F.col("tb").isin([r.b for r in terms.select(bucket_of("term", n).alias("b")).distinct().collect()]))
+    hit = p.join(terms.select("term").distinct(), "term", "left_semi")
+    live = index.extra.get("live")
+    return hit if live is None else hit.join(live, ["id", "segment"], "left_semi")
+
+
 def build(chunks: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, stem: bool = False) -> Index:
     """The index of a table of chunks. Null texts are empty; chunks without a key are left out; repeated keys count once."""
     d = chunks.where(F.col(key).isNotNull()).dropDuplicates([key])
@@ -98,9 +112,12 @@ def query_terms(spark: SparkSession, queries: dict[str, str], stem: bool = False
     return spark.createDataFrame(rows, TERMS)
 
 
-def plain_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """The terms of a table of queries, all alternatives; for batches that are tables themselves."""
+def plain_terms(queries: DataFrame, query_id: str, text: str, stem: bool = False) -> DataFrame:
+    """The terms of a table of queries, all alternatives; for batches that are tables themselves. stem: as the index was built."""
     q = queries.where(F.col(query_id).isNotNull())
+    if stem:
+        d = q.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
+        return d.select("query_id", stemmed("term").alias("term")).distinct()
     return q.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
 
 
@@ -109,8 +126,7 @@ def weighted(index: Index, terms: DataFrame) -> DataFrame:
 
     Terms that occur in the batch select the postings; document frequencies are counted over those.
     """
-    wanted = terms.select("term").distinct()
-    hit = index.postings.join(wanted, "term", "left_semi")
+    hit = of_terms(index, terms)
     df = hit.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     # two rows of statistics, whatever the data
     idf = df.join(F.broadcast(index.stats), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", "field", "idf", "avg_len")
@@ -139,7 +155,7 @@ def search(index: Index, terms: DataFrame, k: int) -> DataFrame:
         return top(weighted(index, terms), k)
     positive = terms.where("role != 'not'")
     got = weighted(index, positive)
-    met = lambda t: index.postings.join(t.select("term").distinct(), "term", "left_semi").join(t, "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
+    met = lambda t: of_terms(index, t).join(t, "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
     t = terms.withColumn("only", F.col("field")).drop("field")
     # single required and excluded words
     need = t.where("role = 'must' and phrase = 0").groupBy("query_id").agg(F.countDistinct("term", F.coalesce("only", F.lit(""))).alias("need"))

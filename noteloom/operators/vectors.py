@@ -41,6 +41,38 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 1))
 
 
+def _best(cos: np.ndarray, names: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best per query; only where the k-th has equals do names decide."""
+    if cos.shape[1] <= k:
+        return np.repeat(np.arange(len(cos)), cos.shape[1]), np.tile(np.arange(cos.shape[1]), len(cos))
+    least = np.partition(cos, -k, axis=1)[:, -k]
+    q, r = np.nonzero(cos >= least[:, None])
+    if len(q) > k * len(cos):
+        kept = []
+        for i, rows in zip(range(len(cos)), np.split(r, np.searchsorted(q, np.arange(1, len(cos)))), strict=True):
+            if len(rows) > k:
+                called = names.take(pa.array(rows)).to_pylist()
+                rows = rows[sorted(range(len(rows)), key=lambda j: (-cos[i, rows[j]], str(called[j])))[:k]]
+            kept += [(i, x) for x in rows]
+        q, r = np.array(kept, np.int64).reshape(-1, 2).T
+    return q, r
+
+
+def _passes(queries: DataFrame, width: int, query_id: str, query_vector: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The usable query vectors, about MAX_QUERIES at a time, with their ids."""
+    q = queries.where(F.col(query_id).isNotNull() & (F.size(query_vector) == width)).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).dropDuplicates(["q"])
+    passes = max(1, -(-q.count() // MAX_QUERIES))
+    for p in range(passes):
+        t = (q if passes == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)).toArrow()
+        ids = t["q"].combine_chunks()
+        rows, m = _matrix(t["v"].combine_chunks(), width) if t.num_rows else (np.zeros(0, np.int64), np.zeros((0, width)))
+        yield ids.take(pa.array(rows, pa.int64())), m
+
+
+def _type(d: DataFrame, name: str) -> str:
+    return {f.name: f.dataType.simpleString() for f in d.schema}[name]
+
+
 def use_exact(forced: bool, stored: int) -> bool:
     return forced or stored < EXACT_UNDER
 
@@ -48,18 +80,9 @@ def use_exact(forced: bool, stored: int) -> bool:
 def exact(stored: DataFrame, queries: DataFrame, k: int, width: int, key: str = "id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): cosines in double, rounded to 9 places so that ties are ties."""
     spark = stored.sparkSession
-    q = queries.where(F.col(query_id).isNotNull() & (F.size(query_vector) == width)).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).dropDuplicates(["q"])
-    kind = {f.name: f.dataType.simpleString() for f in queries.schema}[query_id]
-    ikind = {f.name: f.dataType.simpleString() for f in stored.schema}[key]
     s = stored.where(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    n = q.count()
-    passes = max(1, -(-n // MAX_QUERIES))
     out = None
-    for p in range(passes):
-        part = q if passes == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)
-        t = part.toArrow()  # about MAX_QUERIES rows
-        rows, m = _matrix(t["v"].combine_chunks(), width) if t.num_rows else (np.zeros(0, np.int64), np.zeros((0, width)))
-        held = spark.sparkContext.broadcast((t["q"].combine_chunks().take(pa.array(rows)) if len(rows) else t["q"].combine_chunks().slice(0, 0), m))
+    for held in (spark.sparkContext.broadcast(p) for p in _passes(queries, width, query_id, query_vector)):
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, qm = held.value
@@ -68,16 +91,11 @@ def exact(stored: DataFrame, queries: DataFrame, k: int, width: int, key: str =
                 if not len(at) or not len(qm):
                     continue
                 names = b.column(0).take(pa.array(at))
-                # ties are decided by names, so equal scores at the edge of a batch's k are kept by name order
-                order = np.argsort(np.array([str(x) for x in names.to_pylist()]), kind="stable")
-                names, m = names.take(pa.array(order)), m[order]
                 cos = np.round(qm @ m.T, 9)
-                take = min(k, len(m))
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :take]
-                rows_ = np.repeat(np.arange(len(qm)), take)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows_)), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(cos, best, axis=1).ravel())], names=["query_id", "id", "score"])
+                q, r = _best(cos, names, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(r)), pa.array(cos[q, r])], names=["query_id", "id", "score"])
 
-        part_out = s.mapInArrow(scan, f"query_id {kind}, id {ikind}, score double")
+        part_out = s.mapInArrow(scan, f"query_id {_type(queries, query_id)}, id {_type(stored, key)}, score double")
         out = part_out if out is None else out.unionByName(part_out)
     return _rank(out.dropDuplicates(["query_id", "id"]), k)
 
@@ -108,8 +126,13 @@ def cells(stored: DataFrame, width: int, n_cells: int = 64, sample: int = 20_000
             own = m[near == j]
             if len(own) and (n := np.linalg.norm(own.sum(axis=0))) > 0:
                 c[j] = own.sum(axis=0) / n
-    held = spark.sparkContext.broadcast(c)
-    kind = {f.name: f.dataType.simpleString() for f in stored.schema}[key]
+    return c, placed(stored, c, width, key, vector)[1]
+
+
+def placed(stored: DataFrame, centres: np.ndarray, width: int, key: str = "id", vector: str = "embedding") -> tuple[np.ndarray, DataFrame]:
+    """The centres, and (id, embedding, cell) of all usable vectors."""
+    s = stored.where(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
+    held = stored.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,13 +141,33 @@ def cells(stored: DataFrame, width: int, n_cells: int = 64, sample: int = 20_000
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.argmax(v @ held.value.T, axis=1).astype(np.int32))], names=["id", "embedding", "cell"])
 
-    return c, s.mapInArrow(assign, f"id {kind}, embedding array<float>, cell int")
+    return centres, s.mapInArrow(assign, f"id {_type(stored, key)}, embedding array<float>, cell int")
 
 
-def approximate(centres: np.ndarray, placed: DataFrame, query_vector: list[float], k: int, probes: int = 8) -> DataFrame:
-    """(id, score, rank) from the cells nearest to the query; written by cell, only these are read."""
-    q = np.asarray(query_vector, np.float64)
-    if q.shape != (centres.shape[1],) or not np.isfinite(q).all() or not q.any():
-        return placed.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    near = np.argsort(-(centres @ (q / np.linalg.norm(q))), kind="stable")[:probes]
-    return expression(placed.where(F.col("cell").isin([int(x) for x in near])), [float(x) for x in q], k)
+def approximate(centres: np.ndarray, cells_of: DataFrame, queries: DataFrame, k: int, width: int, probes: int = 12, query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank) for a batch of queries, each from the ``probes`` cells nearest to it; other cells aren't read."""
+    spark = cells_of.sparkSession
+    out = None
+    for ids, qm in _passes(queries, width, query_id, query_vector):
+        near = np.argsort(-(qm @ centres.T), axis=1, kind="stable")[:, :probes]
+        by_cell = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        held = spark.sparkContext.broadcast((ids, qm, by_cell))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, qm, by_cell = held.value
+            for b in batches:
+                at, m = _matrix(b.column(1), width)
+                cell = np.asarray(b.column(2))[at]
+                for c in np.unique(cell):
+                    rows, qs = np.flatnonzero(cell == c), by_cell.get(int(c), np.zeros(0, np.int64))
+                    if not len(qs):
+                        continue
+                    names = b.column(0).take(pa.array(at[rows]))
+                    cos = np.round(qm[qs] @ m[rows].T, 9)
+                    q, r = _best(cos, names, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs[q])), names.take(pa.array(r)), pa.array(cos[q, r])], names=["query_id", "id", "score"])
+
+        d = cells_of.where(F.col("cell").isin(list(by_cell))).select("id", "embedding", "cell")
+        part = d.mapInArrow(scan, f"query_id {_type(queries, query_id)}, id {_type(cells_of, 'id')}, score double")
+        out = part if out is None else out.unionByName(part)
+    return _rank(out.dropDuplicates(["query_id", "id"]), k)

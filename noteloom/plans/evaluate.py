@@ -70,3 +70,59 @@ def unknown_paths(qrels: DataFrame, files: DataFrame, chunks: DataFrame) -> Data
     """Judged paths that aren't indexed, or have no chunk; must be empty before an evaluation."""
     have = files.select("path").distinct().join(chunks.select("path").distinct(), "path", "left_semi")
     return qrels.select("path").distinct().join(have, "path", "left_anti")
+
+
+def report(corpus, files: DataFrame, content: str, o, embedder=None, reranker=None, versions: dict | None = None) -> dict:
+    """The report that the gate compares: searches all labels of a file's content as one batch and scores what comes.
+
+    o are the options of the searches; o.limit is k. ValueError where options contradict each other, where a judged
+    path isn't indexed or has no chunk, or where the index changed meanwhile. Reports are one entry per label, so they
+    are small. versions has version and binary_sha256.
+    """
+    from dataclasses import replace
+
+    from ..operators import vectors
+    from ..operators.provenance import fingerprint_tree
+    from ..session import written
+    from ..sources import labels
+    from . import search
+
+    k = o.limit
+    if not 1 <= k <= 1000:
+        raise ValueError("k must be within 1 and 1000")
+    if o.exact and o.mode == "bm25":
+        raise ValueError("exact needs mode hybrid or vec")
+    if o.smart or o.since is not None or o.source is not None or o.exclude or o.min_score is not None or o.chunks:
+        raise ValueError("an evaluation is per note, without filters and floors")
+    o = replace(o, full=False, exhaustive=True).check()
+    spark = files.sparkSession
+    asked, qrels, sha = labels.tables(spark, content)
+    lost = [r.path for r in unknown_paths(qrels, files, corpus.chunks).orderBy("path").limit(5).collect()]
+    if lost:
+        raise ValueError(f"judged paths that aren't indexed: {lost}")
+    state = corpus.state()
+    print_ = lambda: {"corpus": fingerprint_tree(files).first()[0], "chunks": corpus.chunks.count()}
+    before = print_()
+    queries = asked if o.mode == "bm25" else search.embedded_queries(asked, embedder)
+    hits = written(search.search(corpus, queries, o, reranker), "evaluated")
+    score = "relevance" if o.relevance else "score"
+    ranking = hits.select("query_id", "path", F.col("pos").alias("rank"), F.col(score).cast("double").alias("score"))
+    per = per_query(asked, ranking, qrels, k)
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("l")).select("query_id", F.col("l.path").alias("ranked"))
+    rows = per.drop("cohort").join(asked.select("query_id", "query", "cohort"), "query_id").join(lists, "query_id", "left").orderBy(F.col("query_id").cast("int")).collect()
+    total = aggregate(per).first().asDict()
+    if corpus.state() != state or print_() != before:
+        raise ValueError("the index changed during the evaluation")
+    exact = o.mode != "bm25" and (corpus.cells is None or vectors.use_exact(o.exact, corpus.stored))
+    names = ("query", "cohort", "is_negative", "precision_at_k", "recall_at_k", "reciprocal_rank_at_k", "ndcg_at_k", "top_score", "returned", "found", "missing")
+    return {
+        "schema_version": 1,
+        "config": {
+            "k": k, "mode": o.mode, "fusion_policy": "rrf_k60" if o.mode == "hybrid" else "none", "fusion_candidate_pool": "bm25_cosine_union" if o.mode == "hybrid" else "single_retriever", "rerank": o.rerank,
+            "rerank_policy": f"context_{o.rerank_context}" if o.rerank else "none", "score_floor": False, "exact_requested": o.exact, "vector_backend": "none" if o.mode == "bm25" else "exact" if exact else "cells",
+            "automatic_exact_cutoff": vectors.EXACT_UNDER, "score_kind": score, "result_policy": "one_per_note", "note_level": True, "adaptive_cutoff": False, "index_refresh": False, "cwd_scope": False,
+        },
+        "provenance": {"version": "1", "binary_sha256": "", **(versions or {}), "labels_sha256": sha, "index": before},
+        "aggregate": total,
+        "queries": [{**{n: r[n] for n in names}, "ranked": list(r["ranked"] or [])} for r in rows],
+    }

@@ -1,8 +1,9 @@
 """Ingestion: what changed, chunks and vectors of that, and the next version of every derived table in one step.
 
-A store holds versions. A version is a folder of Parquet tables (files, chunks) and is current once the manifest says
-so, which is renamed into place last; so files, chunks and vectors are always of one version, and readers resolve the
-version once. Unchanged notes' rows are carried over; use of notes is kept elsewhere and outlives any rebuild.
+A store holds four versioned tables: files, chunks, the word index and the vector index. A version of the store is a
+manifest that names a version of each, renamed into place last; so all of them are always of one state, and readers
+resolve it once. A pass writes the rows of what changed and where the old ones stood, never a whole table; changed
+files are read once, into a table of their own. Use of notes is kept elsewhere and outlives any rebuild.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter
 from ..models import Embedder, embed_column
-from ..operators import chunking, lexical
+from ..operators import chunking
 from ..operators.provenance import fingerprint_tree
+from ..session import written
 from ..sources import notes as notes_source
+from ..sources.versioned import NOTHING, VersionedTable
+from .stores import VectorStore, WordStore
 
 CHUNK_VERSION = "1"
 FILES = "path string, mtime double, sha256 string, indexed_at long"
@@ -53,13 +57,22 @@ def settled(read: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
+    """files (by path) and chunks (by id) with their indexes, under one folder."""
+
     spark: SparkSession
     path: str
+    stem: bool = True
 
     def __post_init__(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path
-        self._p = lambda x: p(f"{self.path.rstrip('/')}/{x}")
+        base = self.path.rstrip("/")
+        self._p = lambda x: p(f"{base}/{x}")
         self._fs = p(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.files, self.chunks = VersionedTable(self.spark, f"{base}/files", "path"), VersionedTable(self.spark, f"{base}/chunks", "id")
+        self.words = WordStore(self.spark, f"{base}/words", self.stem)
+
+    def vectors(self, width: int) -> VectorStore:
+        return VectorStore(self.spark, f"{self.path.rstrip('/')}/vectors-{width}", width)
 
     def manifest(self) -> dict | None:
         """The newest manifest; manifests are numbered and never changed."""
@@ -74,20 +87,20 @@ class Store:
         finally:
             stream.close()
 
-    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+    def rows(self, name: str, manifest: dict | None = None) -> DataFrame | None:
+        """A table's rows with their places, or None before the first pass."""
         m = manifest or self.manifest()
-        schema = {"files": FILES, "chunks": CHUNKS}[name]
-        return self.spark.createDataFrame([], schema) if m is None else self.spark.read.schema(schema).parquet(f"{self.path.rstrip('/')}/{m['folder']}/{name}")
+        return None if m is None else (self.files if name == "files" else self.chunks).live(m[name])
 
-    def publish(self, files: DataFrame, chunks: DataFrame, identity: dict, partitions: int | None = None) -> dict:
-        """Writes both tables into a new folder, then the manifest."""
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        got = self.rows(name, manifest)
+        return self.spark.createDataFrame([], {"files": FILES, "chunks": CHUNKS}[name]) if got is None else got.drop(*VersionedTable.AT)
+
+    def publish(self, content: dict) -> dict:
+        """The next manifest of the store."""
         was = self.manifest()
         version = (was["version"] + 1) if was else 1
-        folder = f"v{version:09d}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.path.rstrip('/')}/{folder}"
-        for name, d in (("files", files), ("chunks", chunks)):
-            (d.repartition(partitions) if partitions else d).write.option("compression", "zstd").parquet(f"{base}/{name}")
-        m = {"version": version, "folder": folder, **identity}
+        m = {**content, "version": version}
         self._fs.mkdirs(self._p("manifests"))
         tmp = self._p(f".{uuid.uuid4().hex}")
         out = self._fs.create(tmp, False)
@@ -98,6 +111,13 @@ class Store:
             raise RuntimeError("another writer published this version")
         return m
 
+    def vacuum(self) -> None:
+        """Deletes what the newest manifest doesn't name. Nobody may read an older state meanwhile."""
+        m = self.manifest()
+        if m:
+            self.files.vacuum([m["files"]])
+            self.chunks.vacuum([m["chunks"]])
+
 
 def index(store: Store, root: str, embedder: Embedder, now: int, mode: str = "incremental", cutoff: float | None = None, zone: str = "UTC") -> dict:
     """One pass over a folder of notes; gives counts per status. Nothing is visible until all of it is written."""
@@ -109,34 +129,46 @@ def index(store: Store, root: str, embedder: Embedder, now: int, mode: str = "in
         mode, cutoff = "full", None
     elif m and (m["width"], m["model"]) != (identity["width"], identity["model"]) and mode != "full":
         raise ValueError("the vectors are of another model; index with mode full")
-    old_files, old_chunks = store.table("files", m), store.table("chunks", m)
-    broken = old_chunks.where("embedding is null").select("path")
-    todo = status(old_files, listing, mode, cutoff, broken)
-    read = notes_source.contents(todo.where("status in ('new', 'unread')"), root)
-    done = settled(read)
+    old_files, old_chunks = store.rows("files", m), store.rows("chunks", m)
+    known = store.table("files", m)
+    broken = None if old_chunks is None else old_chunks.where("embedding is null").select("path")
+    todo = written(status(known, listing, mode, cutoff, broken), "todo")
+    # every changed file is read once: its hash, its chunks and its counts are of the same bytes
+    done = written(settled(notes_source.contents(todo.where("status in ('new', 'unread')"), root)), "read")
     fresh = done.where("status in ('new', 'changed')")
     d = frontmatter.with_frontmatter(fresh.select("path", "mtime", "content")).drop("fields")
     d = d.withColumn("created_at", frontmatter.created_seconds(F.col("created_raw"), F.col("mtime"), zone))
-    made = chunking.chunked(d, carry=["created_at", "source"]).withColumn("embedding", embed_column(embedder)(F.col("body")))
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    gone = todo.where("status = 'removed'").select("path").unionByName(fresh.select("path"))
-    chunks = old_chunks.join(gone, "path", "left_anti").unionByName(made.select(*names))
+    made = chunking.chunked(d, carry=["created_at", "source"]).withColumn("embedding", embed_column(embedder)(F.col("body")))
+    made = written(made.select(*names), "chunks-made")
     touched = done.select("path", "mtime", "sha256", F.lit(now).cast("long").alias("indexed_at"))
-    kept = old_files.join(todo.where("status != 'same'").select("path"), "path", "left_anti")
-    store.publish(kept.unionByName(touched), chunks, identity)
+    gone = todo.where("status = 'removed'").select("path").unionByName(fresh.select("path")).distinct()
+    # a full pass begins its indexes anew, where no old row can be left over
+    whole = m is None or mode == "full"
+    out = None if old_chunks is None else written(old_chunks.join(gone, "path", "left_semi").select("id", *VersionedTable.AT), "chunks-gone")
+    before = lambda name: NOTHING if m is None else m[name]
+    at = {
+        "chunks": store.chunks.commit(made, out, base=before("chunks")),
+        "files": store.files.commit(touched, None if old_files is None else old_files.join(todo.where("status != 'same'").select("path"), "path", "left_semi"), base=before("files")),
+        "words": store.words.replace(made, None if out is None else out.select("id"), base=before("words")),
+    }
+    cells = store.vectors(embedder.width)
+    at["vectors"] = cells.rebuild(made, NOTHING) if whole else cells.replace(made, None if out is None else out.select("id"), base=before("vectors"))
+    store.publish({**at, **identity})
     counts = todo.where("status in ('same', 'removed')").select("status").unionByName(done.select("status")).groupBy("status").count().collect()
     return {r["status"]: r["count"] for r in counts}
 
 
 def compact(store: Store, partitions: int) -> dict:
-    """The current version again, in fewer and larger files."""
+    """The current state again, in fewer and larger files and without deletion vectors."""
     m = store.manifest()
     if m is None:
         raise ValueError("nothing to compact")
-    return store.publish(store.table("files", m), store.table("chunks", m), {k: v for k, v in m.items() if k not in ("version", "folder")}, partitions)
+    at = {"files": store.files.compact(m["files"], partitions), "chunks": store.chunks.compact(m["chunks"], partitions), "words": store.words.compact(m["words"])}
+    return store.publish({**m, **at})
 
 
-def doctor(files: DataFrame, chunks: DataFrame, width: int, ticks: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def doctor(files: DataFrame, chunks: DataFrame, width: int, ticks: DataFrame | None = None, events: DataFrame | None = None, words: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(check, count): what isn't as it should be; all counts are 0 in a sound store (orphans aside, which are only told)."""
     one = lambda d, name: d.agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("check"), "count")
     f = files.select("path").distinct()
@@ -148,6 +180,12 @@ def doctor(files: DataFrame, chunks: DataFrame, width: int, ticks: DataFrame | N
         one(files.groupBy("path").count().where("count > 1"), "paths more than once"),
         one(chunks.where(F.sha2(F.concat("path", F.lit("#"), F.col("ord").cast("string")), 256) != F.col("id")), "ids that don't fit path and number"),
     ]
+    # the indexes' live rows (id) against the chunks, both ways
+    ids = chunks.select("id").distinct()
+    with_vector = chunks.where(F.col("embedding").isNotNull()).select("id").distinct()
+    for name, held, want in (("word index", words, ids), ("vector index", vectors, with_vector)):
+        if held is not None:
+            out += [one(want.join(held.select("id"), "id", "left_anti"), f"chunks missing in the {name}"), one(held.select("id").join(want, "id", "left_anti"), f"rows of the {name} without chunk")]
     if ticks is not None:
         out.append(one(ticks.join(f, "path", "left_anti"), "counters without file"))
     if events is not None:
@@ -158,6 +196,14 @@ def doctor(files: DataFrame, chunks: DataFrame, width: int, ticks: DataFrame | N
     return d
 
 
+def examined(store: Store, ticks: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """``doctor`` of a store's current state, indexes included."""
+    m = store.manifest()
+    if m is None:
+        raise ValueError("nothing is indexed")
+    return doctor(store.table("files", m), store.table("chunks", m), m["width"], ticks, events, store.words.docs.live(m["words"]), store.vectors(m["width"]).rows.live(m["vectors"]))
+
+
 def overview(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: files, chunks, chunks with a vector, and the corpus' fingerprint."""
     blank = {"files": F.lit(None).cast("long"), "chunks": F.lit(None).cast("long"), "embedded": F.lit(None).cast("long"), "corpus_tree_sha256": F.lit(None).cast("string")}
@@ -166,7 +212,3 @@ def overview(files: DataFrame, chunks: DataFrame) -> DataFrame:
     b = chunks.agg(F.countDistinct("id").alias("chunks"), F.countDistinct(F.when(F.col("embedding").isNotNull(), F.col("id"))).alias("embedded"))
     rows = [d.select(*[F.col(n) if n in d.columns else blank[n].alias(n) for n in names]) for d in (a, b, fingerprint_tree(files))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.max(n).alias(n) for n in names])
-
-
-def word_index(store: Store, stem: bool = True) -> lexical.Index:
-    return lexical.build(store.table("chunks"), stem=stem)

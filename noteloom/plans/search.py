@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import snippet
-from ..models import Reranker, context_column, rerank_column
+from ..models import QUERY_PREFIX, Embedder, Reranker, context_column, embed_column, rerank_column
 from ..operators import fusing, lexical, rewriting, stages, vectors
+from ..session import written
+from .index import Store
 
 LEAST_POOL = 30
 MODES = ("hybrid", "bm25", "vec")
@@ -85,20 +87,38 @@ class Corpus:
     chunks: DataFrame
     index: lexical.Index
     width: int
+    #: Stored cells of the vectors and how many there are, where they may be searched approximately.
+    cells: Callable[[DataFrame, int], DataFrame] | None = None
+    stored: int = 0
+    #: What the state is known by: equal before and after a search, if nobody wrote in between.
+    state: Callable[[], object] = lambda: None
 
     @classmethod
     def of(cls, chunks: DataFrame, width: int, stem: bool = False) -> Corpus:
+        """A table of chunks, tokenised for this search. ids alone are made different before anything else moves."""
         once = chunks.where("id is not null").dropDuplicates(["id"])
         return cls(once, lexical.build(once, stem=stem), width)
 
+    @classmethod
+    def kept(cls, store: Store) -> Corpus:
+        """A store's current state, with its indexes as they are stored; nothing is tokenised or fitted."""
+        m = store.manifest()
+        if m is None:
+            raise ValueError("nothing is indexed")
+        cells = store.vectors(m["width"])
+        rows = cells.rows.live(m["vectors"])
+        near = lambda q, k: cells.search(q, k, version=m["vectors"])
+        return cls(store.table("chunks", m), store.words.index(m["words"]), m["width"], near, rows.count(), lambda: (store.manifest() or {}).get("version"))
+
 
 def retrieved(corpus: Corpus, queries: DataFrame, o: Options, terms: DataFrame | None = None) -> DataFrame:
     """Fused candidates with their ranks; queries has query_id, query and, unless mode is bm25, embedding."""
     none = F.lit(None)
     if o.mode != "vec":
-        lex = lexical.search(corpus.index, terms if terms is not None else lexical.plain_terms(queries, "query_id", "query"), o.depth)
+        lex = lexical.search(corpus.index, terms if terms is not None else lexical.plain_terms(queries, "query_id", "query", corpus.index.stem), o.depth)
     if o.mode != "bm25":
-        vec = vectors.exact(corpus.chunks, queries, o.depth, corpus.width)
+        whole = corpus.cells is None or vectors.use_exact(o.exact, corpus.stored)
+        vec = vectors.exact(corpus.chunks, queries, o.depth, corpus.width) if whole else corpus.cells(queries, o.depth)
     if o.mode == "hybrid":
         got = fusing.hybrid(lex, vec, o.pool)
         return got.withColumn("score", F.col("rrf"))
@@ -162,7 +182,7 @@ def smart_search(corpus: Corpus, queries: DataFrame, variants: DataFrame, o: Opt
     lists = rewriting.plan_lists(queries, variants)
     lex = lists.where("kind = 'lex'").withColumn("key", F.concat_ws("\x01", "query_id", "list_no"))
     vec = lists.where("kind != 'lex'").withColumn("key", F.concat_ws("\x01", "query_id", "list_no"))
-    a = lexical.search(corpus.index, lexical.plain_terms(lex, "key", "text"), o.pool)
+    a = lexical.search(corpus.index, lexical.plain_terms(lex, "key", "text", corpus.index.stem), o.pool)
     b = vectors.exact(corpus.chunks, vec, o.pool, corpus.width, query_id="key")
     named = lambda d: d.select(F.split_part("query_id", F.lit("\x01"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("\x01"), F.lit(2)).cast("int").alias("list_no"), "id", "rank")
     got = fusing.fused(named(a).unionByName(named(b)), o.pool)
@@ -214,10 +234,43 @@ def with_event_ids(hits: DataFrame, run: dict) -> DataFrame:
     return d.withColumn("event_id", event_ids(F.lit(run["pipeline_id"]), F.lit(run["corpus_sha256"]), "path", F.lit(run["returned"]), F.lit(run["scope_elided"]), ranks))
 
 
-#: A search that may fail over: the smart one, then the plain reranked one.
-def with_fallback(smart: Callable[[], DataFrame], plain: Callable[[], DataFrame]) -> DataFrame:
-    """The first of two plans that can be made; only planning errors count."""
+def embedded_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
+    """queries (query_id, query) with embedding: the query as the model wants queries, not documents."""
+    return queries.withColumn("embedding", embed_column(embedder, QUERY_PREFIX)(F.col("query")))
+
+
+def smart_or_plain(corpus: Corpus, queries: DataFrame, variants: Callable[[], DataFrame], o: Options, reranker: Reranker) -> tuple[DataFrame, str | None]:
+    """The smart search's hits, or, where its models fail, the plain reranked search's and what went wrong.
+
+    Models run inside the plan, so the smart search is carried out here and its hits, at most limit per query, are
+    written; only then is it known to have worked.
+    """
     try:
-        return smart()
-    except Exception:  # noqa: BLE001 - any failure of the optional model means the plain search
-        return plain()
+        return written(smart_search(corpus, queries, variants(), o, reranker), "smart-hits"), None
+    except ValueError:
+        raise  # options that contradict each other are the caller's
+    except Exception as e:  # noqa: BLE001 - whatever an optional model does, the plain search answers
+        return search(corpus, queries, replace(o, smart=False, rerank=True), reranker), f"{type(e).__name__}: {str(e)[:200]}"
+
+
+def with_provenance(corpus: Corpus, queries: DataFrame, o: Options, reranker: Reranker, run: dict) -> tuple[DataFrame, dict]:
+    """The hits of one query with the ids that bind their ranks, and the run's identity; ValueError where the index changed meanwhile.
+
+    run has what the caller knows of the identity (models, versions, fingerprints); counts and limits are filled in.
+    """
+    from ..operators.provenance import pipeline_id, run_checks, scope_policy
+
+    replace(o, tick_provenance=True).check()
+    before = corpus.state()
+    hits = written(search(corpus, queries, o, reranker), "hits")
+    n = hits.count()
+    pool = written(retrieved(corpus, queries, o), "pool").count()
+    cut = search(corpus, queries, replace(o, exclude=()), reranker).count() - n if o.exclude else 0
+    if corpus.state() != before:
+        raise ValueError("the index changed during the search")
+    full = {**run, "limit": o.limit, "source_limit": o.depth, "fusion_limit": o.pool, "candidate_pool": pool, "rerank_cap": min(stages.rerank_cap(o.limit, o.pool, False), pool), "returned": n, "scope_elided": cut, "scope_policy": scope_policy(list(o.exclude)), "full_body": True, "note_level": True, "metadata_filters": False, "exact_requested": True, "cwd_scope": bool(o.exclude)}
+    full["pipeline_id"] = pipeline_id(full)
+    for name, ok in run_checks(full):
+        if not ok:
+            raise ValueError(f"check failed: {name}")
+    return with_event_ids(hits, full), full

@@ -79,11 +79,25 @@ REPORT = {"schema_version", "config", "provenance", "aggregate", "queries"}
 QUERY = {"query", "cohort", "is_negative", "precision_at_k", "recall_at_k", "reciprocal_rank_at_k", "ndcg_at_k", "top_score", "returned", "ranked", "found", "missing"}
 
 
+#: The fields of a report's parts.
+CONFIG = {
+    "k", "mode", "fusion_policy", "fusion_candidate_pool", "rerank", "rerank_policy", "score_floor", "exact_requested", "vector_backend", "automatic_exact_cutoff", "score_kind", "result_policy", "note_level", "adaptive_cutoff",
+    "index_refresh", "cwd_scope",
+}
+PROVENANCE = {"version", "binary_sha256", "labels_sha256", "index"}
+AGGREGATE = {
+    "mean_precision_at_k", "mean_recall_at_k", "mrr_at_k", "mean_ndcg_at_k", "n_positive", "n_negative", "n_graded", "n_positive_with_top_score", "n_negative_with_top_score", "mean_top_score_positive", "mean_top_score_negative", "top_score_delta",
+}
+
+
 def report(content: str) -> dict:
-    """A report; ValueError for unknown or missing fields."""
+    """A report; ValueError for unknown or missing fields, in its parts as well."""
     r = json.loads(content)
     if not isinstance(r, dict) or set(r) != REPORT:
         raise ValueError(f"a report has the fields {sorted(REPORT)}")
+    for part, fields in (("config", CONFIG), ("provenance", PROVENANCE), ("aggregate", AGGREGATE)):
+        if not isinstance(r[part], dict) or set(r[part]) != fields:
+            raise ValueError(f"{part} has unknown or missing fields: {sorted(set(r[part]) ^ fields) if isinstance(r[part], dict) else part}")
     for q in r["queries"]:
         if set(q) - QUERY or not {"query", "is_negative"} <= set(q):
             raise ValueError("a query's report has unknown or missing fields")

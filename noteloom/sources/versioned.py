@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
+#: The base of a commit that goes on from no version.
+NOTHING = -1
+
+
 class VersionedTable:
     """A table under ``path`` with one row per ``key`` (a column that isn't null) in every version.
 
@@ -88,27 +92,45 @@ class VersionedTable:
         key = next(f for f in self._schema(m) if f.name == self.key)
         return self._read(m["vectors"] if files is None else files, StructType([StructField(self.key, key.dataType), StructField("__file", StringType()), StructField("__pos", LongType())]))
 
-    def commit(self, added: DataFrame, gone: DataFrame | None = None, processed: int | None = None) -> int:
-        """A new version: the rows of added are new, those that gone names (key and AT, as read by ``live``) are no more."""
+    def commit(self, added: DataFrame, gone: DataFrame | None = None, processed: int | None = None, base: int | None = None, note: str | None = None) -> int:
+        """A new version: the rows of added are new, those that gone names (key and AT, as read by ``live``) are no more.
+
+        It goes on from version base, by default the last one: who keeps several tables in step names the version that
+        they had together (NOTHING for none), and what a writer left behind that died in between is passed over.
+        """
         last = self.versions()
         version = last[-1] + 1 if last else 0
-        old = self.manifest(last[-1]) if last else {"data": [], "vectors": [], "schema": None, "compacted": None}
+        old = self.manifest(last[-1] if base is None else base) if last and base != NOTHING else {"data": [], "vectors": [], "schema": None, "compacted": None}
         tag = uuid.uuid4().hex
-        content = {"schema": old["schema"] or json.loads(added.schema.json()), "vectors": old["vectors"], "processed": processed, "compacted": old["compacted"]}
+        content = {"schema": old["schema"] or json.loads(added.schema.json()), "vectors": old["vectors"], "processed": processed, "compacted": old["compacted"], "note": note}
         content["data"] = [*old["data"], *self._write(added, f"data/{version}-{tag}", version)]
         if gone is not None:
             content["vectors"] = [*old["vectors"], *self._write(gone.select(self.key, *self.AT), f"vectors/{version}-{tag}", version)]
         self._publish(version, content)
         return version
 
-    def compact(self) -> int:
-        """The last version's rows again, in fresh files and without vectors: a version that changes no record."""
-        last = self.versions()[-1]
-        old, version = self.manifest(last), last + 1
-        files = self._write(self.live(last).drop(*self.AT), f"data/{version}-{uuid.uuid4().hex}", version)
+    def compact(self, base: int | None = None, partitions: int | None = None) -> int:
+        """A version's rows again (by default the last one's), in fresh files and without vectors: a version that changes no record."""
+        last = self.versions()[-1] if base is None else base
+        old, version = self.manifest(last), self.versions()[-1] + 1
+        rows = self.live(last)
+        files = self._write((rows.coalesce(partitions) if partitions else rows).drop(*self.AT), f"data/{version}-{uuid.uuid4().hex}", version)
         self._publish(version, {**old, "data": files, "vectors": [], "compacted": version})
         return version
 
+    def vacuum(self, keep: Iterable[int]) -> None:
+        """Deletes all versions but those of keep, and all files that none of these names. Nobody may read or write the table meanwhile."""
+        keep = set(keep)
+        kept = [self.manifest(v) for v in keep]
+        named = {f["name"].rsplit("/", 1)[0] for m in kept for f in [*m["data"], *m["vectors"]]}
+        for v in set(self.versions()) - keep:
+            self._fs.delete(self._at(f"manifests/{v:012d}.json"), False)
+        for kind in ("data", "vectors"):
+            if self._fs.exists(self._at(kind)):
+                for s in self._fs.listStatus(self._at(kind)):
+                    if f"{kind}/{s.getPath().getName()}" not in named:
+                        self._fs.delete(s.getPath(), True)
+
     def live(self, version: int | None = None) -> DataFrame:
         """The rows of a version (the last by default), each with its AT. Deleted positions are few beside the rows, so taking them out is a filter as a rule."""
         m = self.manifest(self.versions()[-1] if version is None else version)

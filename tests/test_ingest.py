@@ -71,14 +71,138 @@ def test_store(spark, tmp_path):
         index.index(store, str(root), HashedBagEmbedder(8), 5)
     version = index.compact(store, 1)["version"]
     assert version == 5 and store.table("files").count() == 2
-    bad = {r["check"]: r["count"] for r in index.doctor(store.table("files"), store.table("chunks"), 16).collect()}
-    assert set(bad.values()) == {0}
+    bad = {r["check"]: r["count"] for r in index.examined(store).collect()}
+    assert set(bad.values()) == {0} and "rows of the vector index without chunk" in bad
+    store.vacuum()
+    assert store.table("chunks").count() == 1
+    lost = {r["check"]: r["count"] for r in index.doctor(store.table("files"), store.table("chunks"), 16, words=store.table("chunks").limit(0), vectors=spark.createDataFrame([("ghost",)], "id string")).collect()}
+    assert (lost["chunks missing in the word index"], lost["rows of the vector index without chunk"], lost["chunks missing in the vector index"]) == (1, 1, 1)
     o = index.overview(store.table("files"), store.table("chunks")).first()
     assert (o.files, o.chunks, o.embedded) == (2, 1, 1)
     inbox = spark.createDataFrame([("00-Inbox/x.md", "# Tt", 5), ("00-Inbox/y/z.md", "", 5), ("00-Inbox/w.md", "", 1)], "path string, content string, created long")
     assert [tuple(r) for r in notes.inbox(inbox, 2).collect()] == [("00-Inbox/x.md", "Tt")]
 
 
+def test_search_in_a_store_is_that_in_its_chunks(spark, tmp_path):
+    root = tmp_path / "notes"
+    root.mkdir()
+    for i in range(12):
+        (root / f"n{i}.md").write_text(f"# Note {i}\n\n{'solar panels ' if i % 2 else 'wind turbines '}{'roofs ' * (i % 3)}number {i}")
+    store, model = index.Store(spark, f"file://{tmp_path}/store"), HashedBagEmbedder(32)
+    index.index(store, str(root), model, 1)
+    q = spark.createDataFrame([("q", "solar roof"), ("r", "turbine"), ("none", "zzz")], "query_id string, query string")
+    q = search.embedded_queries(q, model)
+    rows = lambda c, **o: sorted(tuple(r) for r in search.search(c, q, search.Options(exhaustive=True, **o)).select("query_id", "pos", "chunk_id", "bm25_rank", "cosine_rank").collect())
+    for step in range(3):
+        if step == 1:
+            (root / "n3.md").write_text("# Note 3\n\nturbines only")
+            os.utime(root / "n3.md", (7, 7))
+            (root / "n5.md").unlink()
+            (root / "new.md").write_text("solar roofing")
+            assert index.index(store, str(root), model, 2) == {"same": 10, "changed": 1, "removed": 1, "new": 1}
+        if step == 2:
+            index.compact(store, 1)
+        corpus = search.Corpus.kept(store)
+        fresh = search.Corpus.of(store.table("chunks"), 32, stem=True)
+        assert rows(corpus) == rows(fresh) and {r[0] for r in rows(corpus, mode="bm25")} == {"q", "r"}
+    # the approximate search is taken where there is much and nobody asks for the exact one
+    corpus.stored = 10**6
+    assert rows(corpus) == rows(fresh)
+    seen = []
+    corpus.cells = lambda d, k: seen.append(k) or store.vectors(32).search(d, k)
+    rows(corpus, exact=True)
+    assert not seen
+    rows(corpus)
+    assert seen == [120]
+    assert index.index(store, str(root), model, 3, "full") == {"changed": 12} and set(r["count"] for r in index.examined(store).collect()) == {0}
+    # a pass that dies before its manifest changes nothing, and its repeat is whole
+    (root / "n7.md").write_text("# Note 7\n\nbatteries")
+    os.utime(root / "n7.md", (9, 9))
+    publish, store.publish = store.publish, lambda c: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError, match="lost"):
+        index.index(store, str(root), model, 4)
+    store.publish = publish
+    assert store.table("chunks").where("body like '%batteries%'").count() == 0
+    assert index.index(store, str(root), model, 4) == {"same": 11, "changed": 1}
+    assert store.table("chunks").where("path = 'n7.md'").count() == 1 and set(r["count"] for r in index.examined(store).collect()) == {0}
+
+
+def test_evaluation_smart_search_and_provenance(spark, tmp_path):
+    from noteloom.operators.provenance import IDENTITY
+    from noteloom.plans import evaluate, gate
+    from noteloom.sources import labels
+
+    root = tmp_path / "notes"
+    root.mkdir()
+    words = ["solar panels", "wind turbines", "tide mills", "heat pumps", "roof tiles"]
+    for i, w in enumerate(words):
+        (root / f"n{i}.md").write_text(f"# {w}\n\n{w} and more about {w}")
+    store, model = index.Store(spark, f"file://{tmp_path}/store"), HashedBagEmbedder(32)
+    index.index(store, str(root), model, 1)
+    corpus = search.Corpus.kept(store)
+    content = "\n".join(json.dumps({"query": w, "cohort": f"c{i % 2}", "relevant": [{"path": f"n{i}.md", "grade": 2}]}) for i, w in enumerate(words))
+    got = evaluate.report(corpus, store.table("files"), content, search.Options(limit=10, exact=True), model)
+    assert labels.report(json.dumps(got)) == got and got["aggregate"]["mean_ndcg_at_k"] == 1.0 and got["queries"][2]["ranked"][0] == "n2.md"
+    again = json.loads(json.dumps(got))
+    again["config"]["fusion_policy"] = "other"
+    assert not gate.compare(got, again)["accepted"] and gate.compare(got, again)["checks"]["candidate_is_distinct_fusion_policy"]
+    with pytest.raises(ValueError, match="unknown or missing"):
+        labels.report(json.dumps({**got, "config": {**got["config"], "odd": 1}}))
+    for bad in (search.Options(mode="bm25", exact=True), search.Options(since=1), search.Options(limit=2000)):
+        with pytest.raises(ValueError):
+            evaluate.report(corpus, store.table("files"), content, bad, model)
+    with pytest.raises(ValueError, match="aren't indexed"):
+        evaluate.report(corpus, store.table("files"), '{"query":"x","relevant":["gone.md"]}', search.Options(), model)
+
+    q = search.embedded_queries(spark.createDataFrame([("q", "wind turbines")], "query_id string, query string"), model)
+    none = spark.createDataFrame([("q", 2, "lex", "turbines", None)], "query_id string, list_no int, kind string, text string, embedding array<float>")
+    hits, trouble = search.smart_or_plain(corpus, q, lambda: none, search.Options(), SharedWordsReranker())
+    assert trouble is None and hits.first().path == "n1.md"
+
+    class Flaky(SharedWordsReranker):
+        def score(self, queries, documents):
+            if not os.path.exists(flag):
+                open(flag, "w").close()
+                raise RuntimeError("no weights")
+            return super().score(queries, documents)
+
+    flag = str(tmp_path / "tried")
+    hits, trouble = search.smart_or_plain(corpus, q, lambda: none, search.Options(), Flaky())
+    assert "no weights" in trouble or "PythonException" in trouble
+    assert hits.orderBy("pos").first().path == "n1.md" and hits.orderBy("pos").first().cosine is not None
+
+    known = {"schema_version": 1, "binary_version": "1", "binary_sha256": "a" * 64, "corpus_sha256": "b" * 64, "indexed_files": 5, "indexed_chunks": 5, "embedded_chunks": 5, "embed_model": "m", "embed_dims": 32, "chunk_version": "1", "tantivy_version": "1", "fusion_policy": "rrf_k60", "fusion_candidate_pool": "u", "vector_backend": "exact", "automatic_exact_cutoff": 10, "rerank_model": "r", "rerank_policy": "p", "relevance_policy": "q", "index_refresh_requested": False, "index_refresh_succeeded": False, "result_policy": "n"}
+    o = search.Options(full=True, rerank=True, exact=True, limit=5)
+    hits, run = search.with_provenance(corpus, q, o, SharedWordsReranker(), known)
+    assert hits.count() == run["returned"] and set(IDENTITY) <= set(run) and len(hits.first().event_id) == 64
+    moved = iter(range(9))
+    corpus.state = lambda: next(moved)
+    with pytest.raises(ValueError, match="changed"):
+        search.with_provenance(corpus, q, o, SharedWordsReranker(), known)
+
+
+def test_capture_and_filing(tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 5, 1, 10, 30, 5)
+    root = str(tmp_path)
+    p = notes.captured(root, "Über: Plan 9!", at, body="  text ", source="web", fields='{"b": [1, "x"], "a_1": {"k": null}}')
+    assert p == "00-Inbox/20240501-103005-ber-plan-9.md"
+    assert (tmp_path / p).read_text() == '---\ncreated: 2024-05-01T10:30\nstatus: inbox\nsource: web\na_1: {"k": null}\nb: [1, "x"]\n---\n\n# Über: Plan 9!\n\ntext\n'
+    for bad in ('{"status": 1}', "[1]", '{"a b": 1}', json.dumps({"a": "x" * 70_000})):
+        with pytest.raises(ValueError):
+            notes.captured(root, "t", at, fields=bad)
+    with pytest.raises(FileExistsError):
+        notes.captured(root, "Über: Plan 9!", at)
+    old, new = notes.filed(root, p, "10-Projects/garden", dt.datetime(2024, 6, 2, 8, 5))
+    assert (old, new) == (p, "10-Projects/garden/20240501-103005-ber-plan-9.md") and not (tmp_path / p).exists()
+    text = (tmp_path / new).read_text()
+    assert text.startswith("---\ncreated: 2024-05-01T10:30\nstatus: active\nsource: web\n") and "\npara: project\nmodified: 2024-06-02T08:05\n---\n\n# Über" in text
+    assert notes.enriched("plain\n", {"status": "active"}) == "---\nstatus: active\n---\n\nplain\n"
+    os.symlink(tmp_path / "10-Projects", tmp_path / "alias")
+    assert notes.relative(root, str(tmp_path / "10-Projects/x.md")) == "10-Projects/x.md" and notes.relative(str(tmp_path / "alias"), str(tmp_path / "10-Projects/x.md")) == "x.md"
+
+
 def test_fingerprints(spark):
     f = spark.createDataFrame([("b", "2"), ("a", "1"), ("a", "1"), (None, "3")], "path string, sha256 string")
     want = hashlib.sha256(b"a\x001\nb\x002\n").hexdigest()
@@ -114,7 +238,8 @@ def test_context_never_skips_a_neighbour():
     size = len
     assert fit_context("c", ["a1", "a2"], ["b1"], 100, size) == "a1\n\na2\n\nc\n\nb1"
     assert fit_context("c", ["tiny", "x" * 50], ["b"], 10, size) == "c\n\nb"
-    assert fit_context("c" * 50, ["a"], [], 10, size) == "c" * 35
+    assert fit_context("c" * 50, ["a"], [], 10, size) == "c" * 50
+    assert fit_context("c", ["a"], ["b"], 6, size) == "a\n\nc" and fit_context("c", [], ["b", "d"], 7, size) == "c\n\nb\n\nd"
 
 
 def test_export(spark, tmp_path):

@@ -140,11 +140,12 @@ def test_cells_reach_recall(spark):
     placed = placed.cache()
     assert placed.count() == 1500
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    hit = 0
-    for i in range(8):
-        want = {f"{j:032x}" for j in np.argsort(-(u @ u[i]))[:10]}
-        hit += len(want & {r.id for r in vectors.approximate(c, placed, m[i].tolist(), 10, 8).collect()})
-    assert hit / 80 >= 0.9
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)] + [(99, [0.0] * 16), (98, None)], "query_id int, embedding array<float>")
+    got = {}
+    for r in vectors.approximate(c, placed, q, 10, 16, 8).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert set(got) == set(range(40)) and all(len(x) == 10 for x in got.values())
+    assert sum(len({f"{j:032x}" for j in np.argsort(-(u @ u[i]))[:10]} & got[i]) for i in range(40)) / 400 >= 0.98
 
 
 def test_variants(spark):
