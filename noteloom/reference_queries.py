@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frontmatter, numbers, text
+from .models import SharedWordsReranker
 from .operators import changes, chunking, fusing, lexical, provenance, rewriting, stages, usage, vectors
-from .plans import evaluate, index, search
-from .session import table
-from .sources import notes
+from .plans import evaluate, index, search, stores
+from .session import place, table, written
+from .sources import events, notes
 
 WIDTH, LIMIT, POOL = 64, 10, 40
 #: Cells of approximate search, and how many of them a query reads.
-CELLS, PROBES = 16, 14
+CELLS, PROBES = 64, 12
 CUTOFF, WORDS = 1_650_000_000, ["archive", "kiln"]
 
 
@@ -74,7 +75,68 @@ def search_notes(spark: SparkSession, d: str) -> DataFrame:
 def search_tidy(spark: SparkSession, d: str) -> DataFrame:
     """The plain search as it is by default, with the adaptive cut."""
     got = search.search(_corpus(spark, d), _queries(spark, d), search.Options())
-    return got.select("query_id", "pos", "chunk_id", "path", "siblings")
+    return got.select("query_id", "pos", "chunk_id", "path", "siblings", "relevance", "body", "rerank")
+
+
+_STORES: dict = {}
+
+
+def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, stores.WordStore]:
+    """The chunk table and its stored word index, made once per session and folder: later searches only read them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        c = written(_chunks(spark, d), "stored-chunks")
+        words = stores.WordStore(spark, place(spark, "words"), stem=False)
+        words.replace(c)
+        _STORES[key] = (c, words)
+    return _STORES[key]
+
+
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """search_notes with the word index stored before the search."""
+    c, words = _kept(spark, d)
+    got = search.search(search.Corpus(c, words.index(), WIDTH), _queries(spark, d), search.Options(exhaustive=True))
+    return got.select("query_id", "pos", "chunk_id", "path", F.round(F.col("rrf").cast("double"), 8).alias("rrf"), "snippet", "siblings")
+
+
+def word_store(spark: SparkSession, d: str) -> DataFrame:
+    """The live rows of a stored word index after one folder was deleted and another one's bodies were replaced by their headings."""
+    c = _chunks(spark, d)
+    words = stores.WordStore(spark, place(spark, "words"), stem=False)
+    words.replace(c)
+    words.delete(c.where("startswith(path, '30-Resources/')").select("id"))
+    words.replace(c.where("startswith(path, '40-Archive/')").withColumn("body", F.col("heading_path")))
+    words.compact()
+    p = words.index()
+    tf = p.postings.groupBy("id").agg(F.sum("tf").alias("postings"))
+    return p.lengths.groupBy("id").agg(F.sum("len").cast("long").alias("words")).join(tf, "id", "left").select("id", "words", F.coalesce("postings", F.lit(0)).cast("long").alias("postings"))
+
+
+#: Queries in the query syntax: a required word, a phrase, an excluded word, a word of one field.
+SYNTAX = {"must": "+firewall rule", "phrase": '"thesis chapter"', "not": "kiln -archive", "field": "heading:risks ledger", "and": "roof AND tile"}
+
+
+def query_syntax(spark: SparkSession, d: str) -> DataFrame:
+    got = lexical.search(lexical.build(_chunks(spark, d)), lexical.query_terms(spark, SYNTAX), LIMIT)
+    return got.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+def smart_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored query with two variants made by a rule, reranked against the original by the words they share."""
+    q = _queries(spark, d)
+    e = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
+    none = F.lit(None).cast("array<float>")
+    v = q.join(e, "query_id", "left")
+    two = v.select("query_id", F.lit(2).alias("list_no"), F.lit("lex").alias("kind"), F.concat("query", F.lit(" archive")).alias("text"), none.alias("embedding"))
+    three = v.select("query_id", F.lit(3).alias("list_no"), F.lit("hyde").alias("kind"), F.lit("a passage").alias("text"), F.col("other").alias("embedding"))
+    got = search.smart_search(search.Corpus.of(_chunks(spark, d), WIDTH), q, two.unionByName(three), search.Options(), SharedWordsReranker())
+    return got.select(F.col("query_id").cast("long").alias("query_id"), "pos", "chunk_id", "path", "rerank_rank", F.round(F.col("rrf").cast("double"), 8).alias("rrf"))
+
+
+def suggested_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Where a note that says what the first stored query says may belong."""
+    q = _queries(spark, d).where("embedding is not null").orderBy("query_id").limit(1)
+    return search.suggested_folders(search.Corpus.of(_chunks(spark, d), WIDTH), "30-Resources/none.md", q, notes.folders(table(spark, d, "files"))).select("folder", F.round(F.col("score").cast("double"), 8).alias("score"), "pos")
 
 
 def since_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +227,9 @@ def cohort_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unknown_paths(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.unknown_paths(_qrels(spark, d), table(spark, d, "files"), table(spark, d, "chunks"))
+    """Judgments of the runs' notes and of the exported notes, some of which aren't indexed or have no chunk."""
+    more = table(spark, d, "documents").where("note_path is not null").select(F.lit(0).cast("long").alias("query_id"), F.col("note_path").alias("path"), F.lit(1).alias("grade"))
+    return evaluate.unknown_paths(_qrels(spark, d).unionByName(more), table(spark, d, "files"), table(spark, d, "chunks"))
 
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +261,9 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_problems(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.event_problems(table(spark, d, "tick_events")).select("run_id", "path", "final_rank", F.array_join("problems", ", ").alias("problems"))
+    """Two runs at a time logged under one number, so that paths and ranks come twice."""
+    e = table(spark, d, "tick_events").withColumn("run_id", F.expr("run_id div 2"))
+    return provenance.event_problems(e).select("run_id", "path", "final_rank", F.array_join("problems", ", ").alias("problems"))
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
@@ -228,6 +294,45 @@ def overview(spark: SparkSession, d: str) -> DataFrame:
     return index.overview(_base(spark, d), table(spark, d, "chunks"))
 
 
+def settled_status(spark: SparkSession, d: str) -> DataFrame:
+    """snapshot_diff once the hashes of the paths that had to be read are known."""
+    old = table(spark, d, "files").where("path is not null").groupBy("path").agg(F.max(F.struct(F.col("indexed_at"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"), F.lower("sha256").alias("sha256"))).alias("b")).select("path", "b.mtime", "b.sha256")
+    new = table(spark, d, "vault_walk").where("run_id = 12 and path is not null").groupBy("path").agg(F.max(F.struct(F.col("seen_at"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"), F.lower("sha256").alias("sha256"))).alias("b")).select("path", "b.mtime", "b.sha256")
+    got = index.status(old, new.select("path", "mtime")).join(new.select("path", "sha256"), "path", "left")
+    return index.settled(got).select("path", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
+def usage_days(spark: SparkSession, d: str) -> DataFrame:
+    return usage.with_days(_ticks(spark, d), "first_used", "last_used").select("path", "first_used_day", "last_used_day")
+
+
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of four kinds, made of the log by a rule, read as events."""
+    p, k = F.col("path"), F.col("run_id") % 4
+    line = F.when(k == 0, F.concat(F.lit('{"type":"note","path":"'), p, F.lit('"}'))).when(k == 1, F.concat(F.lit('{"type":"log","level":"info","message":"'), p, F.lit('"}'))).when(k == 2, p).otherwise(F.concat(F.lit('{"type":"odd","path":"'), p, F.lit('"}')))
+    e = table(spark, d, "tick_events").where("path is not null").select(line.alias("value"))
+    return events.of_lines(e).select("type", "level", "message", "path", "action", "raw")
+
+
+def inbox_notes(spark: SparkSession, d: str) -> DataFrame:
+    return notes.inbox(table(spark, d, "documents").select(F.col("note_path").alias("path"), F.col("text").alias("content")))
+
+
+def extension_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return notes.sizes(table(spark, d, "documents").select(F.col("note_path").alias("path"), F.col("n_chars").alias("length")))
+
+
+def created_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """Local minutes of one zone; what isn't one takes the time of change, here 0."""
+    f = table(spark, d, "frontmatter").where("created is not null").distinct()
+    return f.select("path", "created", frontmatter.created_seconds(F.col("created"), F.lit(0.0), "Europe/Berlin").alias("created_at"))
+
+
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.truncated(t, 80).alias("short"), text.human_size(F.col("n_chars") * 1000).alias("size"), F.md5(text.note_text(t)).alias("head"), text.producer_key(F.col("source")).alias("producer"), text.folder_of(text.kind_of(text.bucket(F.col("note_path")))).alias("folder"))
+
+
 def path_functions(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
     c = _chunks(spark, d)
@@ -268,6 +373,17 @@ def chunk_notes(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunked(n)
 
 
+def chunk_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a note's chunks: numbers from 0 on, ids that are their hashes, and no word of the note lost; list numbers and the names on code fences aren't kept."""
+    n = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    c = chunking.chunked(n).where("kind = 0")
+    told = F.array_distinct(F.flatten(F.collect_list(F.concat(text.tokens(F.col("body")), text.tokens(F.col("heading_path"))))))
+    g = c.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("last"), F.min("ord").alias("first"), F.bool_and(numbers.chunk_id(F.col("path"), F.col("ord")) == F.col("id")).alias("ids_fit"), told.alias("told"))
+    plain = F.regexp_replace(text.without_frontmatter(F.col("content")), "(?m)^ *```.*$", "")
+    words = F.filter(F.array_distinct(text.tokens(plain)), lambda w: w.rlike(r"^\p{L}+$"))
+    return g.join(n, "path").select("path", ((F.col("first") == 0) & (F.col("last") == F.col("n") - 1)).alias("in_order"), "ids_fit", (F.size(F.array_except(words, "told")) == 0).alias("words_kept"))
+
+
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
     """An expander's lines, made from the query by a rule: one that shares words, one that drifts, one passage."""
     q = table(spark, d, "tick_runs").where("query_text is not null").select(F.col("id").alias("query_id"), F.col("query_text").alias("query")).distinct()
@@ -276,12 +392,12 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate search for every vector whose id is divisible by 20, and whether it finds what the exact scan finds: recall of 0.98."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0")
-    c, placed = vectors.cells(e, WIDTH, CELLS, key="vec_id")
-    near = vectors.approximate(c, placed, q, LIMIT, WIDTH, PROBES, query_id="vec_id")
-    true = vectors.exact(e, q, LIMIT, WIDTH, key="vec_id", query_id="vec_id")
+    """Approximate search for every chunk whose id, read as a number, is divisible by 20, and whether it finds what the exact scan finds: recall of 0.98."""
+    c = _chunks(spark, d).where(numbers.usable(F.col("embedding"), WIDTH)).select("id", "embedding")
+    q = c.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("long") % 20 == 0)
+    centres, placed = vectors.cells(c, WIDTH, CELLS)
+    near = vectors.approximate(centres, placed, q, LIMIT, WIDTH, PROBES, query_id="id")
+    true = vectors.exact(c, q, LIMIT, WIDTH, query_id="id")
     both = true.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.98 * F.count(F.lit(1))).alias("recall_98"))
 
@@ -294,7 +410,8 @@ def hourly_use(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    bm25_topk, cosine_topk, hybrid_rrf, search_notes, search_tidy, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
+    bm25_topk, cosine_topk, hybrid_rrf, search_notes, search_stored, search_tidy, word_store, query_syntax, smart_search, suggested_folders, settled_status, usage_days, event_lines, inbox_notes, extension_sizes,
+    created_minutes, text_functions, chunk_rules, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
     variant_fusion, eval_metrics, eval_aggregate, cohort_delta, unknown_paths, tick_counters, fame, rank_report, usage_merge, orphans, event_problems, snapshot_diff, corpus_fingerprint, fingerprint_tree, doctor, overview,
     path_functions, chunk_ids, folder_list, unit_vectors, unembedded_paths, frontmatter_fields, note_titles, chunk_notes, query_variants, ivf_topk, hourly_use,
 )
@@ -353,9 +470,22 @@ _EVAL = f"""{_HITS}, {_NOTE},
 qrel AS (SELECT DISTINCT query_id, path, length(path) % 4 AS grade FROM h), rel AS (SELECT * FROM qrel WHERE grade > 0), qq AS (SELECT DISTINCT query_id FROM h),
 ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN k <= 10 THEN round((2 ** grade - 1) / log2(k + 1), 12) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, path) AS k FROM rel) GROUP BY 1),
 {_eval_sql("a", "pos")}"""
+_TIDY = """bad AS (SELECT query_id, n, bool_or(s <= 0 OR (nx IS NOT NULL AND (nx <= 0 OR nx > s))) AS bad, coalesce(max(CASE WHEN bm25_rank <= 3 OR cosine_rank <= 3 THEN pos END), 0) AS champion FROM t GROUP BY ALL),
+            g AS (SELECT query_id, pos, n, CASE WHEN nx > 0 AND s > 0 THEN ln(s / nx) END AS gap FROM t), c AS (SELECT query_id, median(gap) AS center FROM g GROUP BY 1),
+            m AS (SELECT query_id, center, median(abs(gap - center)) AS mad, max((gap, pos)) FILTER (pos >= 3 AND n - pos >= 3 AND gap IS NOT NULL) AS knee FROM g JOIN c USING (query_id) GROUP BY ALL),
+            td AS (SELECT query_id, CASE WHEN NOT bad AND n >= 6 AND knee[1] > greatest(ln(10.0::DOUBLE / 9), center + 3 * 1.4826 * mad) AND champion <= knee[2] THEN knee[2] ELSE n END::INT AS keep, n::INT AS n FROM bad JOIN m USING (query_id))"""
+_T = "SELECT *, rrf::DOUBLE AS s, lead(rrf::DOUBLE) OVER (PARTITION BY query_id ORDER BY pos) AS nx, count(*) OVER (PARTITION BY query_id) AS n FROM h WHERE pos <= 10"
+#: The lines of a text, the number of the line that closes its frontmatter (0 for none), and the text without it.
+_FRONT = """ln AS (SELECT *, string_split(text, chr(10)) AS l FROM documents),
+            fm AS (SELECT *, CASE WHEN l[1] IN ('---', '---' || chr(13)) THEN coalesce(list_position(list_transform(l[2:], lambda x: regexp_replace(x, '\\s+$', '')), '---'), 0) ELSE 0 END AS z FROM ln),
+            bo AS (SELECT *, CASE WHEN z > 0 THEN array_to_string(l[z + 2:], chr(10)) ELSE text END AS body, CASE WHEN z > 0 THEN l[2:z] ELSE [] END AS front FROM fm)"""
+_TITLE = "coalesce(nullif(trim(regexp_extract({1}, '(?m)^# ([^\\r\\n]*)', 1)), ''), regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '\\.[^.]*$', ''))"
+_OFF = "(epoch(timezone('Europe/Berlin', to_timestamp({0})))::BIGINT - ({0}))"
 _TICKS = "ev AS (SELECT DISTINCT * FROM tick_events), ru AS (SELECT DISTINCT id, pipeline_id, corpus_sha256, ts FROM tick_runs), tk AS (SELECT path, count(*) AS count, min(ts) AS first_used, max(ts) AS last_used FROM ev JOIN ru ON ru.id = ev.run_id WHERE path IS NOT NULL GROUP BY path)"
 _FAME = "fm AS (SELECT *, path NOT IN (SELECT path FROM files WHERE path IS NOT NULL) AS missing FROM tk ORDER BY count DESC, last_used DESC, path LIMIT 20)"
 _BASE = "ok AS (SELECT started_at, finished_at FROM index_runs WHERE status = 'ok'), base AS (SELECT path, arg_max(lower(sha256), (indexed_at, lower(sha256))) AS sha256 FROM files f WHERE path IS NOT NULL AND EXISTS (SELECT 1 FROM ok WHERE f.indexed_at BETWEEN started_at AND finished_at) GROUP BY path)"
+_TREE = """lf AS (SELECT ('0x' || substr(sha256(path), 1, 8))::BIGINT % 256 AS part, path, sha256 FROM base WHERE sha256 IS NOT NULL), lv AS (SELECT part, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path, sha256)) AS s FROM lf GROUP BY part),
+            tree AS (SELECT sha256(string_agg(part || ':' || s || chr(10), '' ORDER BY part)) AS corpus_tree_sha256 FROM lv)"""
 _NAME = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.md$', '')"
 
 
@@ -365,10 +495,66 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH {_CH}, {_Q}, {_BM25} SELECT query_id, id, round(score, 5) AS score, rank FROM lex WHERE rank <= 10",
         "cosine_topk": f"WITH {_CH}, {_Q}, {_VEC} SELECT query_id, id, round(score, 5) AS score, rank FROM vec WHERE rank <= 10",
         "hybrid_rrf": f"WITH {_CH}, {_Q}, {_BM25}, {_VEC}, {_RRF} SELECT query_id, id, bm25_rank, cosine_rank, round(rrf::DOUBLE, 8) AS rrf, fusion_rank FROM fu",
-        "search_notes": f"""WITH {_CH}, {_Q}, {_BM25}, {_VEC}, {_RRF}, h AS (SELECT fu.*, path, body FROM fu JOIN ch USING (id)),
+        "search_notes": (notes_sql := f"""WITH {_CH}, {_Q}, {_BM25}, {_VEC}, {_RRF}, h AS (SELECT fu.*, path, body FROM fu JOIN ch USING (id)),
             n AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY fusion_rank) AS k, count(*) OVER (PARTITION BY query_id, path) - 1 AS more, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS flat FROM h),
             p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_rank) AS pos FROM n WHERE k = 1)
-            SELECT query_id, pos, id AS chunk_id, path, round(rrf::DOUBLE, 8) AS rrf, CASE WHEN length(flat) > 200 THEN left(flat, 200) || '…' ELSE flat END AS snippet, CASE WHEN more > 0 THEN more::INT END AS siblings FROM p WHERE pos <= 10""",
+            SELECT query_id, pos, id AS chunk_id, path, round(rrf::DOUBLE, 8) AS rrf, CASE WHEN length(flat) > 200 THEN left(flat, 200) || '…' ELSE flat END AS snippet, CASE WHEN more > 0 THEN more::INT END AS siblings FROM p WHERE pos <= 10"""),
+        "search_stored": notes_sql,
+        "search_tidy": f"""WITH {_CH}, {_Q}, {_BM25}, {_VEC}, {_RRF}, nn AS (SELECT fu.*, path, row_number() OVER (PARTITION BY query_id, path ORDER BY fusion_rank) AS k, count(*) OVER (PARTITION BY query_id, path) - 1 AS more, min(bm25_rank) OVER (PARTITION BY query_id, path) AS b, min(cosine_rank) OVER (PARTITION BY query_id, path) AS c FROM fu JOIN ch USING (id)),
+            h AS (SELECT query_id, id, path, rrf, b AS bm25_rank, c AS cosine_rank, CASE WHEN more > 0 THEN more::INT END AS siblings, row_number() OVER (PARTITION BY query_id ORDER BY fusion_rank) AS pos FROM nn WHERE k = 1 QUALIFY pos <= 10), t AS ({_T}),
+            {_TIDY} SELECT query_id, pos, id AS chunk_id, path, siblings, NULL::DOUBLE AS relevance, NULL::VARCHAR AS body, NULL::DOUBLE AS rerank FROM h JOIN td USING (query_id) WHERE n <> 10 OR pos <= keep""",
+        "word_store": f"""WITH {_CH}, c AS (SELECT id, heading_path AS h, CASE WHEN starts_with(path, '40-Archive/') THEN heading_path ELSE body END AS b FROM ch WHERE NOT starts_with(coalesce(path, ''), '30-Resources/')),
+            w AS (SELECT id, coalesce(len({_W.format("h")}), 0) + coalesce(len({_W.format("b")}), 0) AS words FROM c) SELECT id, words, words AS postings FROM w""",
+        "query_syntax": f"""WITH {_CH}, qt AS (SELECT * FROM (VALUES ('must', 'firewall', NULL), ('must', 'rule', NULL), ('phrase', 'thesis', NULL), ('phrase', 'chapter', NULL), ('not', 'kiln', NULL), ('field', 'risks', 'heading_path'), ('field', 'ledger', NULL), ('and', 'roof', NULL), ('and', 'tile', NULL)) AS v(query_id, term, fld)),
+            {_BM25.replace("qt AS (SELECT DISTINCT query_id, unnest(" + _W.format("query") + ") AS term FROM q),", "").replace("SELECT query_id, id, ln(1", "SELECT query_id, id, fld, field, ln(1").replace("FROM w GROUP BY ALL", "FROM w WHERE fld IS NULL OR fld = field GROUP BY query_id, id").replace("lex AS (SELECT *, row_number()", "lx AS (SELECT *, row_number()")},
+            al AS (SELECT id, list_distinct(flatten(list(coalesce(t, [])))) AS t, bool_or(contains(' ' || array_to_string(t, ' ') || ' ', ' thesis chapter ')) AS ph FROM tok GROUP BY id),
+            ok AS (SELECT l.* FROM lexs l JOIN al USING (id) WHERE CASE query_id WHEN 'must' THEN list_contains(t, 'firewall') WHEN 'phrase' THEN ph WHEN 'not' THEN NOT list_contains(t, 'archive') WHEN 'and' THEN list_contains(t, 'roof') AND list_contains(t, 'tile') ELSE true END)
+            SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ok QUALIFY rank <= 10""",
+        "smart_search": f"""WITH {_CH}, q0 AS (SELECT DISTINCT id AS query_id, query_text AS query FROM tick_runs WHERE query_text IS NOT NULL),
+            q AS (SELECT query_id * 2 AS query_id, query FROM q0 UNION ALL SELECT query_id * 2 + 1, query || ' archive' FROM q0), {_BM25},
+            sv AS (SELECT id, embedding::DOUBLE[] AS e FROM ch WHERE {_OK}), qv AS (SELECT q0.query_id * 2 AS query_id, v.embedding::DOUBLE[] AS e FROM q0 JOIN embeddings v ON v.vec_id = q0.query_id UNION ALL SELECT q0.query_id * 2 + 1, v.embedding::DOUBLE[] FROM q0 JOIN embeddings v ON v.vec_id = q0.query_id + 1),
+            vs AS (SELECT query_id, id, round(list_cosine_similarity(qv.e, sv.e), 9) AS score FROM qv, sv), vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, substr(id, 1, 16), id) AS rank FROM vs),
+            al AS (SELECT query_id // 2 AS query_id, (query_id % 2) * 2 AS no, id, rank FROM lex WHERE rank <= 40 UNION ALL SELECT query_id // 2, (query_id % 2) * 2 + 1, id, rank FROM vec WHERE rank <= 40),
+            s4 AS (SELECT query_id, id, max(CASE WHEN no = 0 THEN rank END) AS r0, max(CASE WHEN no = 1 THEN rank END) AS r1, max(CASE WHEN no = 2 THEN rank END) AS r2, max(CASE WHEN no = 3 THEN rank END) AS r3 FROM al GROUP BY 1, 2),
+            fs AS (SELECT query_id, id, (((0::FLOAT + coalesce((1.0::DOUBLE / (60 + r0))::FLOAT, 0::FLOAT)) + coalesce((1.0::DOUBLE / (60 + r1))::FLOAT, 0::FLOAT)) + coalesce((1.0::DOUBLE / (60 + r2))::FLOAT, 0::FLOAT)) + coalesce((1.0::DOUBLE / (60 + r3))::FLOAT, 0::FLOAT) AS rrf FROM s4),
+            fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS pos FROM fs QUALIFY pos <= 40),
+            wd AS (SELECT fu.*, path, list_filter(list_distinct(regexp_split_to_array(lower(query), '\\s+')), lambda x: x <> '') AS a, list_filter(list_distinct(regexp_split_to_array(lower(body), '\\s+')), lambda x: x <> '') AS b FROM fu JOIN ch USING (id) JOIN q0 USING (query_id)),
+            lg AS (SELECT *, (len(list_intersect(a, b)) + 0.5::DOUBLE) / (len(a) + 1) AS share FROM wd), l2 AS (SELECT *, CASE WHEN pos <= 20 THEN ln(share / (1 - share)) END AS logit FROM lg),
+            rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pos <= 20 THEN 0 ELSE 1 END, logit DESC NULLS LAST, pos) AS np FROM l2), pn AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY np) AS k FROM rr),
+            o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY np) AS p FROM pn WHERE k = 1) SELECT query_id, p AS pos, id AS chunk_id, path, CASE WHEN pos <= 20 THEN np::INT END AS rerank_rank, round(rrf::DOUBLE, 8) AS rrf FROM o WHERE p <= 10""",
+        "suggested_folders": f"""WITH {_CH}, q AS (SELECT DISTINCT id AS query_id, query_text AS query FROM tick_runs JOIN embeddings ON vec_id = id WHERE query_text IS NOT NULL ORDER BY id LIMIT 1), {_BM25}, {_VEC}, {_RRF.replace("rank <= 120", "rank <= 36").replace("fusion_rank <= 40", "fusion_rank <= 12")},
+            hf AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, rrf, fusion_rank FROM fu JOIN ch USING (id)), nf AS (SELECT folder, arg_min(rrf, fusion_rank) AS score, min(fusion_rank)::INT AS pos FROM hf WHERE folder <> '' AND NOT starts_with(folder, '00-Inbox') GROUP BY 1),
+            fo AS (WITH  p AS (SELECT DISTINCT split_part(path, '/', 1) AS a, CASE WHEN length(path) - length(replace(path, '/', '')) > 1 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) END AS b FROM files WHERE contains(path, '/')),
+            s AS (SELECT a, bool_or(b IS NOT NULL) AS several FROM p WHERE a IN ('10-Projects', '20-Areas', '30-Resources', '40-Archive') GROUP BY 1) SELECT DISTINCT coalesce(b, a) AS folder FROM p JOIN s USING (a) WHERE b IS NOT NULL OR NOT several)
+            SELECT folder, round(score::DOUBLE, 8) AS score, pos FROM nf UNION ALL SELECT folder, 0.0, NULL FROM fo WHERE folder NOT IN (SELECT folder FROM nf)""",
+        "settled_status": """WITH o AS (SELECT path, max((indexed_at, coalesce(mtime, 0), lower(sha256))) AS b FROM files WHERE path IS NOT NULL GROUP BY 1), n AS (SELECT path, max((seen_at, coalesce(mtime, 0), lower(sha256))) AS b FROM vault_walk WHERE run_id = 12 AND path IS NOT NULL GROUP BY 1)
+            SELECT path, coalesce(CASE WHEN n.b IS NULL THEN 'removed' WHEN o.b IS NULL THEN 'new' WHEN abs(n.b[2] - o.b[2]) < 2.220446049250313e-16 THEN 'same' WHEN n.b[3] <> o.b[3] THEN 'changed' ELSE 'refreshed' END, 'unknown') AS status FROM o FULL JOIN n USING (path)""",
+        "usage_days": f"WITH {_TICKS} SELECT path, strftime(make_timestamp(first_used * 1000000), '%Y-%m-%d') AS first_used_day, strftime(make_timestamp(last_used * 1000000), '%Y-%m-%d') AS last_used_day FROM tk",
+        "event_lines": """SELECT CASE run_id % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'log' END AS type, CASE WHEN run_id % 4 = 1 THEN 'info' END AS level, CASE WHEN run_id % 4 = 1 THEN path END AS message, CASE WHEN run_id % 4 = 0 THEN path END AS path, CASE WHEN run_id % 4 = 0 THEN 'create' END AS action,
+            CASE run_id % 4 WHEN 2 THEN path WHEN 3 THEN '{"type":"odd","path":"' || path || '"}' END AS raw FROM tick_events WHERE path IS NOT NULL""",
+        "inbox_notes": f"SELECT note_path AS path, {_TITLE.format('note_path', 'text')} AS title FROM documents WHERE regexp_matches(note_path, '^00-Inbox/[^/]+\\.md$')",
+        "extension_sizes": "SELECT lower(regexp_extract(note_path, '\\.([^./]+)$', 1)) AS extension, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1",
+        "created_minutes": f"""WITH f AS (SELECT DISTINCT path, created, source, tz, loc_tag FROM frontmatter WHERE created IS NOT NULL), l AS (SELECT *, CASE WHEN regexp_full_match(trim(created), '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}') THEN epoch(try_strptime(trim(created), '%Y-%m-%dT%H:%M'))::BIGINT END AS l FROM f),
+            ab AS (SELECT *, l - {_OFF.format("l - 86400")} AS a, l - {_OFF.format("l + 86400")} AS b FROM l), g AS (SELECT *, a + {_OFF.format("a")} = l AS ga, b + {_OFF.format("b")} = l AS gb FROM ab)
+            SELECT path, created, coalesce(CASE WHEN ga AND gb AND a <> b THEN NULL WHEN ga THEN a WHEN gb THEN b END, 0)::BIGINT AS created_at FROM g""",
+        "text_functions": f"""WITH {_FRONT}, x AS (SELECT *, n_chars * 1000 AS nb FROM bo) SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 79) || '…' ELSE text END AS short,
+            CASE WHEN nb >= 1048576 THEN printf('%.1f MB', floor(nb / 1048576.0::DOUBLE * 10 + 0.5) / 10) WHEN nb >= 1024 THEN printf('%.1f KB', floor(nb / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE nb || ' B' END AS size, md5(left(body, 800)) AS head,
+            regexp_full_match(source, '[A-Za-z_][A-Za-z0-9_-]*') AND source NOT IN ('created', 'status', 'source', 'para', 'modified', 'title') AS producer, CASE WHEN contains(note_path, '/') AND split_part(note_path, '/', 1) IN ('00-Inbox', '10-Projects', '20-Areas', '30-Resources', '40-Archive') THEN split_part(note_path, '/', 1) END AS folder FROM x""",
+        "frontmatter_fields": f"""WITH {_FRONT}, k AS (SELECT doc_id, list_filter(list_transform(front, lambda x: struct_pack(k := regexp_replace(regexp_extract(x, '^([^:]*):', 1), '^\\s+|\\s+$', '', 'g'), v := regexp_replace(regexp_extract(x, '^[^:]*:(.*)$', 1), '^\\s+|\\s+$', '', 'g'))), lambda p: p.v <> '') AS p FROM bo)
+            SELECT doc_id, trim(list_filter(p, lambda y: y.k = 'created')[1].v, chr(34) || chr(39)) AS created_raw, trim(list_filter(p, lambda y: y.k = 'source')[1].v, chr(34) || chr(39)) AS source,
+            len(list_filter(p, lambda y: regexp_full_match(y.k, '[A-Za-z_][A-Za-z0-9_-]*') AND NOT list_contains(['created', 'status', 'source', 'para', 'modified', 'title'], y.k) AND json_valid(y.v)))::INT AS n_fields FROM k""",
+        "note_titles": f"WITH {_FRONT} SELECT doc_id, {_TITLE.format('note_path', 'text')} AS title, length(body) AS body_chars FROM bo",
+        "chunk_rules": f"WITH {_FRONT} SELECT doc_id || '.md' AS path, true AS in_order, true AS ids_fit, true AS words_kept FROM bo WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')",
+        "event_problems": """WITH e AS (SELECT DISTINCT run_id // 2 AS run_id, path, fusion_rank, bm25_rank, cosine_rank, rerank_rank, final_rank, rerank_scored FROM tick_events), w AS (SELECT *, count(*) OVER (PARTITION BY run_id, path) AS np, count(final_rank) OVER (PARTITION BY run_id, final_rank) AS nf FROM e),
+            p AS (SELECT *, list_filter([CASE WHEN fusion_rank IS NULL OR fusion_rank < 1 THEN 'fusion_rank' END, CASE WHEN final_rank IS NULL OR final_rank < 1 THEN 'final_rank' END, CASE WHEN least(bm25_rank, cosine_rank, rerank_rank) < 1 THEN 'rank below 1' END, CASE WHEN rerank_scored = 1 AND rerank_rank IS NULL THEN 'scored without rank' END,
+              CASE WHEN rerank_scored = 0 AND rerank_rank IS NOT NULL THEN 'rank without score' END, CASE WHEN np > 1 THEN 'path repeated' END, CASE WHEN nf > 1 THEN 'final_rank repeated' END], lambda x: x IS NOT NULL) AS l FROM w)
+            SELECT run_id, path, final_rank, array_to_string(l, ', ') AS problems FROM p WHERE len(l) > 0""",
+        "fingerprint_tree": f"WITH {_BASE}, {_TREE} SELECT * FROM tree",
+        "overview": f"WITH {_BASE}, {_TREE} SELECT (SELECT count(DISTINCT path) FROM base WHERE sha256 IS NOT NULL) AS files, (SELECT count(DISTINCT id) FROM chunks) AS chunks, (SELECT count(DISTINCT id) FROM chunks WHERE embedding IS NOT NULL) AS embedded, corpus_tree_sha256 FROM tree",
+        "doctor": f"""WITH {_BASE}, {_TICKS}, f AS (SELECT DISTINCT path FROM base WHERE sha256 IS NOT NULL), c AS (SELECT DISTINCT * FROM chunks)
+            SELECT 'chunks without vector' AS "check", count(*) AS count FROM c WHERE embedding IS NULL UNION ALL SELECT 'vectors of another width', count(*) FROM c WHERE len(embedding) <> 64 UNION ALL SELECT 'chunks without file', count(*) FROM c WHERE path IS NULL OR path NOT IN (SELECT path FROM f)
+            UNION ALL SELECT 'chunk ids more than once', count(*) FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'paths more than once', 0 UNION ALL SELECT 'ids that don''t fit path and number', count(*) FROM c WHERE sha256(path || '#' || ord) <> id
+            UNION ALL SELECT 'counters without file', count(*) FROM tk WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT 'events without file', count(*) FROM ev WHERE path IS NULL OR path NOT IN (SELECT path FROM f)""",
         "since_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE created >= {CUTOFF}",
         "source_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE lower(source) = 'slack'",
         "scope_exclude": f"WITH {_HITS} SELECT query_id, pos, id, path FROM h WHERE pos <= 10 AND NOT ({word})",
@@ -377,10 +563,8 @@ def oracle_sql() -> dict[str, str]:
         "score_floor": f"WITH {_HITS}, t AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY pos) AS top FROM h) SELECT query_id, pos, id FROM t WHERE greatest(0, least(100, round(100.0::DOUBLE * score::DOUBLE / greatest(top::DOUBLE, 1.1920929e-07)))) >= 60",
         "relevance_floor": f"WITH {_HITS} SELECT query_id, pos, id, round(relevance, 6) AS relevance FROM h WHERE relevance >= 0.5",
         "tidy_prefix": f"""WITH {_HITS}, t AS (SELECT *, rrf::DOUBLE AS s, lead(rrf::DOUBLE) OVER (PARTITION BY query_id ORDER BY pos) AS nx, count(*) OVER (PARTITION BY query_id) AS n FROM h WHERE pos <= 10),
-            bad AS (SELECT query_id, n, bool_or(s <= 0 OR (nx IS NOT NULL AND (nx <= 0 OR nx > s))) AS bad, coalesce(max(CASE WHEN bm25_rank <= 3 OR cosine_rank <= 3 THEN pos END), 0) AS champion FROM t GROUP BY ALL),
-            g AS (SELECT query_id, pos, n, CASE WHEN nx > 0 AND s > 0 THEN ln(s / nx) END AS gap FROM t), c AS (SELECT query_id, median(gap) AS center FROM g GROUP BY 1),
-            m AS (SELECT query_id, center, median(abs(gap - center)) AS mad, max((gap, pos)) FILTER (pos >= 3 AND n - pos >= 3 AND gap IS NOT NULL) AS knee FROM g JOIN c USING (query_id) GROUP BY ALL)
-            SELECT query_id, CASE WHEN NOT bad AND n >= 6 AND knee[1] > greatest(ln(10.0::DOUBLE / 9), center + 3 * 1.4826 * mad) AND champion <= knee[2] THEN knee[2] ELSE n END::INT AS keep, n::INT AS n FROM bad JOIN m USING (query_id)""",
+            {_TIDY}
+            SELECT * FROM td""",
         "rerank_prefix": f"""WITH {_HITS}, l AS (SELECT *, CASE WHEN isfinite(cosine) THEN cosine::DOUBLE END AS logit FROM h),
             p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pos <= 20 THEN 0 ELSE 1 END, CASE WHEN pos <= 20 THEN logit END DESC NULLS LAST, pos) AS np FROM l)
             SELECT query_id, np AS pos, id, CASE WHEN pos <= 20 AND logit IS NOT NULL THEN np::INT END AS rerank_rank, round(CASE WHEN pos <= 20 AND logit IS NOT NULL THEN 1 / (1 + exp(-logit)) ELSE score::DOUBLE END, 6) AS score FROM p""",
@@ -396,7 +580,7 @@ def oracle_sql() -> dict[str, str]:
               round(p, 6) AS mean_top_score_positive, round(n, 6) AS mean_top_score_negative, round(p - n, 6) AS top_score_delta FROM k""",
         "cohort_delta": f"""WITH {_EVAL}, {_eval_sql("b", "row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC NULLS LAST, path)")}
             SELECT ea.cohort, count(*) AS queries, round(avg(eb.ndcg_at_k - ea.ndcg_at_k), 6) AS ndcg_delta FROM ea JOIN eb USING (query_id) WHERE NOT ea.is_negative GROUP BY 1""",
-        "unknown_paths": f"WITH {_HITS} SELECT DISTINCT path FROM h WHERE path NOT IN (SELECT path FROM files WHERE path IS NOT NULL)",
+        "unknown_paths": f"WITH {_HITS}, p AS (SELECT path FROM h UNION SELECT note_path FROM documents WHERE note_path IS NOT NULL) SELECT path FROM p WHERE path NOT IN (SELECT path FROM files WHERE path IS NOT NULL) OR path NOT IN (SELECT path FROM chunks WHERE path IS NOT NULL)",
         "tick_counters": f"WITH {_TICKS} SELECT * FROM tk",
         "fame": f"WITH {_TICKS}, {_FAME} SELECT path, count, first_used, last_used, missing FROM fm",
         "rank_report": f"""WITH {_TICKS}, {_FAME}, g AS (SELECT path, pipeline_id, corpus_sha256, count(*) AS events, median(fusion_rank) AS median_fusion_rank, median(bm25_rank) AS median_bm25_rank, median(cosine_rank) AS median_cosine_rank, median(rerank_rank) AS median_rerank_rank,
@@ -417,6 +601,6 @@ def oracle_sql() -> dict[str, str]:
         "unit_vectors": f"WITH {_CH}, v AS (SELECT id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM ch WHERE {_OK}) SELECT id, round(n, 4) AS norm, 1.0::DOUBLE AS unit_norm FROM v",
         "unembedded_paths": "SELECT DISTINCT path FROM chunks WHERE embedding IS NULL",
         "query_variants": f"WITH {_Q} SELECT query_id, 'lex' AS kind, 'about ' || query AS text FROM q UNION ALL SELECT query_id, 'hyde', 'A passage.' FROM q",
-        "ivf_topk": "SELECT count(*) * least(10, (SELECT count(*) FROM embeddings)) AS wanted, true AS recall_98 FROM embeddings WHERE vec_id % 20 = 0",
+        "ivf_topk": f"WITH {_CH} SELECT count(*) * 10 AS wanted, true AS recall_98 FROM ch WHERE {_OK} AND ('0x' || substr(id, 1, 8))::BIGINT % 20 = 0",
         "hourly_use": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS uses FROM events GROUP BY ALL",
     }
