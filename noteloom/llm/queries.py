@@ -128,6 +128,10 @@ _FENCE = r"(?ms)^```[^\n]*\n(?:.*?\n)??```[ \t\r]*$"
 def oracle_sql() -> dict[str, str]:
     w = _WORDS.format("body")
     return {
+        "p1_found": """
+            WITH c AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM chunks WHERE id IS NOT NULL AND len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+            s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS cos FROM c a, c b WHERE a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS n FROM s WHERE cos >= 0.92)
+            SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n WHERE n <= 10""",
         "p1_knn": """
             WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
             c AS (SELECT q.vec_id, a.vec_id AS neighbour, list_cosine_similarity(q.e, a.e) AS cos FROM q, a WHERE q.vec_id <> a.vec_id),
