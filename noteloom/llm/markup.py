@@ -8,7 +8,7 @@ and file paths set aside where their characters would be mistaken.
 
 Defined results: null or empty texts hold nothing and stay as they are; fenced blocks and formulas between dollar
 signs are untouched; an unclosed tag, comment or emphasis mark is left as it stands, except that a known HTML tag
-counts and goes on its own. Repeated rows give one row.
+counts and goes on its own, also one that was escaped. Repeated rows give one row.
 """
 
 from __future__ import annotations
@@ -116,8 +116,11 @@ def _html(t: str) -> str:
     t = regex.sub(r"(?i)</?(?:p|div|blockquote|section|article)\b[^<>]*>", "\n", t)
     t = regex.sub(rf"(?i)<code{_ATTR}\s*>([^<]*)</code>", r"\1", t)
     t = regex.sub(rf"(?i)<img{_ATTR}\s*/?>", lambda m: (regex.search(r"(?i)\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", m[0]) or [""] * 3)[1] or "", t)
-    t = regex.sub(TAG, "", t)
-    return regex.sub(REFERENCE, lambda m: html.unescape(m[0]), t)
+    was = None
+    while t != was:  # tags that were escaped come out of references; both shorten the text
+        was = t
+        t = regex.sub(REFERENCE, lambda m: html.unescape(m[0]), regex.sub(TAG, "", t))
+    return t
 
 
 def _wiki(t: str) -> str:
@@ -186,3 +189,14 @@ def cleaned(texts: pd.Series) -> pd.Series:
 def clean(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with <column>_clean for each of the columns."""
     return df.withColumns({f"{c}_clean": cleaned(F.col(c)) for c in columns})
+
+
+def kept(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, clean, blocks_kept, formulas_kept): whether the cleaned columns hold no construct, and all fenced blocks and formulas of the first."""
+    d = clean(df, columns)
+    first, after = F.coalesce(F.col(columns[0]), F.lit("")), F.coalesce(F.col(f"{columns[0]}_clean"), F.lit(""))
+    # what stands in a formula is the formula's
+    left = F.flatten(F.array(*[languages(F.regexp_replace(F.col(f"{c}_clean"), FORMULA, " ")) for c in columns]))
+    outside = F.regexp_replace(first, FENCE, "\n")
+    held = lambda t, p: F.forall(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda b: F.contains(after, b))
+    return d.select(key, (F.size(left) == 0).alias("clean"), held(first, FENCE).alias("blocks_kept"), held(outside, FORMULA).alias("formulas_kept"))

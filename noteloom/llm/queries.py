@@ -48,6 +48,12 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean(c, ["body", "heading_path"]).select("id", "body_clean", "heading_path_clean")
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the cleaned texts: no construct is left outside fenced blocks, and these and the formulas are as they were."""
+    c = table(spark, d, "chunks", True).where("id is not null and body is not null").select("id", "body", "heading_path").dropDuplicates(["id"])
+    return markup.kept(c, "id", ["body", "heading_path"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "chunks", True), "id", "body")
 
@@ -109,7 +115,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_knn, p1_exact, p2_found, p2_fused, p3_found, p3_cleaned, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p9_kept, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_knn, p1_exact, p2_found, p2_fused, p3_found, p3_cleaned, p3_kept, p5_found, p5_pieces, p5_rejoined, p5_kept, p7_found, p7_groups, p8_found, p9_mix, p9_shares, p9_kept, p10_found, p10_restored)}
 
 
 _SCORED = """
@@ -125,6 +131,22 @@ _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 _FENCE = r"(?ms)^```[^\n]*\n(?:.*?\n)??```[ \t\r]*$"
 
 
+#: Its own short grammar, without looking around: what stands before and after a mark is matched with it.
+_P3 = r"""
+WITH c AS (SELECT DISTINCT id, unnest([body, heading_path]) AS t FROM chunks WHERE id IS NOT NULL),
+f AS (SELECT id, regexp_replace(t, '(?ms)^```[^\n]*\n(?:.*?\n)??```[ \t\r]*$', chr(10), 'g') AS r FROM c WHERE t IS NOT NULL),
+g AS (SELECT *, regexp_replace(r, '(?s)\$\$.*?\$\$|\$[^\s$](?:[^$\n]*?[^\s\\$])?\$', ' ', 'g') AS m FROM f),
+p AS (SELECT *, unnest(regexp_split_to_array(r, '\n[ \t\r]*\n')) AS w FROM g), pm AS (SELECT *, unnest(regexp_split_to_array(regexp_replace(m, '([\p{L}\p{N}])_([\p{L}\p{N}])', '\1\2', 'g'), '\n[ \t\r]*\n')) AS w FROM g),
+x AS (SELECT id, 'html' AS markup FROM f WHERE regexp_matches(r, '(?s)<!--.*?-->|&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});') OR regexp_matches(r, '(?i)</?(?:a|abbr|b|blockquote|br|center|cite|code|dd|del|div|dl|dt|em|font|h[1-6]|hr|i|img|ins|kbd|li|mark|ol|p|pre|s|small|span|strong|sub|sup|table|tbody|td|th|thead|tr|tt|u|ul)(?:\s+[A-Za-z-]+\s*=\s*(?:"[^"<>]*"|''[^''<>]*''|[^\s"''<>=`]+))*\s*/?>')
+  UNION SELECT id, 'markdown' FROM f WHERE regexp_matches(r, '(?:^|[^\w\])])!?\[[^\[\]\n]*\]\([^()\s]*(?:\s+"[^"\n]*")?\)|(?:^|[^\w\])\[])!?\[[^\[\]\n^][^\[\]\n]*\]\[[^\[\]\n]*\]|(?m:^ {0,3}\[[^\[\]\n^][^\[\]\n]*\]:[ \t]+\S+)|<(?:https?|ftp|mailto):[^\s<>]+>|\[\^[\p{L}\p{N}_-]+\]|(?m:^[ \t]*\|?[^|\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*\|[ \t|:\-\r]*$)')
+  UNION SELECT id, 'markdown' FROM p WHERE regexp_matches(w, '(?:^|[^\p{L}\p{N}_*\\])\*{1,3}[^\s*](?:[^*]*[^\s*])?\*{1,3}(?:$|[^\p{L}\p{N}_*])|(?:^|[^A-Za-z0-9_*\\])\*{2,3}[^\s*](?:[^*\n]*[^\s*])?\*{2,3}(?:$|[^A-Za-z0-9_*])|~~[^\s~](?:[^~]*[^\s~])?~~|`[^`]+`')
+  UNION SELECT id, 'markdown' FROM pm WHERE regexp_matches(w, '(?:^|[^\p{L}\p{N}_\\/.])_{1,3}[^\s_](?:[^_]*[^\s_])?_{1,3}(?:$|[^\p{L}\p{N}_.]|\.(?:$|[^A-Za-z]))')
+  UNION SELECT id, 'wiki' FROM f WHERE regexp_matches(r, '\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|(?m:^[ \t]*\{\|)|(?m:^[ \t]*={2,6}[ \t]*[^=\n][^\n]*?={2,6}[ \t\r]*$)')
+  UNION SELECT id, 'wiki' FROM p WHERE regexp_matches(w, '(?s)(?:^|[^\w''])''{2,5}[^\s''](?:.*?[^\s''])?''{2,5}')
+  UNION SELECT id, 'latex' FROM g WHERE regexp_matches(regexp_replace(m, '(?:^|[^A-Za-z0-9])[A-Za-z]:\\[^\s]*|\\\\[A-Za-z0-9_.-]+\\[^\s]*', ' ', 'g'), '\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|\\[A-Za-z]{2,}'))
+SELECT DISTINCT id, markup FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = _WORDS.format("body")
     return {
@@ -144,6 +166,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"WITH {_SCORED} SELECT run_id, id FROM s1 WHERE bm25_pos <= ceil(n / 10.0) AND cosine_pos <= ceil(n / 10.0) AND rrf_pos <= ceil(n / 10.0)",
         "p2_fused": f"""WITH {_SCORED}, s2 AS (SELECT *, 0.0::DOUBLE + coalesce(1.0::DOUBLE / (60 + bm25_pos), 0) + coalesce(1.0::DOUBLE / (60 + cosine_pos), 0) + coalesce(1.0::DOUBLE / (60 + rrf_pos), 0) AS f FROM s1)
             SELECT run_id, id, bm25_pos, cosine_pos, rrf_pos, round(f, 9) AS fused, row_number() OVER (PARTITION BY run_id ORDER BY f DESC, id) AS place FROM s2""",
+        "p3_found": _P3,
+        "p3_kept": "SELECT DISTINCT id, true AS clean, true AS blocks_kept, true AS formulas_kept FROM chunks WHERE id IS NOT NULL AND body IS NOT NULL",
         "p5_found": f"""
             WITH c AS (SELECT DISTINCT id, body FROM chunks WHERE id IS NOT NULL AND length(body) > 3150),
             f AS (SELECT id, list_max(list_transform(regexp_extract_all(body, '{_FENCE}'), lambda x: length(x))) AS longest,
