@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .functions import frontmatter, numbers, text
 from .models import SharedWordsReranker
 from .operators import changes, chunking, fusing, lexical, provenance, rewriting, stages, usage, vectors
-from .plans import evaluate, index, search, stores
+from .plans import evaluate, gate, index, search, stores
 from .session import place, table, written
-from .sources import events, notes
+from .sources import events, export, notes
 
 WIDTH, LIMIT, POOL = 64, 10, 40
 #: Cells of approximate search, and how many of them a query reads.
@@ -226,6 +226,30 @@ def cohort_delta(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_cohort(_eval(spark, d), _eval(spark, d, "relevance")).select("cohort", "queries", F.round("ndcg_delta", 6).alias("ndcg_delta"))
 
 
+def bootstrap_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The checks on two rankings of the same runs: the one by fused scores and the one by relevance. A report has a row per run."""
+    config = {"k": 10, "mode": "hybrid", "rerank": False, "exact_requested": True, "vector_backend": "exact", "fusion_candidate_pool": "bm25_cosine_union", "adaptive_cutoff": False}
+    names = ("cohort", "is_negative", "precision_at_k", "recall_at_k", "reciprocal_rank_at_k", "ndcg_at_k")
+
+    def report(score: str, policy: str) -> dict:
+        rows = _eval(spark, d, score).orderBy("query_id").collect()
+        return {"schema_version": 1, "config": {**config, "fusion_policy": policy}, "provenance": {"labels_sha256": "0123456789abcdef" * 4, "index": d}, "queries": [{"query": str(r.query_id), **{n: r[n] for n in names}} for r in rows]}
+
+    got = gate.compare(report("rrf", "rrf_k60"), report("relevance", "relevance"))
+    return spark.createDataFrame(list(got["checks"].items()), "check string, passed boolean")
+
+
+def export_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunks(spark, d).where(numbers.usable(F.col("embedding"), WIDTH))
+    return export.numbered_rows(c, WIDTH).select("i", "id", "path", "ord")
+
+
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What a note's chunks hold: their number by kind, their tokens by estimate, and how many have no heading."""
+    c = _chunks(spark, d).where("path is not null")
+    return c.groupBy("path").agg(F.count_if(F.col("kind") == 0).alias("content"), F.count_if(F.col("kind") == 1).alias("fields"), F.sum(text.estimated_tokens(F.col("body"))).cast("long").alias("tokens"), F.count_if(F.col("heading_path") == "").alias("bare"), F.max(F.length("body")).cast("long").alias("longest"))
+
+
 def unknown_paths(spark: SparkSession, d: str) -> DataFrame:
     """Judgments of the runs' notes and of the exported notes, some of which aren't indexed or have no chunk."""
     more = table(spark, d, "documents").where("note_path is not null").select(F.lit(0).cast("long").alias("query_id"), F.col("note_path").alias("path"), F.lit(1).alias("grade"))
@@ -411,7 +435,7 @@ def hourly_use(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     bm25_topk, cosine_topk, hybrid_rrf, search_notes, search_stored, search_tidy, word_store, query_syntax, smart_search, suggested_folders, settled_status, usage_days, event_lines, inbox_notes, extension_sizes,
-    created_minutes, text_functions, chunk_rules, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
+    created_minutes, text_functions, chunk_rules, bootstrap_gate, export_rows, chunk_stats, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
     variant_fusion, eval_metrics, eval_aggregate, cohort_delta, unknown_paths, tick_counters, fame, rank_report, usage_merge, orphans, event_problems, snapshot_diff, corpus_fingerprint, fingerprint_tree, doctor, overview,
     path_functions, chunk_ids, folder_list, unit_vectors, unembedded_paths, frontmatter_fields, note_titles, chunk_notes, query_variants, ivf_topk, hourly_use,
 )
@@ -555,6 +579,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'chunks without vector' AS "check", count(*) AS count FROM c WHERE embedding IS NULL UNION ALL SELECT 'vectors of another width', count(*) FROM c WHERE len(embedding) <> 64 UNION ALL SELECT 'chunks without file', count(*) FROM c WHERE path IS NULL OR path NOT IN (SELECT path FROM f)
             UNION ALL SELECT 'chunk ids more than once', count(*) FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'paths more than once', 0 UNION ALL SELECT 'ids that don''t fit path and number', count(*) FROM c WHERE sha256(path || '#' || ord) <> id
             UNION ALL SELECT 'counters without file', count(*) FROM tk WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT 'events without file', count(*) FROM ev WHERE path IS NULL OR path NOT IN (SELECT path FROM f)""",
+        "export_rows": f"WITH {_CH} SELECT row_number() OVER (ORDER BY path NULLS FIRST, ord NULLS FIRST, id) - 1 AS i, id, path, ord FROM ch WHERE {_OK}",
+        "chunk_stats": f"WITH {_CH} SELECT path, count(*) FILTER (kind = 0) AS content, count(*) FILTER (kind = 1) AS fields, sum(ceil(length(body) / 3.5))::BIGINT AS tokens, count(*) FILTER (heading_path = '') AS bare, max(length(body)) AS longest FROM ch WHERE path IS NOT NULL GROUP BY path",
         "since_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE created >= {CUTOFF}",
         "source_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE lower(source) = 'slack'",
         "scope_exclude": f"WITH {_HITS} SELECT query_id, pos, id, path FROM h WHERE pos <= 10 AND NOT ({word})",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,18 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        # local and local[n] are one process; local-cluster is several
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(spark, "_noteloom_dir", None)
         if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="noteloom-")
-            spark._noteloom_dir = path
+            folder = tempfile.mkdtemp(prefix="noteloom-")
+            atexit.register(shutil.rmtree, folder, True)
+            path = spark._noteloom_dir = f"file://{folder}"
     return path
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/noteloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below the application's own."""
+    return f"{shared_dir(spark).rstrip('/')}/noteloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -72,6 +77,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the written intermediate tables of this folder; no plan that reads them may be run afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/noteloom")
+    """Deletes what this application wrote between its steps; no plan that reads it may be run afterwards.
+
+    Plans are lazy, so only the caller knows when a result was used up: between two jobs, or before it stops.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/noteloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

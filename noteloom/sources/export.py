@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import numbered
 from .notes import outside
 
 META = ("id", "path", "ord", "heading_path", "created_at", "source")
@@ -29,16 +30,24 @@ def npy_header(rows: int, width: int) -> bytes:
     return b"\x93NUMPY\x01\x00" + struct.pack("<H", len(d) + pad + 1) + d.encode() + b" " * pad + b"\n"
 
 
-def ordered(chunks: DataFrame, width: int) -> DataFrame:
+def ordered(chunks: DataFrame, width: int, sort: bool = True) -> DataFrame:
     """The rows of an export in the order of path and ord; a vector of another width is an error."""
     d = chunks.where("embedding is not null and id is not null").dropDuplicates(["id"])
     bad = F.when(F.size("embedding") != width, F.raise_error(F.concat(F.lit("vector of the wrong width: "), F.col("id"))).cast("array<float>"))
-    return d.withColumn("embedding", F.coalesce(bad, F.col("embedding"))).select(*META, "embedding").orderBy("path", "ord", "id")
+    d = d.withColumn("embedding", F.coalesce(bad, F.col("embedding"))).select(*META, "embedding")
+    return d.orderBy("path", "ord", "id") if sort else d
+
+
+def numbered_rows(chunks: DataFrame, width: int) -> DataFrame:
+    """The rows of an export with their numbers i from 0, by a total sort in ranges: no task and no driver holds them all."""
+    d = ordered(chunks, width, False).withColumn("__all", F.lit(0))
+    got = numbered(d, "__all", [F.col("path").asc(), F.col("ord").asc(), F.col("id").asc()], "i")
+    return got.select((F.col("i") - 1).alias("i"), *META, "embedding")
 
 
 def export_parts(chunks: DataFrame, path: str, width: int) -> None:
-    """The same rows as Parquet, in ranges of their order; i is not given, since it would need a pass of its own."""
-    ordered(chunks, width).write.option("compression", "zstd").parquet(path)
+    """The same rows as Parquet files, numbered."""
+    numbered_rows(chunks, width).write.option("compression", "zstd").parquet(path)
 
 
 def export(chunks: DataFrame, out: str, width: int, notes_root: str | None = None, form: str = "npy", force: bool = False) -> dict:
