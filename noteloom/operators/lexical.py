@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..functions.stem import stemmed
+from ..functions.text import tokens
+from ..session import written
 
 K1, B = 1.2, 0.75
 FIELDS = ("heading_path", "body")
@@ -45,12 +46,14 @@ def of_terms(index: Index, terms: DataFrame) -> DataFrame:
     return hit if live is None else hit.join(live, ["id", "segment"], "left_semi")
 
 
-def build(chunks: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, stem: bool = False) -> Index:
-    """The index of a table of chunks. Null texts are empty; chunks without a key are left out; repeated keys count once."""
-    d = chunks.where(F.col(key).isNotNull()).dropDuplicates([key])
+def build(chunks: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, stem: bool = False, unique: bool = False) -> Index:
+    """The index of a table of chunks. Null texts are empty; chunks without a key are left out; repeated keys count once (unique: there are none)."""
+    d = chunks.where(F.col(key).isNotNull())
+    d = d if unique else d.dropDuplicates([key])
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens(F.col(f)), F.expr("array()").cast("array<string>")).alias("t")) for f in fields])).alias("p")
     per = d.select(F.col(key).alias("id"), parts).select("id", "p.field", "p.t")
-    lengths = per.select("id", "field", F.size("t").alias("len"))
+    # two short rows per chunk; statistics and scores read them, and not the texts again
+    lengths = written(per.select("id", "field", F.size("t").alias("len")), "lengths")
     places = per.select("id", "field", F.posexplode("t").alias("pos", "term"))
     if stem:  # stems of the different terms only
         terms = places.select("term").distinct().withColumn("s", stemmed("term"))
@@ -124,15 +127,19 @@ def plain_terms(queries: DataFrame, query_id: str, text: str, stem: bool = False
 def weighted(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, id, score): the sum over the query's terms and the fields.
 
-    Terms that occur in the batch select the postings; document frequencies are counted over those.
+    Terms that occur in the batch select the postings; document frequencies are counted over those. The batch's terms,
+    their postings and their weights are written on the way: the texts of an index that isn't stored are read once for
+    both, and the engine sees how short the terms and weights are, so that the postings needn't move to meet them.
     """
-    hit = of_terms(index, terms)
+    terms = written(terms, "terms")
+    hit = written(of_terms(index, terms).select("term", "field", "id", "tf"), "hit-postings")
     df = hit.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     # two rows of statistics, whatever the data
     idf = df.join(F.broadcast(index.stats), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", "field", "idf", "avg_len")
+    idf = written(idf, "term-weights")
     scored = hit.join(idf, ["term", "field"]).join(index.lengths, ["id", "field"])
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = scored.select("term", "field", "id", weight.alias("w"), "places")
+    scored = scored.select("term", "field", "id", weight.alias("w"))
     keys = ["term"]
     if "field" in terms.columns:
         t = terms.select("query_id", "term", F.col("field").alias("only")).distinct()

@@ -58,6 +58,15 @@ def _best(cos: np.ndarray, names: pa.Array, k: int) -> tuple[np.ndarray, np.ndar
     return q, r
 
 
+def _once(names: pa.Array, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose id comes again in a batch are left out, as they would take the places of others."""
+    first = {x: i for i, x in reversed(list(enumerate(names.take(pa.array(at)).to_pylist())))}
+    if len(first) == len(at):
+        return at, m
+    keep = np.array(sorted(first.values()))
+    return at[keep], m[keep]
+
+
 def _passes(queries: DataFrame, width: int, query_id: str, query_vector: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """The usable query vectors, about MAX_QUERIES at a time, with their ids."""
     q = queries.where(F.col(query_id).isNotNull() & (F.size(query_vector) == width)).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).dropDuplicates(["q"])
@@ -90,6 +99,7 @@ def exact(stored: DataFrame, queries: DataFrame, k: int, width: int, key: str =
                 at, m = _matrix(b.column(1), width)
                 if not len(at) or not len(qm):
                     continue
+                at, m = _once(b.column(0), at, m)
                 names = b.column(0).take(pa.array(at))
                 cos = np.round(qm @ m.T, 9)
                 q, r = _best(cos, names, k)
@@ -156,7 +166,7 @@ def approximate(centres: np.ndarray, cells_of: DataFrame, queries: DataFrame, k:
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, qm, by_cell = held.value
             for b in batches:
-                at, m = _matrix(b.column(1), width)
+                at, m = _once(b.column(0), *_matrix(b.column(1), width))
                 cell = np.asarray(b.column(2))[at]
                 for c in np.unique(cell):
                     rows, qs = np.flatnonzero(cell == c), by_cell.get(int(c), np.zeros(0, np.int64))

@@ -1,6 +1,6 @@
-"""Search as one lazy plan: retrieve, fuse, look up, rerank, filter, one hit per note, cut, scope, floors, tidy.
+"""Search in two plans: retrieve and fuse; then look up, rerank, filter, one hit per note, cut, scope, floors, tidy.
 
-A batch of queries is a table; every stage works per query_id, so one query is a table of one row. Options are checked
+What the first gives, a pool of candidates per query, is written, since the second uses it several times. A batch of queries is a table; every stage works per query_id, so one query is a table of one row. Options are checked
 on the driver before anything is planned.
 """
 
@@ -84,6 +84,7 @@ class Options:
 class Corpus:
     """The chunk table (id, path, ord, kind, heading_path, body, embedding, created_at, source) and its word index."""
 
+    #: One row per id; what is looked up and scanned for vectors may also be the rows as they came (see ``of``).
     chunks: DataFrame
     index: lexical.Index
     width: int
@@ -95,9 +96,8 @@ class Corpus:
 
     @classmethod
     def of(cls, chunks: DataFrame, width: int, stem: bool = False) -> Corpus:
-        """A table of chunks, tokenised for this search. ids alone are made different before anything else moves."""
-        once = chunks.where("id is not null").dropDuplicates(["id"])
-        return cls(once, lexical.build(once, stem=stem), width)
+        """A table of chunks, tokenised for this search. Repeated ids are left out where texts are counted; vectors and bodies don't move for it."""
+        return cls(chunks.where("id is not null"), lexical.build(chunks, stem=stem), width)
 
     @classmethod
     def kept(cls, store: Store) -> Corpus:
@@ -128,12 +128,18 @@ def retrieved(corpus: Corpus, queries: DataFrame, o: Options, terms: DataFrame |
 
 
 def looked_up(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The chunk's columns beside each hit; a hit whose chunk is gone is dropped."""
-    c = chunks.select("id", "path", F.col("heading_path").alias("heading"), "body", F.col("created_at").alias("created"), "source")
-    d = hits.join(c, "id").withColumn("relevance", numbers.relevance(F.col("cosine"))).withColumn("snippet", snippet(F.col("body")))
+    """What the stages need of each hit's chunk; a hit whose chunk is gone is dropped, and of a chunk that is there twice one row is taken."""
+    c = chunks.select("id", "path", F.col("created_at").alias("created"), "source")
+    d = hits.join(c, "id").dropDuplicates(["query_id", "id"]).withColumn("relevance", numbers.relevance(F.col("cosine")))
     return stages.renumbered(d.withColumn("pos", F.col("fusion_rank")))
 
 
+def with_bodies(d: DataFrame, chunks: DataFrame) -> DataFrame:
+    """d with the heading and the body of each hit's chunk: for the rows that are left, or that a reranker reads."""
+    c = chunks.join(d.select("id").distinct(), "id", "left_semi").select("id", F.col("heading_path").alias("heading"), "body")
+    return d.join(c.dropDuplicates(["id"]), "id")
+
+
 def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options, reranker: Reranker | None = None) -> DataFrame:
     """All stages after fusion."""
     d = looked_up(hits, chunks)
@@ -143,7 +149,7 @@ def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options
         if reranker is None:
             raise ValueError("rerank needs a reranker")
         cap = stages.rerank_cap(o.limit, o.pool, (o.min_score or 0) > 0)
-        head = d.where(F.col("pos") <= cap).join(queries.select("query_id", "query"), "query_id")
+        head = with_bodies(d.where(F.col("pos") <= cap), chunks).join(queries.select("query_id", "query"), "query_id")
         if o.rerank_context:
             w = stages.neighbours(head, chunks, o.rerank_context).groupBy("query_id", "pos").agg(F.collect_list(F.struct("ord", "body", "centre")).alias("w"))
             head = head.join(w, ["query_id", "pos"], "left").withColumn("doc", F.coalesce(context_column(o.rerank_context)(F.coalesce("w", F.array(F.struct(F.lit(0).alias("ord"), F.col("body"), F.lit(True).alias("centre"))))), "body"))
@@ -162,6 +168,8 @@ def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options
         d = stages.tidied(d, o.limit)
     if not (o.relevance or o.min_relevance is not None):
         d = d.withColumn("relevance", none.cast("double"))
+    # at most limit rows per query, so bodies are read for these alone
+    d = with_bodies(written(d, "hits"), chunks).withColumn("snippet", snippet(F.col("body")))
     if not o.full:
         d = d.withColumn("body", none.cast("string"))
     return stages.renumbered(d).select("query_id", "pos", F.col("id").alias("chunk_id"), "path", "heading", "score", "relevance", "rrf", "cosine", "bm25", "bm25_rank", "cosine_rank", "fusion_rank", "rerank", "rerank_rank", "snippet", "body", "created", "source", "siblings")
@@ -170,7 +178,9 @@ def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options
 def search(corpus: Corpus, queries: DataFrame, o: Options = Options(), reranker: Reranker | None = None, terms: DataFrame | None = None) -> DataFrame:
     """The hits of every query in the batch."""
     o.check()
-    return presented(retrieved(corpus, queries, o, terms), corpus.chunks, queries, o, reranker)
+    # at most a pool per query; the stages use them several times, and their chunks are looked up by them
+    pool = written(retrieved(corpus, queries, o, terms), "pool")
+    return presented(pool, corpus.chunks, queries, o, reranker)
 
 
 def smart_search(corpus: Corpus, queries: DataFrame, variants: DataFrame, o: Options, reranker: Reranker) -> DataFrame:
@@ -189,7 +199,7 @@ def smart_search(corpus: Corpus, queries: DataFrame, variants: DataFrame, o: Opt
     none = F.lit(None)
     got = got.withColumns({"score": F.col("rrf"), **{c: none.cast(t) for c, t in (("bm25", "double"), ("bm25_rank", "int"), ("cosine", "double"), ("cosine_rank", "int"))}})
     q = queries.withColumn("query_id", F.col("query_id").cast("string"))
-    return presented(got, corpus.chunks, q, o, reranker)
+    return presented(written(got, "pool"), corpus.chunks, q, o, reranker)
 
 
 def suggested_folders(corpus: Corpus, note_path: str, query: DataFrame, folders: DataFrame | None = None) -> DataFrame:
