@@ -119,7 +119,7 @@ def split(df: DataFrame, text: str, limit_tokens: int = LIMIT_TOKENS, overlap_to
 def oversized(df: DataFrame, key: str, text: str, limit_tokens: int = LIMIT_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> DataFrame:
     """(key, cut) of the texts that ``split`` cuts, by what it had to cut: fence, run or plain, as TESTDATA.md has them.
 
-    The units tell: a fenced block over the limit comes in several, and a cut between two characters that aren't
+    No piece is over the limit, so every text over it comes in several. The units tell the rest: a fenced block over the limit comes in several, and a cut between two characters that aren't
     white space may lie in an unbroken run over the limit, whose length is then checked in the text.
     """
     limit, _, room = _room(limit_tokens, overlap_tokens)
@@ -131,8 +131,7 @@ def oversized(df: DataFrame, key: str, text: str, limit_tokens: int = LIMIT_TOKE
     inside = F.exists(F.transform(u, lambda x, i: F.when(i > 0, tight(x, i)).otherwise(F.lit(False))), lambda x: x)
     # what is left of a fenced block is a line end, so that runs don't grow together over it
     run = inside & F.regexp_replace(F.col(text), FENCE, "\n").rlike(rf"\S{{{limit + 1}}}")
-    several = F.size(packed(u, room)) > 1
-    return d.where(several).select(key, F.when(fence, "fence").when(run, "run").otherwise("plain").alias("cut")).distinct()
+    return d.select(key, F.when(fence, "fence").when(run, "run").otherwise("plain").alias("cut")).distinct()
 
 
 def kept(df: DataFrame, key: str, text: str, limit_tokens: int = LIMIT_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> DataFrame:
