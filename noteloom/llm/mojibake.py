@@ -53,6 +53,7 @@ TOKEN = re.compile(r"[^\t\n\r\f\v ]*[^\x00-\x7f][^\t\n\r\f\v ]*")
 _SINGLE = "\u3000-\u30ff\u3400-\u9fff\uff00-\uffef"
 _RUN = rf"[{_SINGLE}]|(?:(?![{_SINGLE}])(?:[A-Za-z]|[^\x00-\x7f]))+"
 _PIECE = re.compile(_RUN)
+_LOST_WORD = re.compile(rf"((?:(?![{_SINGLE}])[^\W\d_])*{LOST}(?:(?![{_SINGLE}])[^\W\d_]|{LOST})*)")
 
 
 def pieces(token: str) -> list[str]:
@@ -101,6 +102,14 @@ def undefined(enc: str) -> tuple[int, ...]:
 UNSHOWN = {enc: undefined(enc) for enc in READ_AS}
 
 
+def page(enc: str) -> list[str | None]:
+    """The character of each byte of a code page."""
+    return [bytes([b]).decode(enc, "ignore") or None for b in range(256)]
+
+
+PAGES = {enc: page(enc) for enc in MEANT if enc != "utf-8" and enc not in DOUBLE_BYTE}
+
+
 def one_char(raw: tuple[int, ...], lost: tuple[int, ...], enc: str) -> list[str]:
     """The single characters that some bytes can be in an encoding; -1 is any of the lost ones."""
     out = []
@@ -170,7 +179,10 @@ class Model:
         self.ways = lru_cache(200_000)(self._ways)
         self.score = lru_cache(200_000)(self._score)
         self.fill = lru_cache(50_000)(self._fill)
+        self.by_read: dict[str, list[tuple[int, str, int]]] = {}
         self.channels = [(r, m, 1) for r in READ_AS for m in MEANT if r != m] + [(r, "utf-8", n) for r in ("cp1252", "latin-1") for n in (2, 3)]
+        for k, (read, meant, times) in enumerate(self.channels):
+            self.by_read.setdefault(read, []).append((k, meant, times))
 
     def _word(self, w: str) -> float:
         """Log frequency. A word seen once or twice is spelt: its own damage may be all that was seen."""
@@ -208,8 +220,9 @@ class Model:
 
     def _through(self, token: str, read: str, meant: str) -> str | None:
         raw = _bytes(token, read)
-        if raw is None:
-            return None
+        return None if raw is None else self._decoded(token, raw, read, meant)
+
+    def _decoded(self, token: str, raw: list[int], read: str, meant: str) -> str | None:
         if -1 not in raw:
             try:
                 out = bytes(raw).decode(meant)
@@ -223,7 +236,15 @@ class Model:
 
     def _lattice(self, raw: list[int], lost: tuple[int, ...], meant: str) -> str | None:
         """Bytes with wildcards: Viterbi over where characters begin and which they are; known words then decide among the characters of a place."""
-        widest = 4 if meant == "utf-8" else 2 if meant in DOUBLE_BYTE else 1
+        if meant in PAGES:
+            # a byte is a character, and a lost byte a place to be filled even if only one character can stand there
+            p = PAGES[meant]
+            options = [c for x in lost if (c := p[x])]
+            chars = [options if b == -1 else p[b] for b in raw]
+            if not options or None in chars:
+                return None
+            return self._words(["".join(LOST if isinstance(c, list) else c for c in chars), *[c for c in chars if isinstance(c, list)]], False)
+        widest = 4 if meant == "utf-8" else 2
         # per place the likeliest way to it: its weight, the place before, and the characters that lead here
         ways: list[tuple[float, int, list[str]] | None] = [(0.0, -1, [])]
         for i in range(1, len(raw) + 1):
@@ -241,14 +262,13 @@ class Model:
             _, i, fit = ways[i]
             chars.append(fit)
         chars.reverse()
-        # in a code page a lost byte is a place to be filled even if only one character can stand there
-        single = widest == 1
-        place = [len(c) > 1 or (single and raw[k] == -1) for k, c in enumerate(chars)]
-        out = "".join(LOST if x else c[0] for c, x in zip(chars, place, strict=True))
-        opts = iter([c for c, x in zip(chars, place, strict=True) if x])
-        result = []
-        for p in re.split(rf"((?:(?![{_SINGLE}])[^\W\d_])*{LOST}(?:(?![{_SINGLE}])[^\W\d_]|{LOST})*)", out):
-            word = self._best(p, [next(opts) for ch in p if ch == LOST], widest > 1) if LOST in p else p
+        return self._words(["".join(c[0] if len(c) == 1 else LOST for c in chars), *[c for c in chars if len(c) > 1]], True)
+
+    def _words(self, spelt: list, free: bool) -> str | None:
+        """A text with lost characters, and what each may be: word by word."""
+        text, opts, result = spelt[0], iter(spelt[1:]), []
+        for p in _LOST_WORD.split(text):
+            word = self._best(p, [next(opts) for ch in p if ch == LOST], free) if LOST in p else p
             if word is None:
                 return None
             result.append(word)
@@ -272,12 +292,7 @@ class Model:
     def _ways(self, token: str) -> tuple[tuple[int, float, str], ...]:
         """(channel, gain over the token as it stands, what was meant) for the channels that can give it."""
         base, out, seen = self.score(token), [], {}
-        for k, (read, meant, times) in enumerate(self.channels):
-            t: str | None = token
-            for _ in range(times):
-                t = self._through(t, read, meant) if t is not None and not t.isascii() else None
-            if t is None or t == token:
-                continue
+        for k, t, meant in self._readings(token):
             if t not in seen:
                 gain = self.score(t) - base
                 if meant == "utf-8":
@@ -291,6 +306,19 @@ class Model:
                 out.append((k, seen[t], t))
         return tuple(out)
 
+    def _readings(self, token: str) -> Iterator[tuple[int, str, str]]:
+        """(channel, what was meant, its encoding) of the channels that the token can have come through."""
+        for read, channels in self.by_read.items():
+            raw = _bytes(token, read)
+            if raw is None:
+                continue
+            for k, meant, times in channels:
+                t = self._decoded(token, raw, read, meant)
+                for _ in range(times - 1):
+                    t = self._through(t, read, meant) if t is not None and not t.isascii() else None
+                if t is not None and t != token:
+                    yield k, t, meant
+
     def repair(self, text: str) -> tuple[str, float]:
         """The text as it was meant, and how much likelier (in nats) the damage is than the text as it stands."""
         found = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
