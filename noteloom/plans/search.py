@@ -235,6 +235,41 @@ def as_json(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["hit"])).alias("hits"))
 
 
+def as_text(hits: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, text): for people: notes in the order of their first hit, each with up to ``most`` hits under it and how many more there are."""
+    d = chunk_lists(hits, most)
+    percent = numbers.percent(F.col("score"), F.max("score").over(stages.per_query())).cast("int").cast("string")
+    head = F.when(F.col("n_in_note") == 1, F.concat(F.col("path"), F.lit(" ("), percent, F.lit("%)\n")))
+    line = F.concat(F.lit("  "), F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.col("heading"), F.lit(": "))).otherwise(""), F.coalesce("snippet", F.lit("")))
+    rest = F.when((F.col("n_in_note") == most) & (F.col("more") > 0), F.concat(F.lit("\n  and "), F.col("more").cast("string"), F.lit(" more")))
+    one = F.struct("note_pos", "n_in_note", F.concat(F.coalesce(head, F.lit("")), line, F.coalesce(rest, F.lit(""))).alias("line"))
+    return d.withColumn("one", one).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["line"]), "\n").alias("text"))
+
+
+def run(store: Store, queries: DataFrame, o: Options, embedder: Embedder, reranker: Reranker | None = None, variants: Callable[[DataFrame], DataFrame] | None = None, refresh: Callable[[], object] | None = None, form: str = "json") -> tuple[DataFrame, dict]:
+    """The whole way of a search: bring the store up to date if asked to, search, give the hits as JSON or text per query.
+
+    A refresh that fails doesn't stop the search, which then reads the last state; what happened is told beside the hits.
+    """
+    o.check()
+    if form not in ("json", "text"):
+        raise ValueError("form is json or text")
+    told: dict = {"refreshed": None, "smart": None}
+    if refresh is not None:
+        try:
+            refresh()
+            told["refreshed"] = True
+        except Exception as e:  # noqa: BLE001 - an older state is better than no answer
+            told["refreshed"] = f"{type(e).__name__}: {str(e)[:200]}"
+    corpus = Corpus.kept(store)
+    q = queries if o.mode == "bm25" else embedded_queries(queries, embedder)
+    if o.smart:
+        hits, told["smart"] = smart_or_plain(corpus, q, lambda: variants(q), replace(o, smart=False), reranker)
+    else:
+        hits = search(corpus, q, o, reranker)
+    return (as_json if form == "json" else as_text)(hits), told
+
+
 def with_event_ids(hits: DataFrame, run: dict) -> DataFrame:
     """Hits with final_rank, rerank_scored and the id that binds their ranks to the run."""
     from ..operators.provenance import event_ids

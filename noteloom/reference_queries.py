@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frontmatter, numbers, text
-from .models import SharedWordsReranker
+from .models import SharedWordsReranker, context_column
 from .operators import changes, chunking, fusing, lexical, provenance, rewriting, stages, usage, vectors
 from .plans import evaluate, gate, index, search, stores
 from .session import place, table, written
@@ -187,6 +187,14 @@ def neighbor_window(spark: SparkSession, d: str) -> DataFrame:
     return got.select("query_id", "pos", "ord", "id", "centre")
 
 
+def context_windows(spark: SparkSession, d: str) -> DataFrame:
+    """What a reranker reads of the first hits: the chunk with its neighbours as far as they fit."""
+    h = stages.truncated(_hits(spark, d), 3)
+    w = stages.neighbours(h, table(spark, d, "chunks").where("id is not null"), 1).groupBy("query_id", "pos").agg(F.collect_list(F.struct("ord", F.coalesce("body", F.lit("")).alias("body"), "centre")).alias("w"))
+    doc = w.select("query_id", "pos", context_column(1)(F.col("w")).alias("doc"))
+    return doc.select("query_id", "pos", F.md5("doc").alias("doc"), F.length("doc").cast("long").alias("chars"))
+
+
 def variant_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Three lists of every run: the ranks by words, by vectors, and both of them again by the sum."""
     h = _hits(spark, d)
@@ -436,7 +444,7 @@ def hourly_use(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     bm25_topk, cosine_topk, hybrid_rrf, search_notes, search_stored, search_tidy, word_store, query_syntax, smart_search, suggested_folders, settled_status, usage_days, event_lines, inbox_notes, extension_sizes,
     created_minutes, text_functions, chunk_rules, bootstrap_gate, export_rows, chunk_stats, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
-    variant_fusion, eval_metrics, eval_aggregate, cohort_delta, unknown_paths, tick_counters, fame, rank_report, usage_merge, orphans, event_problems, snapshot_diff, corpus_fingerprint, fingerprint_tree, doctor, overview,
+    context_windows, variant_fusion, eval_metrics, eval_aggregate, cohort_delta, unknown_paths, tick_counters, fame, rank_report, usage_merge, orphans, event_problems, snapshot_diff, corpus_fingerprint, fingerprint_tree, doctor, overview,
     path_functions, chunk_ids, folder_list, unit_vectors, unembedded_paths, frontmatter_fields, note_titles, chunk_notes, query_variants, ivf_topk, hourly_use,
 )
 
@@ -596,6 +604,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, np AS pos, id, CASE WHEN pos <= 20 AND logit IS NOT NULL THEN np::INT END AS rerank_rank, round(CASE WHEN pos <= 20 AND logit IS NOT NULL THEN 1 / (1 + exp(-logit)) ELSE score::DOUBLE END, 6) AS score FROM p""",
         "display_groups": f"WITH {_HITS}, t AS (SELECT query_id, pos, id, min(pos) OVER (PARTITION BY query_id, path) AS note_pos, row_number() OVER (PARTITION BY query_id, path ORDER BY pos) AS n_in_note, greatest(count(*) OVER (PARTITION BY query_id, path) - 3, 0) AS more FROM h) SELECT * FROM t WHERE n_in_note <= 3",
         "neighbor_window": f"WITH {_HITS} SELECT h.query_id, h.pos, ch.ord, ch.id, ch.ord = h.ord AS centre FROM h JOIN ch ON ch.path = h.path AND ch.kind = h.kind AND ch.ord BETWEEN h.ord - 2 AND h.ord + 2 WHERE h.pos <= 3",
+        "context_windows": f"""WITH {_HITS}, t AS (SELECT h.query_id, h.pos, max(CASE WHEN ch.ord = h.ord THEN coalesce(body, '') END) AS c, max(CASE WHEN ch.ord = h.ord - 1 THEN coalesce(body, '') END) AS b, max(CASE WHEN ch.ord = h.ord + 1 THEN coalesce(body, '') END) AS n
+              FROM h JOIN ch ON ch.path = h.path AND ch.kind = h.kind AND ch.ord BETWEEN h.ord - 1 AND h.ord + 1 WHERE h.pos <= 3 GROUP BY 1, 2),
+            u AS (SELECT *, CASE WHEN b IS NOT NULL AND ceil(length(b || chr(10) || chr(10) || c) / 3.5) <= {numbers.context_budget(1)} THEN b || chr(10) || chr(10) || c ELSE c END AS s FROM t),
+            v AS (SELECT *, CASE WHEN ceil(length(c) / 3.5) > {numbers.context_budget(1)} THEN c WHEN n IS NOT NULL AND ceil(length(s || chr(10) || chr(10) || n) / 3.5) <= {numbers.context_budget(1)} THEN s || chr(10) || chr(10) || n ELSE s END AS d FROM u)
+            SELECT query_id, pos, md5(d) AS doc, length(d) AS chars FROM v""",
         "variant_fusion": f"""WITH {_HITS}, t AS (SELECT query_id, id, (0::FLOAT + coalesce((1.0::DOUBLE / (60 + CASE WHEN bm25_rank >= 1 THEN bm25_rank END))::FLOAT, 0::FLOAT)) + coalesce((1.0::DOUBLE / (60 + CASE WHEN cosine_rank >= 1 THEN cosine_rank END))::FLOAT, 0::FLOAT) + (1.0::DOUBLE / (60 + pos))::FLOAT AS rrf FROM h)
             SELECT query_id, id, round(rrf::DOUBLE, 8) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS fusion_rank FROM t QUALIFY fusion_rank <= 40""",
         "eval_metrics": f"WITH {_EVAL} SELECT query_id, cohort, is_negative, round(precision_at_k, 6) AS precision_at_k, round(recall_at_k, 6) AS recall_at_k, round(reciprocal_rank_at_k, 6) AS reciprocal_rank_at_k, round(ndcg_at_k, 6) AS ndcg_at_k, returned, hits::INT AS n_found, (n_rel - hits)::INT AS n_missing FROM ea",

@@ -171,6 +171,12 @@ def test_evaluation_smart_search_and_provenance(spark, tmp_path):
     assert "no weights" in trouble or "PythonException" in trouble
     assert hits.orderBy("pos").first().path == "n1.md" and hits.orderBy("pos").first().cosine is not None
 
+    out, told = search.run(store, q.drop("embedding"), search.Options(limit=3), model, refresh=lambda: index.index(store, str(root), model, 2))
+    assert told["refreshed"] is True and [h["path"] for h in json.loads(out.first().hits)][0] == "n1.md"
+    out, told = search.run(store, q.drop("embedding"), search.Options(limit=3, smart=True), model, SharedWordsReranker(), lambda d: none, lambda: 1 / 0, "text")
+    assert told["refreshed"].startswith("ZeroDivisionError") and told["smart"] is None
+    assert out.first().text.split("\n")[:2] == ["n1.md (100%)", "  wind turbines: wind turbines and more about wind turbines"]
+
     known = {"schema_version": 1, "binary_version": "1", "binary_sha256": "a" * 64, "corpus_sha256": "b" * 64, "indexed_files": 5, "indexed_chunks": 5, "embedded_chunks": 5, "embed_model": "m", "embed_dims": 32, "chunk_version": "1", "tantivy_version": "1", "fusion_policy": "rrf_k60", "fusion_candidate_pool": "u", "vector_backend": "exact", "automatic_exact_cutoff": 10, "rerank_model": "r", "rerank_policy": "p", "relevance_policy": "q", "index_refresh_requested": False, "index_refresh_succeeded": False, "result_policy": "n"}
     o = search.Options(full=True, rerank=True, exact=True, limit=5)
     hits, run = search.with_provenance(corpus, q, o, SharedWordsReranker(), known)
