@@ -8,17 +8,19 @@ length of the judged path modulo 4: an arbitrary rule that both sides can comput
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frontmatter, numbers, text
-from .models import SharedWordsReranker, context_column
+from .models import HashedBagEmbedder, SharedWordsReranker, context_column
 from .operators import changes, chunking, fusing, lexical, provenance, rewriting, stages, usage, vectors
 from .plans import evaluate, gate, index, search, stores
 from .session import place, table, written
-from .sources import events, export, notes
+from .sources import events, export, labels, notes
 
 WIDTH, LIMIT, POOL = 64, 10, 40
 #: Cells of approximate search, and how many of them a query reads.
@@ -258,6 +260,69 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("path").agg(F.count_if(F.col("kind") == 0).alias("content"), F.count_if(F.col("kind") == 1).alias("fields"), F.sum(text.estimated_tokens(F.col("body"))).cast("long").alias("tokens"), F.count_if(F.col("heading_path") == "").alias("bare"), F.max(F.length("body")).cast("long").alias("longest"))
 
 
+def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks a stemmed index finds for a word in another form than theirs."""
+    c = _chunks(spark, d)
+    ids = lexical.search(lexical.build(c, stem=True), lexical.query_terms(spark, {"note": "notes", "measure": "measuring", "check": "checks"}, stem=True), 1_000_000_000)
+    return ids.select("query_id", "id")
+
+
+def _as_files(notes_: DataFrame, root: str) -> None:
+    """Writes notes (path, content) as files under a folder that all tasks see."""
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                full = os.path.join(root, p)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(t.encode())
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+    notes_.select("path", "content").mapInArrow(write, "path string").count()
+
+
+def store_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as note files, indexed; then one folder changed and another one deleted, and indexed again."""
+    root, base = place(spark, "notes").removeprefix("file://"), place(spark, "store")
+    n = table(spark, d, "documents").where("note_path like '%.md' and text is not null").groupBy(F.col("note_path").alias("path")).agg(F.max_by("text", "doc_id").alias("content"))
+    n = written(n, "notes-to-write")
+    _as_files(n, root)
+    store, model = index.Store(spark, base), HashedBagEmbedder(16)
+    index.index(store, root, model, 1)
+    _as_files(n.where("startswith(path, '40-Archive/')").withColumn("content", F.concat("content", F.lit("\n\nOne line more."))), root)
+    shutil.rmtree(os.path.join(root, "30-Resources"), ignore_errors=True)
+    index.index(store, root, model, 2)
+    c = store.table("chunks").groupBy("path").agg(F.bool_and(F.size("embedding") == 16).alias("embedded"))
+    found = index.examined(store).agg(F.sum("count").alias("problems"))
+    return store.table("files").join(c, "path", "left").crossJoin(F.broadcast(found)).select("path", "sha256", F.coalesce("embedded", F.lit(False)).alias("embedded"), "problems")
+
+
+def tick_record(spark: SparkSession, d: str) -> DataFrame:
+    """The notes of the first two runs, each recorded as a batch of plain uses, and the counters that both give."""
+    e = table(spark, d, "tick_events").where("path is not null").select("run_id", "path").distinct()
+    runs = [r.run_id for r in e.select("run_id").distinct().orderBy("run_id").limit(2).collect()]
+    at = place(spark, "ticks")
+    for k, run in enumerate(runs):
+        # a run has at most a hundred notes
+        usage.record(None, [r.path for r in e.where(F.col("run_id") == run).orderBy("path").collect()], 1_700_000_000 + k, at, spark)
+    return usage.counters(usage.recorded(spark, at, "ticks"))
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    told = ("10h", "5d", "3m", "1y", "90s", "30min", "2w", "7")
+    return spark.createDataFrame([(t, numbers.duration(t), numbers.cutoff(1_700_000_000, t)) for t in told], "told string, seconds long, cutoff long")
+
+
+def label_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments as people write them, one JSON object per line."""
+    lines = ['{"query": " roof tile ", "cohort": "a", "relevant": ["x/a.md", {"path": "b.md", "grade": 3}]}', "", '{"query": "none", "relevant": []}', '{"query": "zero", "relevant": [{"path": "c.md", "grade": 0}]}']
+    q, r, _ = labels.tables(spark, "\n".join(lines))
+    return q.join(r, "query_id", "left").select("query", "cohort", "graded", "path", "grade")
+
+
 def unknown_paths(spark: SparkSession, d: str) -> DataFrame:
     """Judgments of the runs' notes and of the exported notes, some of which aren't indexed or have no chunk."""
     more = table(spark, d, "documents").where("note_path is not null").select(F.lit(0).cast("long").alias("query_id"), F.col("note_path").alias("path"), F.lit(1).alias("grade"))
@@ -443,7 +508,7 @@ def hourly_use(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     bm25_topk, cosine_topk, hybrid_rrf, search_notes, search_stored, search_tidy, word_store, query_syntax, smart_search, suggested_folders, settled_status, usage_days, event_lines, inbox_notes, extension_sizes,
-    created_minutes, text_functions, chunk_rules, bootstrap_gate, export_rows, chunk_stats, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
+    created_minutes, text_functions, chunk_rules, bootstrap_gate, export_rows, chunk_stats, stemmed_search, store_pass, tick_record, durations, label_lines, since_filter, source_filter, scope_exclude, scope_elided, note_dedup, score_floor, relevance_floor, tidy_prefix, rerank_prefix, display_groups, neighbor_window,
     context_windows, variant_fusion, eval_metrics, eval_aggregate, cohort_delta, unknown_paths, tick_counters, fame, rank_report, usage_merge, orphans, event_problems, snapshot_diff, corpus_fingerprint, fingerprint_tree, doctor, overview,
     path_functions, chunk_ids, folder_list, unit_vectors, unembedded_paths, frontmatter_fields, note_titles, chunk_notes, query_variants, ivf_topk, hourly_use,
 )
@@ -589,6 +654,14 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'counters without file', count(*) FROM tk WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT 'events without file', count(*) FROM ev WHERE path IS NULL OR path NOT IN (SELECT path FROM f)""",
         "export_rows": f"WITH {_CH} SELECT row_number() OVER (ORDER BY path NULLS FIRST, ord NULLS FIRST, id) - 1 AS i, id, path, ord FROM ch WHERE {_OK}",
         "chunk_stats": f"WITH {_CH} SELECT path, count(*) FILTER (kind = 0) AS content, count(*) FILTER (kind = 1) AS fields, sum(ceil(length(body) / 3.5))::BIGINT AS tokens, count(*) FILTER (heading_path = '') AS bare, max(length(body)) AS longest FROM ch WHERE path IS NOT NULL GROUP BY path",
+        "stemmed_search": f"""WITH {_CH}, t AS (SELECT id, list_concat({_W.format("coalesce(body, '')")}, {_W.format("coalesce(heading_path, '')")}) AS t FROM ch),
+            w AS (SELECT * FROM (VALUES ('note', ['note', 'notes', 'noted', 'noting']), ('measure', ['measure', 'measures', 'measured', 'measuring', 'measurement', 'measurements']), ('check', ['check', 'checks', 'checked', 'checking'])) AS v(query_id, ws)) SELECT query_id, id FROM w, t WHERE list_has_any(t, ws)""",
+        "store_pass": """WITH n AS (SELECT note_path AS path, arg_max(text, doc_id) AS t FROM documents WHERE note_path LIKE '%.md' AND text IS NOT NULL GROUP BY 1)
+            SELECT path, sha256(CASE WHEN starts_with(path, '40-Archive/') THEN t || chr(10) || chr(10) || 'One line more.' ELSE t END) AS sha256, true AS embedded, 0::BIGINT AS problems FROM n WHERE NOT starts_with(path, '30-Resources/')""",
+        "tick_record": """WITH e AS (SELECT DISTINCT run_id, path FROM tick_events WHERE path IS NOT NULL), r AS (SELECT run_id, row_number() OVER (ORDER BY run_id) - 1 AS k FROM (SELECT DISTINCT run_id FROM e) QUALIFY k < 2)
+            SELECT path, count(*) AS count, min(1700000000 + k)::BIGINT AS first_used, max(1700000000 + k)::BIGINT AS last_used FROM e JOIN r USING (run_id) GROUP BY 1""",
+        "durations": "SELECT told, seconds::BIGINT AS seconds, (1700000000 - seconds)::BIGINT AS cutoff FROM (VALUES ('10h', 36000), ('5d', 432000), ('3m', 7776000), ('1y', 31536000), ('90s', 90), ('30min', 1800), ('2w', 1209600), ('7', 604800)) AS v(told, seconds)",
+        "label_lines": "SELECT * FROM (VALUES ('roof tile', 'a', true, 'x/a.md', 1), ('roof tile', 'a', true, 'b.md', 3), ('none', NULL, false, NULL, NULL), ('zero', NULL, false, 'c.md', 0)) AS v(query, cohort, graded, path, grade)",
         "since_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE created >= {CUTOFF}",
         "source_filter": f"WITH {_HITS} SELECT query_id, pos, id FROM h WHERE lower(source) = 'slack'",
         "scope_exclude": f"WITH {_HITS} SELECT query_id, pos, id, path FROM h WHERE pos <= 10 AND NOT ({word})",
