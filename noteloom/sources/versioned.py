@@ -29,7 +29,7 @@ NOTHING = -1
 class VersionedTable:
     """A table under ``path`` with one row per ``key`` (a column that isn't null) in every version.
 
-    Its columns are fixed by the first commit. Repeated keys in a commit are an error of the caller (see ``apply``).
+    Its columns are fixed by the first commit. Repeated keys in a commit are an error of the caller.
     """
 
     #: Where a row stands: its file and its place in it, as ``live`` gives them and ``commit`` takes them.
