@@ -3,7 +3,7 @@
 The index is three tables: postings (term, field, id, tf, and the places for phrases), the length of every field, and
 one row of statistics per field. A query batch is (query_id, term, role) rows; scoring is one join of postings with
 the batch's terms, so only their postings are read, then a sum per query and chunk and a rank filter that runs before
-the shuffle as well. Scores are the published form with k1 = 1.2 and b = 0.75, summed over the fields; equal scores
+the shuffle as well. Tables of plain queries are scored in blocks of chunks instead (``blocks``). Scores are the published form with k1 = 1.2 and b = 0.75, summed over the fields; equal scores
 go by id.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.stem import stemmed
 from ..functions.text import tokens
 from ..session import written
+from . import blocks
+from .blocks import K1, B
 
-K1, B = 1.2, 0.75
 FIELDS = ("heading_path", "body")
 
 
@@ -32,6 +34,30 @@ class Index:
     extra: dict = field(default_factory=dict)
 
 
+class Fresh(Index):
+    """The index of texts that are at hand. What a search needs of it is made when it is asked for."""
+
+    def __init__(self, per: DataFrame, texts: DataFrame, stem: bool, unique: bool):
+        self.per, self.texts, self.stem, self.unique, self.extra = per, texts, stem, unique, {}
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        # two short rows per chunk; statistics and scores read them, and not the texts again
+        return written(self.per.select("id", "field", F.size("t").alias("len")), "lengths")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        places = self.per.select("id", "field", F.posexplode("t").alias("pos", "term"))
+        if self.stem:  # stems of the different terms only
+            terms = places.select("term").distinct().withColumn("s", stemmed("term"))
+            places = places.join(terms, "term").select("id", "field", "pos", F.col("s").alias("term"))
+        return places.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
+
+
 def bucket_of(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -49,18 +75,10 @@ def of_terms(index: Index, terms: DataFrame) -> DataFrame:
 def build(chunks: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, stem: bool = False, unique: bool = False) -> Index:
     """The index of a table of chunks. Null texts are empty; chunks without a key are left out; repeated keys count once (unique: there are none)."""
     d = chunks.where(F.col(key).isNotNull())
-    d = d if unique else d.dropDuplicates([key])
+    once = d if unique else d.dropDuplicates([key])
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens(F.col(f)), F.expr("array()").cast("array<string>")).alias("t")) for f in fields])).alias("p")
-    per = d.select(F.col(key).alias("id"), parts).select("id", "p.field", "p.t")
-    # two short rows per chunk; statistics and scores read them, and not the texts again
-    lengths = written(per.select("id", "field", F.size("t").alias("len")), "lengths")
-    places = per.select("id", "field", F.posexplode("t").alias("pos", "term"))
-    if stem:  # stems of the different terms only
-        terms = places.select("term").distinct().withColumn("s", stemmed("term"))
-        places = places.join(terms, "term").select("id", "field", "pos", F.col("s").alias("term"))
-    postings = places.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
-    stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    return Index(postings, lengths, stats, stem)
+    texts = d.select(F.col(key).alias("id"), *[tokens(F.col(f)).alias(f"t_{i}") for i, f in enumerate(fields)])
+    return Fresh(once.select(F.col(key).alias("id"), parts).select("id", "p.field", "p.t"), texts, stem, unique)
 
 
 _PART = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))')
@@ -159,7 +177,7 @@ def top(scored: DataFrame, k: int, score: str = "score", query: str = "query_id"
 def search(index: Index, terms: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) for a batch of parsed queries (see query_terms) or plain terms."""
     if "role" not in terms.columns:
-        return top(weighted(index, terms), k)
+        return top(blocks.search(index.texts, terms, k, index.stem, index.unique) if isinstance(index, Fresh) else weighted(index, terms), k)
     positive = terms.where("role != 'not'")
     got = weighted(index, positive)
     met = lambda t: of_terms(index, t).join(t, "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
