@@ -1,8 +1,8 @@
 """Cosine top-k of query vectors against a table of vectors: exact in blocks, or by cells of nearest centres.
 
 Stored vectors are scanned once for a whole batch of queries: the batch (at most MAX_QUERIES at a time) is broadcast
-as a matrix, and every Arrow batch of vectors is one matrix product that keeps its k best per query. What is shuffled
-is k rows per query and task. ``expression`` computes the same in column algebra, for small inputs and for SQL parity.
+as a matrix, and every Arrow batch of vectors is a matrix product. A task keeps the k best per query over all its
+batches, and there are as many tasks as cores, so what is shuffled is k ids per query and core. ``expression`` computes the same in column algebra, for small inputs and for SQL parity.
 
 Defined results: vectors of the wrong width, null, non-finite or zero are skipped; a query vector of the wrong width
 has no result; ties go by the key's first 16 hex digits (the unsigned 64-bit key), then by the key.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +42,76 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 1))
 
 
-def _best(cos: np.ndarray, names: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the k best per query; only where the k-th has equals do names decide."""
-    if cos.shape[1] <= k:
-        return np.repeat(np.arange(len(cos)), cos.shape[1]), np.tile(np.arange(cos.shape[1]), len(cos))
-    least = np.partition(cos, -k, axis=1)[:, -k]
-    q, r = np.nonzero(cos >= least[:, None])
-    if len(q) > k * len(cos):
-        kept = []
-        for i, rows in zip(range(len(cos)), np.split(r, np.searchsorted(q, np.arange(1, len(cos)))), strict=True):
-            if len(rows) > k:
-                called = names.take(pa.array(rows)).to_pylist()
-                rows = rows[sorted(range(len(rows)), key=lambda j: (-cos[i, rows[j]], str(called[j])))[:k]]
-            kept += [(i, x) for x in rows]
-        q, r = np.array(kept, np.int64).reshape(-1, 2).T
-    return q, r
+class _Best:
+    """The k best rows per query over all batches of a task, once per id.
+
+    Products are made in single precision; what may be among the best by more than its error is computed in double. An
+    id that comes again takes no place of another.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, kind: pa.DataType):
+        self.exact, self.rough, self.k = queries, queries.astype(np.float32), max(k, 1)
+        #: A bound of the error of a product of unit vectors in single precision, with that of the rounding of scores.
+        self.error = (queries.shape[1] + 8) * 2.0**-24 + 1e-9
+        self.least = np.full(len(queries), -np.inf)
+        self.names, self.q, self.row, self.score = pa.array([], kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, names: pa.Array, m: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """names must differ among each other. queries: those that the rows are for."""
+        queries, k, n, got = np.arange(len(self.exact)) if queries is None else queries, self.k, len(m), []
+        rough = m.astype(np.float32).T
+        for part in (queries[i : i + 256] for i in range(0, len(queries), 256)):
+            cos = self.rough[part] @ rough
+            bar = self.least[part] - self.error
+            if n > k and (new := np.flatnonzero(np.isinf(bar))).size:
+                bar[new] = np.partition(cos[new], n - k, axis=1)[:, n - k] - 2 * self.error
+            q, r = np.divmod(np.flatnonzero(cos >= bar.astype(np.float32)[:, None]), n)
+            for i in range(0, len(q), 1 << 16):
+                a, b = part[q[i : i + (1 << 16)]], r[i : i + (1 << 16)]
+                score = np.round(np.einsum("ij,ij->i", self.exact[a], m[b]), 9)
+                keep = score >= self.least[a]
+                got.append((a[keep], b[keep], score[keep]))
+        if sum(len(x[0]) for x in got):
+            q, r, score = (np.concatenate(x) for x in zip(*got, strict=True))
+            used, r = np.unique(r, return_inverse=True)
+            self._merge(names.take(pa.array(used)), q, r, score)
+
+    def _merge(self, names: pa.Array, q: np.ndarray, r: np.ndarray, score: np.ndarray) -> None:
+        called = pa.concat_arrays([self.names, names])
+        q, r, score = np.concatenate([self.q, q]), np.concatenate([self.row, r + len(self.names)]), np.concatenate([self.score, score])
+        place = np.asarray(pc.rank(called.cast(pa.string()), tiebreaker="dense")).astype(np.int64)[r]
+        order = np.lexsort((place, -score, q))
+        q, r, score, place = q[order], r[order], score[order], place[order]
+        once = np.sort(np.unique(q * (len(called) + 1) + place, return_index=True)[1])
+        q, r, score = q[once], r[once], score[once]
+        start = np.searchsorted(q, np.arange(len(self.exact) + 1))
+        keep = np.arange(len(q)) - start[q] < self.k
+        full = np.flatnonzero(np.diff(start) >= self.k)
+        self.least[full] = score[start[full] + self.k - 1]
+        used, self.row = np.unique(r[keep], return_inverse=True)
+        self.names, self.q, self.score = called.take(pa.array(used)), q[keep], score[keep]
+
+    def batches(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """A row per query: its id, and the ids and scores of its best."""
+        start = np.searchsorted(self.q, np.arange(len(self.exact) + 1))
+        for a in range(0, len(self.exact), 4096):
+            b = min(a + 4096, len(self.exact))
+            some = np.flatnonzero(np.diff(start[a : b + 1])) + a
+            rows = slice(start[a], start[b])
+            hits = pa.StructArray.from_arrays([self.names.take(pa.array(self.row[rows])), pa.array(self.score[rows])], names=["id", "score"])
+            at = np.append(start[some], start[b]) - start[a]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), hits)], names=["query_id", "hits"])
+
+
+def _few(d: DataFrame) -> DataFrame:
+    """As many tasks as cores at most: each streams its rows, and gives the k best of each query once."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.coalesce(cores) if d.rdd.getNumPartitions() > cores else d
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """The rows of the tasks' lists: they move by query once, and what follows happens where they are."""
+    return _rank(lists.repartition("query_id").select("query_id", F.inline("hits")).dropDuplicates(["query_id", "id"]), k)
 
 
 def _once(names: pa.Array, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +151,20 @@ def exact(stored: DataFrame, queries: DataFrame, k: int, width: int, key: str =
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, qm = held.value
+            best = None
             for b in batches:
                 at, m = _matrix(b.column(1), width)
                 if not len(at) or not len(qm):
                     continue
                 at, m = _once(b.column(0), at, m)
-                names = b.column(0).take(pa.array(at))
-                cos = np.round(qm @ m.T, 9)
-                q, r = _best(cos, names, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(r)), pa.array(cos[q, r])], names=["query_id", "id", "score"])
+                best = best or _Best(qm, k, b.column(0).type)
+                best.add(b.column(0).take(pa.array(at)), m)
+            if best:
+                yield from best.batches(ids)
 
-        part_out = s.mapInArrow(scan, f"query_id {_type(queries, query_id)}, id {_type(stored, key)}, score double")
+        part_out = _few(s).mapInArrow(scan, f"query_id {_type(queries, query_id)}, hits array<struct<id:{_type(stored, key)},score:double>>")
         out = part_out if out is None else out.unionByName(part_out)
-    return _rank(out.dropDuplicates(["query_id", "id"]), k)
+    return _merged(out, k)
 
 
 def expression(stored: DataFrame, vector_of_query: list[float], k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -126,7 +183,7 @@ def cells(stored: DataFrame, width: int, n_cells: int = 64, sample: int = 20_000
     """
     spark = stored.sparkSession
     s = stored.where(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
-    t = s.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    t = _few(s).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     _, m = _matrix(t["embedding"].combine_chunks(), width)
     rng = np.random.default_rng(seed)
     c = m[rng.permutation(len(m))[: max(1, min(n_cells, len(m)))]] if len(m) else np.zeros((1, width))
@@ -165,6 +222,7 @@ def approximate(centres: np.ndarray, cells_of: DataFrame, queries: DataFrame, k:
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, qm, by_cell = held.value
+            best = None
             for b in batches:
                 at, m = _once(b.column(0), *_matrix(b.column(1), width))
                 cell = np.asarray(b.column(2))[at]
@@ -172,12 +230,12 @@ def approximate(centres: np.ndarray, cells_of: DataFrame, queries: DataFrame, k:
                     rows, qs = np.flatnonzero(cell == c), by_cell.get(int(c), np.zeros(0, np.int64))
                     if not len(qs):
                         continue
-                    names = b.column(0).take(pa.array(at[rows]))
-                    cos = np.round(qm[qs] @ m[rows].T, 9)
-                    q, r = _best(cos, names, k)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs[q])), names.take(pa.array(r)), pa.array(cos[q, r])], names=["query_id", "id", "score"])
+                    best = best or _Best(qm, k, b.column(0).type)
+                    best.add(b.column(0).take(pa.array(at[rows])), m[rows], qs)
+            if best:
+                yield from best.batches(ids)
 
         d = cells_of.where(F.col("cell").isin(list(by_cell))).select("id", "embedding", "cell")
-        part = d.mapInArrow(scan, f"query_id {_type(queries, query_id)}, id {_type(cells_of, 'id')}, score double")
+        part = _few(d).mapInArrow(scan, f"query_id {_type(queries, query_id)}, hits array<struct<id:{_type(cells_of, 'id')},score:double>>")
         out = part if out is None else out.unionByName(part)
-    return _rank(out.dropDuplicates(["query_id", "id"]), k)
+    return _merged(out, k)

@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
-from noteloom.operators import lexical
+import numpy as np
+
+from noteloom.operators import lexical, vectors
 
 
 def stages(spark):
@@ -56,3 +58,21 @@ def test_plain_queries_move_no_pairs(spark):
     assert got == brute(chunks, queries, 7)
     # 150 queries meet most of 1,500 chunks each; a task of at most eight gives its best
     assert rows < 40_000
+
+
+def test_vector_scans_give_their_best_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"{i * 7919 % 100_003:016x}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2_000, 8)).round(1))]
+    rows += [(f"{i + 200_000:016x}", rows[0][1]) for i in range(30)]  # equally near
+    queries = [(i, rows[i * 3][1]) for i in range(100)]
+    # repeated ids lie in other batches and tasks
+    c = spark.createDataFrame(rows + rows[::3], "id string, embedding array<float>").repartition(24)
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    cos = np.round(unit(np.float32([v for _, v in queries]).astype(float)) @ unit(np.float32([v for _, v in rows]).astype(float)).T, 9)
+    ids = [i for i, _ in rows]
+    want = [(k, *x) for k in range(100) for x in [(ids[j], r) for r, j in enumerate(sorted(range(len(ids)), key=lambda j: (-cos[k, j], ids[j]))[:12], 1)]]
+    asked = vectors.exact(c, q, 12, 8).select("query_id", "id", "rank").orderBy("query_id", "rank")
+    assert [tuple(r) for r in asked.collect()] == want
+    n, _ = moved(spark, lambda: vectors.exact(c.localCheckpoint(), q, 12, 8).write.format("noop").mode("overwrite").save())
+    assert n < 10_000  # 2,700 rows and 100 queries by task; a list per batch was 100 * 12 rows for each of 24, twice
