@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from noteloom.operators import lexical, vectors
+from noteloom.plans import search
 
 
 def stages(spark):
@@ -76,3 +77,14 @@ def test_vector_scans_give_their_best_once(spark):
     assert [tuple(r) for r in asked.collect()] == want
     n, _ = moved(spark, lambda: vectors.exact(c.localCheckpoint(), q, 12, 8).write.format("noop").mode("overwrite").save())
     assert n < 10_000  # 2,700 rows and 100 queries by task; a list per batch was 100 * 12 rows for each of 24, twice
+
+
+def test_a_whole_search_moves_no_pairs(spark):
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(9)
+    rows = [(f"{i:016x}", f"n{i % 300}.md", i // 300, 0, "h", " ".join(rng.choices(words, k=12)), [rng.gauss(0, 1) for _ in range(4)], 0, "s") for i in range(1_500)]
+    c = spark.createDataFrame(rows, "id string, path string, ord int, kind int, heading_path string, body string, embedding array<float>, created_at long, source string").repartition(16)
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 4)), rows[i][6]) for i in range(200)], "query_id long, query string, embedding array<float>")
+    n, hits = moved(spark, lambda: search.search(search.Corpus.of(c, 4), q, search.Options(limit=5, exhaustive=True)).collect())
+    assert len(hits) == 1_000
+    assert n < 250_000  # over 200 * 1,500 pairs share a word or a direction, of which 200 * 60 per task and list may move
