@@ -490,10 +490,11 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     """Approximate search for every chunk whose id, read as a number, is divisible by 20, and whether it finds what the exact scan finds: recall of 0.98."""
-    c = _chunks(spark, d).where(numbers.usable(F.col("embedding"), WIDTH)).select("id", "embedding")
+    # many passes of queries read the vectors and their cells
+    c = written(_chunks(spark, d).where(numbers.usable(F.col("embedding"), WIDTH)).select("id", "embedding"), "vectors")
     q = c.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("long") % 20 == 0)
     centres, placed = vectors.cells(c, WIDTH, CELLS)
-    near = vectors.approximate(centres, placed, q, LIMIT, WIDTH, PROBES, query_id="id")
+    near = vectors.approximate(centres, written(placed, "cells"), q, LIMIT, WIDTH, PROBES, query_id="id")
     true = vectors.exact(c, q, LIMIT, WIDTH, query_id="id")
     both = true.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.98 * F.count(F.lit(1))).alias("recall_98"))

@@ -88,3 +88,16 @@ def test_a_whole_search_moves_no_pairs(spark):
     n, hits = moved(spark, lambda: search.search(search.Corpus.of(c, 4), q, search.Options(limit=5, exhaustive=True)).collect())
     assert len(hits) == 1_000
     assert n < 250_000  # over 200 * 1,500 pairs share a word or a direction, of which 200 * 60 per task and list may move
+
+
+def test_cells_give_their_best_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"{i:016x}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2_000, 8)))]
+    c = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(24).localCheckpoint()
+    centres, placed = vectors.cells(c, 8, 8)
+    q = c.limit(100)
+    near = lambda: vectors.approximate(centres, placed, q, 12, 8, 8, query_id="id")
+    # all cells are probed, so it finds what the exact scan finds
+    assert {tuple(r) for r in near().select("query_id", "id", "rank").collect()} == {tuple(r) for r in vectors.exact(c, q, 12, 8, query_id="id").select("query_id", "id", "rank").collect()}
+    n, _ = moved(spark, lambda: near().write.format("noop").mode("overwrite").save())
+    assert n < 10_000
