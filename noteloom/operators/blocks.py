@@ -8,7 +8,7 @@ all blocks. Scores are those of ``lexical.weighted``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -152,8 +152,16 @@ def pa_type(kind: pa.DataType) -> str:
 
 def search(texts: DataFrame, terms: DataFrame, k: int, stems: bool = False, unique: bool = False) -> DataFrame:
     """(query_id, id, score): at least the k best per query. terms (query_id, term) are the batch's different words, which every task holds; texts see ``found``."""
+
+    def once(words: pa.Array) -> DataFrame:
+        docs = found(texts, words, stems)
+        return docs if unique else docs.dropDuplicates(["id"])
+
+    return scored(once, len(texts.columns) - 1, terms, k)
+
+
+def scored(docs: Callable[[pa.Array], DataFrame], fields: int, terms: DataFrame, k: int) -> DataFrame:
+    """The same of what docs finds of the batch's words: rows as ``found`` gives them, once per id."""
     t = terms.select("query_id", "term").distinct().toArrow()
     words = pc.unique(t["term"])
-    docs = found(texts, words, stems)
-    docs = written((docs if unique else docs.dropDuplicates(["id"])).withColumn("no", F.monotonically_increasing_id()), "found-words")
-    return best(docs, len(texts.columns) - 1, t, words, max(k, 1))
+    return best(written(docs(words).withColumn("no", F.monotonically_increasing_id()), "found-words"), fields, t, words, max(k, 1))

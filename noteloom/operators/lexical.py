@@ -3,23 +3,25 @@
 The index is three tables: postings (term, field, id, tf, and the places for phrases), the length of every field, and
 one row of statistics per field. A query batch is (query_id, term, role) rows; scoring is one join of postings with
 the batch's terms, so only their postings are read, then a sum per query and chunk and a rank filter that runs before
-the shuffle as well. Tables of plain queries are scored in blocks of chunks instead (``blocks``). Scores are the published form with k1 = 1.2 and b = 0.75, summed over the fields; equal scores
+the shuffle as well. Tables of plain queries are scored in blocks of chunks instead (``blocks``), also over stored
+postings (``postings``). Scores are the published form with k1 = 1.2 and b = 0.75, summed over the fields; equal scores
 go by id.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stemmed
 from ..functions.text import tokens
 from ..session import written
-from . import blocks
+from . import blocks, postings
 from .blocks import K1, B
 
 FIELDS = ("heading_path", "body")
@@ -31,14 +33,13 @@ class Index:
     lengths: DataFrame
     stats: DataFrame
     stem: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 class Fresh(Index):
     """The index of texts that are at hand. What a search needs of it is made when it is asked for."""
 
     def __init__(self, per: DataFrame, texts: DataFrame, stem: bool, unique: bool):
-        self.per, self.texts, self.stem, self.unique, self.extra = per, texts, stem, unique, {}
+        self.per, self.texts, self.stem, self.unique = per, texts, stem, unique
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -58,18 +59,42 @@ class Fresh(Index):
         return places.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
 
 
+class Stored(Index):
+    """An index as it is stored: rows with lists (see ``postings``) in folders of their terms (tb) and segments, and its live chunks, with their segment, block, number and lengths."""
+
+    def __init__(self, lists: DataFrame, docs: DataFrame, fields: tuple[str, ...], stem: bool, buckets: int):
+        self.lists, self.docs, self.fields, self.stem, self.buckets = lists, docs, fields, stem, buckets
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"len_{i}").alias("len")) for i, f in enumerate(self.fields)])).alias("f")
+        return self.docs.select("id", each).select("id", "f.field", "f.len")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return postings.single(self.lists, self.docs, self.fields)
+
+    def of(self, words: pa.Array) -> DataFrame:
+        """The rows of some different terms, which are a batch's and so on every task; only their folders are read."""
+        t = self.docs.sparkSession.createDataFrame(pa.table({"term": words.cast(pa.string())}))
+        # at most so many numbers as there are folders
+        some = [r.b for r in t.select(bucket_of("term", self.buckets).alias("b")).distinct().collect()]
+        return self.lists.where(F.col("tb").isin(some)).join(F.broadcast(t), "term", "left_semi")
+
+
 def bucket_of(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def of_terms(index: Index, terms: DataFrame) -> DataFrame:
     """The live postings of some terms (term); of a stored index only the folders of these terms are read."""
-    p, n = index.postings, index.extra.get("buckets")
-    if n:  # at most so many numbers as there are folders
-        p = p.where(F.col("tb").isin([r.b for r in terms.select(bucket_of("term", n).alias("b")).distinct().collect()]))
-    hit = p.join(terms.select("term").distinct(), "term", "left_semi")
-    live = index.extra.get("live")
-    return hit if live is None else hit.join(live, ["id", "segment"], "left_semi")
+    if isinstance(index, Stored):
+        return postings.single(index.of(terms.select("term").distinct().toArrow()["term"].combine_chunks()), index.docs, index.fields)
+    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def build(chunks: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, stem: bool = False, unique: bool = False) -> Index:
@@ -176,8 +201,13 @@ def top(scored: DataFrame, k: int, score: str = "score", query: str = "query_id"
 
 def search(index: Index, terms: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) for a batch of parsed queries (see query_terms) or plain terms."""
+    if "role" not in terms.columns and isinstance(index, Fresh):
+        return top(blocks.search(index.texts, terms, k, index.stem, index.unique), k)
+    if "role" not in terms.columns and isinstance(index, Stored):
+        found = lambda words: postings.found(index.of(words), index.docs, words, index.fields)
+        return top(blocks.scored(found, len(index.fields), terms, k), k)
     if "role" not in terms.columns:
-        return top(blocks.search(index.texts, terms, k, index.stem, index.unique) if isinstance(index, Fresh) else weighted(index, terms), k)
+        return top(weighted(index, terms), k)
     positive = terms.where("role != 'not'")
     got = weighted(index, positive)
     met = lambda t: of_terms(index, t).join(t, "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))

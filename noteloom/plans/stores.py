@@ -12,8 +12,10 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators import lexical, vectors
+from ..functions.text import tokens
+from ..operators import lexical, postings, vectors
 from ..sources.versioned import NOTHING, VersionedTable
 
 #: Folders that the postings of a segment are spread over by their terms.
@@ -21,30 +23,28 @@ BUCKETS = 64
 
 
 class WordStore:
-    """An inverted index as segments of postings, by buckets of terms, and a table of the live chunks with their segment and lengths."""
+    """An inverted index as segments of postings (see ``operators.postings``), by buckets of terms, and a table of the live chunks with their segment, place in it and lengths."""
 
     def __init__(self, spark: SparkSession, path: str, stem: bool = True, fields: tuple[str, ...] = lexical.FIELDS, buckets: int = BUCKETS):
         self.spark, self.path, self.stem, self.fields, self.buckets = spark, path.rstrip("/"), stem, fields, buckets
         self.docs = VersionedTable(spark, f"{self.path}/docs", "id")
 
-    def _segment(self, made: lexical.Index) -> str:
-        """Writes postings and gives their segment's name. A search reads the folders of its terms only."""
+    def _segment(self, made: DataFrame) -> DataFrame:
+        """Writes the rows of postings and gives the chunks that are in them, with their segment. A search reads the folders of its terms only."""
         name = uuid.uuid4().hex
-        p = made.postings.withColumn("tb", lexical.bucket_of("term", self.buckets))
-        # so many files as the postings have partitions, and one per bucket at least, so that a hot bucket is many
-        split = max(1, -(-p.rdd.getNumPartitions() // self.buckets))
-        p = p.repartition(self.buckets * split, "tb", F.pmod(F.xxhash64("id"), F.lit(split)))
+        # every task writes the lists that it made: they don't move, and a task has a file per folder at most
+        p = made.withColumn("tb", F.when(F.col("term").isNull(), -1).otherwise(lexical.bucket_of("term", self.buckets)))
         p.sortWithinPartitions("tb", "term").write.partitionBy("tb").option("compression", "zstd").parquet(f"{self.path}/postings/{name}")
-        return name
+        return postings.chunks(self._lists(name, made.schema).where("tb = -1")).withColumn("segment", F.lit(name))
 
-    def _rows(self, made: lexical.Index, segment: str) -> DataFrame:
-        sizes = [F.max(F.when(F.col("field") == f, F.col("len"))).alias(f"len_{i}") for i, f in enumerate(self.fields)]
-        return made.lengths.groupBy("id").agg(*sizes).withColumn("segment", F.lit(segment))
+    def _lists(self, segment: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema, StructField("tb", IntegerType())])).parquet(f"{self.path}/postings/{segment}")
 
     def replace(self, chunks: DataFrame, gone: DataFrame | None = None, base: int | None = None) -> int:
         """Puts chunks (id and the fields) in, in place of those with the same id, and takes out those that gone (id) names."""
-        made = lexical.build(chunks, "id", self.fields, self.stem)
-        added = self._rows(made, self._segment(made))
+        # null texts are empty; chunks without an id are left out; repeated ids count once, and texts are shorter than their words
+        once = chunks.where("id is not null").select("id", *self.fields).dropDuplicates(["id"])
+        added = self._segment(postings.made(once.select("id", *[tokens(F.col(f)).alias(f) for f in self.fields]), self.fields, self.stem))
         if base == NOTHING or not self.docs.versions():
             return self.docs.commit(added, base=NOTHING)
         out = added.select("id") if gone is None else added.select("id").unionByName(gone.select("id"))
@@ -57,27 +57,20 @@ class WordStore:
     def compact(self, base: int | None = None) -> int:
         """The live postings as one segment."""
         whole = self.index(base)
-        live = self.docs.live(base)
-        p = whole.postings.join(whole.extra["live"], ["id", "segment"], "left_semi").drop("tb", "segment") if whole.extra["live"] is not None else whole.postings.drop("tb", "segment")
-        name = self._segment(lexical.Index(p, whole.lengths, whole.stats))
-        self.docs.commit(live.drop(*VersionedTable.AT).withColumn("segment", F.lit(name)), live, base=base)
+        self.docs.commit(self._segment(postings.again(whole.lists, whole.docs, self.fields)), self.docs.live(base), base=base)
         return self.docs.compact()
 
-    def index(self, version: int | None = None) -> lexical.Index:
+    def index(self, version: int | None = None) -> lexical.Stored:
         """The index as of a version, for ``lexical.search``."""
-        live = self.docs.live(version)
-        m = self.docs.manifest(self.docs.versions()[-1] if version is None else version)
+        live = self.docs.live(version).drop(*VersionedTable.AT)
+        schema = self.spark.createDataFrame([], postings.schema(live.schema["id"].dataType.simpleString(), len(self.fields))).schema
         # one short name per segment, of which compaction leaves one
         segments = [r.segment for r in live.select("segment").distinct().collect()]
-        parts = [self.spark.read.parquet(f"{self.path}/postings/{s}").withColumn("segment", F.lit(s)) for s in segments]
-        postings = parts[0] if parts else self.spark.createDataFrame([], "term string, field string, id string, tf long, places array<int>, tb int, segment string")
+        parts = [self._lists(s, schema).withColumn("segment", F.lit(s)) for s in segments]
+        lists = parts[0] if parts else self.spark.createDataFrame([], schema).withColumns({"tb": F.lit(0), "segment": F.lit("")})
         for p in parts[1:]:
-            postings = postings.unionByName(p)
-        fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"len_{i}").alias("len")) for i, f in enumerate(self.fields)])).alias("f")
-        lengths = live.select("id", fields).select("id", "f.field", "f.len")
-        stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-        # without a deleted or replaced chunk every posting is live
-        return lexical.Index(postings, lengths, stats, self.stem, {"buckets": self.buckets, "live": live.select("id", "segment") if m["vectors"] else None})
+            lists = lists.unionByName(p)
+        return lexical.Stored(lists, live, self.fields, self.stem, self.buckets)
 
 
 class VectorStore:

@@ -84,10 +84,11 @@ _STORES: dict = {}
 
 
 def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, stores.WordStore]:
-    """The chunk table and its stored word index, made once per session and folder: later searches only read them."""
+    """The chunk table and its stored word index, made once per session and folder: later searches only read it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORES:
-        c = written(_chunks(spark, d), "stored-chunks")
+        # repeated ids are one in the index; vectors and bodies don't move for it
+        c = table(spark, d, "chunks").where("id is not null")
         words = stores.WordStore(spark, place(spark, "words"), stem=False)
         words.replace(c)
         _STORES[key] = (c, words)

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from noteloom.operators import lexical, vectors
-from noteloom.plans import search
+from noteloom.plans import search, stores
 
 
 def stages(spark):
@@ -101,3 +101,31 @@ def test_cells_give_their_best_once(spark):
     assert {tuple(r) for r in near().select("query_id", "id", "rank").collect()} == {tuple(r) for r in vectors.exact(c, q, 12, 8, query_id="id").select("query_id", "id", "rank").collect()}
     n, _ = moved(spark, lambda: near().write.format("noop").mode("overwrite").save())
     assert n < 10_000
+
+
+def test_a_stored_index_moves_no_postings(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    chunks = [(f"{rng.randrange(16**8):08x}", text(2), text(rng.choice((0, 30, 60)))) for _ in range(1500)]
+    queries = [(i, " ".join(rng.sample(words + ["nowhere"], 3))) for i in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, heading_path string, body string")
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    c = frame(chunks + chunks[:50] + [(None, "w1", "w1")])
+    store = stores.WordStore(spark, f"file://{tmp_path}/words", stem=False)
+    run = lambda: [tuple(r) for r in lexical.search(store.index(), lexical.plain_terms(q, "query_id", "query"), 7).orderBy("query_id", "rank").collect()]
+    made, _ = moved(spark, lambda: store.replace(c))
+    assert made < 5_000  # 1,550 chunks; they have over 40,000 postings
+    read, got = moved(spark, run)
+    assert got == brute(chunks, queries, 7)
+    assert read < 40_000
+    # changed and deleted chunks: their old words are no more, in the index as it grows and when it is put together
+    now = [(i, h, "w5 " * 1200 if n < 40 else b) for n, (i, h, b) in enumerate(chunks)] + [("new", "w7", "w7 w8")]
+    store.replace(frame(now[:40] + now[-1:]))
+    store.delete(frame(now[40:90]).select("id"))
+    left = now[:40] + now[90:]
+    spots = lambda: sorted((r.term, r.field, r.id, r.tf, *r.places) for r in store.index().postings.collect())
+    want = sorted((w, f, i, len(at), *at) for i, *fields in left for f, t in zip(("heading_path", "body"), fields, strict=True) for w in {*t.split()} for at in [[n for n, x in enumerate(t.split()) if x == w]])
+    assert run() == brute(left, queries, 7) and spots() == want
+    store.compact()
+    assert run() == brute(left, queries, 7) and spots() == want
