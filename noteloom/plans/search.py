@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,9 +136,22 @@ def looked_up(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return stages.renumbered(d.withColumn("pos", F.col("fusion_rank")))
 
 
+def likely(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks whose ids' hashes are among those of ids, so that a join by id moves little else. Every task holds the hashes, 8 bytes each."""
+    h = np.sort(np.asarray(ids.select(F.xxhash64("id").alias("h")).distinct().toArrow()["h"]))
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        v = x.to_numpy()
+        return pd.Series(h[np.minimum(np.searchsorted(h, v), len(h) - 1)] == v)
+
+    return chunks.where(among(F.xxhash64("id"))) if len(h) else chunks.where("false")
+
+
 def with_bodies(d: DataFrame, chunks: DataFrame) -> DataFrame:
-    """d with the heading and the body of each hit's chunk: for the rows that are left, or that a reranker reads."""
-    c = chunks.join(d.select("id").distinct(), "id", "left_semi").select("id", F.col("heading_path").alias("heading"), "body")
+    """d, which is written, with the heading and the body of each hit's chunk: for the rows that are left, or that a reranker reads. Other bodies don't move."""
+    ids = d.select("id").distinct()
+    c = likely(chunks.select("id", F.col("heading_path").alias("heading"), "body"), ids).join(ids, "id", "left_semi")
     return d.join(c.dropDuplicates(["id"]), "id")
 
 
@@ -149,6 +164,7 @@ def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options
         if reranker is None:
             raise ValueError("rerank needs a reranker")
         cap = stages.rerank_cap(o.limit, o.pool, (o.min_score or 0) > 0)
+        d = written(d, "looked-up")
         head = with_bodies(d.where(F.col("pos") <= cap), chunks).join(queries.select("query_id", "query"), "query_id")
         if o.rerank_context:
             w = stages.neighbours(head, chunks, o.rerank_context).groupBy("query_id", "pos").agg(F.collect_list(F.struct("ord", "body", "centre")).alias("w"))

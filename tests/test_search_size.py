@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 
+from noteloom.models import SharedWordsReranker
 from noteloom.operators import lexical, vectors
 from noteloom.plans import search, stores
 
@@ -17,9 +18,9 @@ def stages(spark):
     return [got.apply(i) for i in range(got.size())]
 
 
-def moved(spark, run):
-    """The rows written to shuffles in run, and what it gives."""
-    total = lambda: sum(s.shuffleWriteRecords() for s in stages(spark))
+def moved(spark, run, what="shuffleWriteRecords"):
+    """The rows (or bytes) written to shuffles in run, and what it gives."""
+    total = lambda: sum(getattr(s, what)() for s in stages(spark))
     bus = spark.sparkContext._jsc.sc().listenerBus()
     bus.waitUntilEmpty()
     before = total()
@@ -129,3 +130,19 @@ def test_a_stored_index_moves_no_postings(spark, tmp_path):
     assert run() == brute(left, queries, 7) and spots() == want
     store.compact()
     assert run() == brute(left, queries, 7) and spots() == want
+
+
+def test_bodies_of_other_chunks_do_not_move(spark):
+    rng = random.Random(11)
+    rows = [(f"{i:016x}", f"n{i % 100}.md", i // 100, 0, "h", f"w{i % 50} " + rng.randbytes(1500).hex(), [rng.gauss(0, 1) for _ in range(4)], 0, "s") for i in range(2_000)]
+    c = spark.createDataFrame(rows + rows[::5], "id string, path string, ord int, kind int, heading_path string, body string, embedding array<float>, created_at long, source string").localCheckpoint()
+    q = spark.createDataFrame([(i, f"w{i}", rows[i][6]) for i in range(10)], "query_id long, query string, embedding array<float>")
+    body = {r[0]: r[5] for r in rows}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the hits were many
+    try:
+        for o, reranker in ((search.Options(limit=5, full=True, exhaustive=True), None), (search.Options(limit=5, full=True, rerank=True), SharedWordsReranker())):
+            n, hits = moved(spark, lambda o=o, r=reranker: search.search(search.Corpus.of(c, 4), q, o, r).collect(), "shuffleWriteBytes")
+            assert len(hits) == 50 and all(h.body == body[h.chunk_id] for h in hits)
+            assert n < 2_500_000  # of 6 MB of bodies, 50 are shown and at most 160 are reranked
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
