@@ -132,7 +132,7 @@ def smart_search(spark: SparkSession, d: str) -> DataFrame:
     v = q.join(e, "query_id", "left")
     two = v.select("query_id", F.lit(2).alias("list_no"), F.lit("lex").alias("kind"), F.concat("query", F.lit(" archive")).alias("text"), none.alias("embedding"))
     three = v.select("query_id", F.lit(3).alias("list_no"), F.lit("hyde").alias("kind"), F.lit("a passage").alias("text"), F.col("other").alias("embedding"))
-    got = search.smart_search(search.Corpus.of(_chunks(spark, d), WIDTH), q, two.unionByName(three), search.Options(), SharedWordsReranker())
+    got = search.smart_search(_corpus(spark, d), q, two.unionByName(three), search.Options(), SharedWordsReranker())
     return got.select(F.col("query_id").cast("long").alias("query_id"), "pos", "chunk_id", "path", "rerank_rank", F.round(F.col("rrf").cast("double"), 8).alias("rrf"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 
+from noteloom import reference_queries
 from noteloom.models import SharedWordsReranker
 from noteloom.operators import lexical, vectors
 from noteloom.plans import search, stores
@@ -146,3 +147,20 @@ def test_bodies_of_other_chunks_do_not_move(spark):
             assert n < 2_500_000  # of 6 MB of bodies, 50 are shown and at most 160 are reranked
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_smart_search_moves_no_chunk_whole(spark, tmp_path):
+    rng = random.Random(12)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(64)]
+    rows = [(f"{i:016x}", f"n{i}.md", 0, 0, "h", f"w{i % 50} " + rng.randbytes(1500).hex(), vector(), 0, "s") for i in range(2_000)]
+    c = spark.createDataFrame(rows + rows[::5], "id string, path string, ord int, kind int, heading_path string, body string, embedding array<float>, created_at long, source string")
+    c.write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(1, 6)], "id long, query_text string").write.parquet(f"{tmp_path}/tick_runs.parquet")
+    spark.createDataFrame([(i, vector()) for i in range(7)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, hits = moved(spark, lambda: reference_queries.smart_search(spark, str(tmp_path)).collect(), "shuffleWriteBytes")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(hits) == 50 and len({(h.query_id, h.path) for h in hits}) == 50
+    assert n < 2_500_000  # of 6 MB of bodies, those of at most 150 rows are read
