@@ -181,7 +181,8 @@ def presented(hits: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options
     d = stages.renumbered(d)
     d = stages.relevance_floor(stages.score_floor(d, o.min_score), o.min_relevance)
     if o.tidy:
-        d = stages.tidied(d, o.limit)
+        # at most limit rows per query, which it reads several times
+        d = stages.tidied(written(d, "untidied"), o.limit)
     if not (o.relevance or o.min_relevance is not None):
         d = d.withColumn("relevance", none.cast("double"))
     # at most limit rows per query, so bodies are read for these alone

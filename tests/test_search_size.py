@@ -164,3 +164,18 @@ def test_a_smart_search_moves_no_chunk_whole(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(hits) == 50 and len({(h.query_id, h.path) for h in hits}) == 50
     assert n < 2_500_000  # of 6 MB of bodies, those of at most 150 rows are read
+
+
+def test_a_tidy_search_looks_chunks_up_as_often_as_any(spark):
+    rng = random.Random(13)
+    rows = [(f"{i:016x}", f"n{i}.md", 0, 0, "h", f"w{i % 50} w{i % 7}", [rng.gauss(0, 1) for _ in range(4)], 0, "s") for i in range(4_000)]
+    c = spark.createDataFrame(rows, "id string, path string, ord int, kind int, heading_path string, body string, embedding array<float>, created_at long, source string").localCheckpoint()
+    q = spark.createDataFrame([(i, f"w{i}", rows[i][6]) for i in range(5)], "query_id long, query string, embedding array<float>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = lambda whole: moved(spark, lambda: search.search(search.Corpus.of(c, 4), q, search.Options(limit=5, exhaustive=whole)).collect())
+        (n, hits), (m, kept) = run(True), run(False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(hits) == 25 and {(h.query_id, h.chunk_id) for h in kept} <= {(h.query_id, h.chunk_id) for h in hits}
+    assert m < n + 2_000  # a further lookup moves 4,000 chunks
